@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac
+from tallyframe.llm import bpe, dac, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archives(spark, path))
+    rows = captures.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.coalesce("response.payload_bytes", "metadata.payload_length").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        warc.referred_page(F.col("response.refers_to")).alias("refers_to"),
+    )
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str = public_tokenizers.path(WORD_BPE)) -> DataFrame:
     docs = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path)
     return docs.select(
@@ -23,6 +41,28 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str = public
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    base = [kind for kind, *_ in secrets.BASE_RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(joined(F.filter("spans", lambda s: s.kind.isin(base))).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.measure_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str = public_tokenizers.path(BYTE_BPE)) -> DataFrame:
     path = scratch(spark, "token-files")
     dac.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path, end_id=0)
@@ -30,7 +70,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str = pub
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op2_warc_captures": op2_warc_captures,
     "op3_bpe_codec": op3_bpe_codec,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
 }
 
