@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, quality, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,19 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str = public
     )
 
 
+#: The least score of a document that is taken to be good.
+GOOD = 0.3
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, net)
+    return scored.select(
+        "doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(table(spark, sf_dir, "documents"))
     base = [kind for kind, *_ in secrets.BASE_RULES]
@@ -73,6 +86,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_warc_captures": op2_warc_captures,
     "op3_bpe_codec": op3_bpe_codec,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
