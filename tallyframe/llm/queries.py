@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, quality, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, jaccard, quality, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str = public
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 #: The least score of a document that is taken to be good.
 GOOD = 0.3
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_warc_captures": op2_warc_captures,
     "op3_bpe_codec": op3_bpe_codec,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
