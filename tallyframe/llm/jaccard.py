@@ -81,7 +81,7 @@ def frequencies(rows: DataFrame, k: int) -> np.ndarray:
                 data = [used.astype("<u2").tobytes(), total[at + used].astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([d], type=pa.binary()) for d in data)], names=["at", "used", "n"])
 
-    def add(key, found: pa.Table) -> pa.Table:
+    def add(key, found):
         total = np.zeros(SENT, dtype=np.int64)
         for used, n in zip(found.column("used").to_pylist(), found.column("n").to_pylist()):
             total[np.frombuffer(used, "<u2")] += np.frombuffer(n, "<u4")
