@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,17 @@ def flat_utf8(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def keep_rows(df: DataFrame, column: str, decide: Callable[[pa.RecordBatch], np.ndarray], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows, with all their columns, for which ``decide`` is true; it sees ``limit`` bytes of ``column`` at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, column, limit):
+                yield part.filter(pa.array(decide(part), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns as ``doc_id`` long and ``text`` string, whatever else the frame holds."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -331,3 +331,16 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("sig")).alias("signature"),
     )
+
+
+def representatives(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that name a component: one document of each group.
+
+    Of rows that repeat such an id one stays. Rows without an id can't be told apart and stay.
+    """
+    found = components(df, k, percent, id_col, text_col)
+    names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    id_ = F.col(id_col).cast("long")
+    kept = df.where(id_.isNotNull()).join(names, id_ == F.col("__id"), "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_).orderBy(text_col))).where("__n = 1").drop("__n")
+    return kept.unionByName(df.where(id_.isNull()))

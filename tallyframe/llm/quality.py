@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._common import flat_utf8, id_and_text, slices
+from tallyframe.llm._common import flat_utf8, id_and_text, keep_rows, slices
 
 #: Bytes of a filter, filters, bytes of a block (a chunk is two), units of the dense layer.
 WIDTH, FILTERS, BLOCK, HIDDEN = 6, 16, 128, 16
@@ -202,3 +202,9 @@ def score_documents(df: DataFrame, net: Network, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(df: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score ``least`` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(net)
+    return keep_rows(df, text_col, lambda part: shared.value.score(*flat_utf8(part, text_col)) >= least, 1 << 20)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, jaccard, quality, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, jaccard, packing, quality, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str = public
     )
 
 
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str = public_tokenizers.path(WORD_BPE)) -> DataFrame:
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path, end_id=2)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.components(table(spark, sf_dir, "documents"), k=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -91,6 +96,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_warc_captures": op2_warc_captures,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_retrieval_packing": op4_retrieval_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._common import flat_utf8, id_and_text, mixed, slices
+from tallyframe.llm._common import flat_utf8, id_and_text, keep_rows, mixed, slices
 
 SLICE = 1 << 20
 #: Fewer words than this fail, or a larger share (percent) of words in repeated 3-grams.
@@ -149,3 +149,16 @@ def measure_documents(df: DataFrame, limits: dict[int, float] = LIMITS, id_col:
     for n, most in limits.items():
         within = within & (F.col(f"covered_{n}") <= most * F.col("word_chars"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
+
+
+def keep_documents(df: DataFrame, limits: dict[int, float] = LIMITS, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``measure_documents`` would keep."""
+
+    def decide(part: pa.RecordBatch) -> np.ndarray:
+        found = measure(*flat_utf8(part, text_col), tuple(n for n in limits if n))
+        kept = (found["n_words"] >= LEAST_WORDS) & (100 * found["n_repeat_words"] <= MOST_REPEATED * found["n_words"])
+        for n, most in limits.items():
+            kept &= found[f"covered_{n}"] <= most * found["word_chars"]
+        return kept
+
+    return keep_rows(df, text_col, decide, SLICE)
