@@ -107,12 +107,18 @@ def longest(array: DigestArray, lengths: list[int], hosts: list[str], paths: lis
     return best
 
 
+_shared: set[tuple[str, str]] = set()
+
+
 def _share(spark: SparkSession, entries: list[str]) -> tuple[str, list[int]]:
     """Give the list's file to all executors; its name there, and the path lengths that occur."""
     name = f"digests-{xxhash.xxh64_hexdigest(chr(10).join(sorted(entries)))}.bin"
-    folder = tempfile.mkdtemp(prefix="digests-")
-    write_digests(sorted(set(entries)), os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    application = spark.sparkContext.applicationId
+    if (application, name) not in _shared:  # a file of this name has this content, and may be added once
+        folder = tempfile.mkdtemp(prefix="digests-")
+        write_digests(sorted(set(entries)), os.path.join(folder, name))
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        _shared.add((application, name))
     return name, sorted({len(e) - len(e.partition("/")[0]) for e in entries})
 
 
