@@ -1,27 +1,27 @@
 """N-gram Jaccard join with set-relation skipping, down to connected components.
 
 A text's set is that of its k-word shingles (64-bit hashes of lower-cased words; with fewer words, the
-whole sequence is one). Equal sets are one node from the start, by a 128-bit digest. Steps:
+whole sequence is one). Equal sets are one node from the start, by a 64-bit digest. Steps:
 
-1. Shingle frequencies in a table of ``BUCKETS`` counts make one order of all shingles, rare first.
-2. Sets that may reach the threshold share a shingle among the first ones of both. Each index list
-   ties its members of compatible size to one of them, so a list of m sets gives m edges, and lists of
-   frequent shingles are split by salts. Components of these edges hold every true link.
-3. Inside a component (or, past ``GROUP_SHINGLES``, inside each pair of its parts) the sets are joined
+1. Groups that hold every link: the range of shingle hashes is cut into so many parts that two sets at
+   the threshold agree on nine parts at least, whatever their differences. Sets that agree on a
+   part are tied to one of them, so a part shared by m sets gives m edges; parts that very many sets
+   share are split by salts. Texts that only share passages agree on no part, and aren't tied.
+2. Inside a group (or, past ``GROUP_SHINGLES``, inside each pair of its pieces) the sets are joined
    exactly (``Relations``): index lists ordered by position, of which the tail that cannot reach
    the threshold is skipped; and the answers of a set close to one just computed are derived
    from that one's by the triangle inequality of the Jaccard distance, without the index.
-4. Linked nodes are contracted to components, and components named by their smallest ``doc_id``.
+3. Linked nodes are contracted to components, and components named by their smallest ``doc_id``.
 
 Null and empty texts have empty sets, link with nothing and are their own component. Null ids count as
 documents but never name a component (a component of null ids only has a null name). Rows that repeat
-are equal sets. Nothing is capped: large components are cut into parts, and all pairs of parts joined.
+are equal sets. Nothing is capped: large groups are cut into pieces, and all pairs of pieces joined.
+Hashes can err: for unequal sets to share a digest, or for all agreeing parts of a pair to be empty (they
+aren't sent), has a chance below one in 10**9 for the largest corpora.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from tallyframe.llm._common import cut, flat_utf8, id_and_text, mixed, slices
 from tallyframe.llm.rules import _BLANK, _VALUE, SLICE, Rolling
 
-#: Counts of the frequency table, and of those sent together. Salts of a frequent shingle's list.
-BUCKETS, SENT, SALTS = 1 << 20, 1 << 12, 32
-#: Shingles that one task joins at once; a component with more is cut into parts.
-GROUP_SHINGLES = 3 << 20
+#: Ratio of set sizes within a class; parts beyond those that differences can spoil, for small sets and others.
+RATIO, SPARE_SMALL, SPARE = 1.35, 64, 8
+#: A part key with this share of all keys, by a sample of one node in SAMPLE, is salted.
+SAMPLE, FREQUENT, SALTS = 64, 1e-5, 64
+#: Shingles that one task joins at once; a group with more is cut into pieces.
+GROUP_SHINGLES = 4 << 20
 #: A set within this distance of a computed one derives its answers from it.
 CLOSE = 0.05
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,68 +64,61 @@ def shingles(flat: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
-
-
-def frequencies(rows: DataFrame, k: int) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each bucket; BUCKETS numbers reach the driver."""
-
-    def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                found = shingles(*flat_utf8(part, "text"), k)
-                total += np.bincount(bucket(np.concatenate(found)), minlength=BUCKETS) if found else 0
-        for at in range(0, BUCKETS, SENT):
-            used = np.flatnonzero(total[at : at + SENT])
-            if len(used):
-                data = [used.astype("<u2").tobytes(), total[at + used].astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([d], type=pa.binary()) for d in data)], names=["at", "used", "n"])
-
-    def add(key, found):
-        total = np.zeros(SENT, dtype=np.int64)
-        for used, n in zip(found.column("used").to_pylist(), found.column("n").to_pylist()):
-            total[np.frombuffer(used, "<u2")] += np.frombuffer(n, "<u4")
-        return pa.table({"at": [key[0].as_py()], "n": [total.tobytes()]})
-
-    sums = rows.mapInArrow(count, "at long, used binary, n binary").groupBy("at").applyInArrow(add, "at long, n binary")
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in sums.collect():
-        out[r["at"] : r["at"] + SENT] = np.frombuffer(r["n"], np.int64)
-    return out
-
-
-def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for a bucket of ordinary size, else the power of two by which it is larger."""
-    usual = 4 * counts.mean() + 8
-    return np.where(counts <= usual, 0, 1 + np.log2(np.maximum(counts, 1) / usual)).astype(np.uint8)
-
-
-def ranked(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Shingles in the common order: rare buckets first, then by hash."""
-    return hashes[np.argsort(level[bucket(hashes)], kind="stable")]
-
-
 def first_ones(n: int, percent: int) -> int:
     """How many shingles of a set of n any set at ``percent`` must share one of."""
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def digest(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(hashes.tobytes())
+def digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def classes(percent: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """The first size of each class, and the number of parts in it.
+
+    Class c also takes sets of the next class that a set of its own may link with. Of sets x and y,
+    the smaller x in class c, at most ``|x| (100 - percent) / percent`` shingles differ.
+    """
+    first = [1]
+    while first[-1] < most:
+        first.append(max(first[-1] + 1, int(first[-1] * RATIO)))
+    starts = np.array(first, dtype=np.int64)
+    largest = starts[1:] - 1
+    differ = largest * (100 - percent) // percent
+    return starts, differ + 1 + np.where(largest <= 16, SPARE_SMALL, SPARE)
+
+
+def part_keys(hashes: np.ndarray, starts: np.ndarray, parts: np.ndarray, percent: int) -> np.ndarray:
+    """A key for each part of a set (ascending hashes) that isn't empty, in its class and those below that hold sets it may link with."""
+    n = len(hashes)
+    if not n:
+        return np.empty(0, dtype=np.uint64)
+    own = int(np.searchsorted(starts, n, side="right")) - 1
+    spread, out = mixed(hashes), []
+    for c in range(own, -1, -1):
+        if percent * n > 100 * (int(starts[c + 1]) - 1):
+            break
+        part = ((hashes >> np.uint64(32)) * np.uint64(parts[c])) >> np.uint64(32)
+        cut_ = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        with np.errstate(over="ignore"):
+            out.append(mixed(np.add.reduceat(spread, cut_) ^ mixed(part[cut_] + np.uint64(c << 48))))
+    return np.concatenate(out)
 
 
 class Relations:
     """The exact join inside one group of sets."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        """``sets`` in the common order of shingles."""
+        """``sets`` of ascending hashes. Inside, shingles are ordered by how many of the sets hold them."""
         self.percent, self.t = percent, percent / 100
         self.loose = max(1, int(100 * (self.t - CLOSE)))
         self.size = np.array([len(s) for s in sets])
         self.offset = np.r_[0, np.cumsum(self.size)]
-        _, self.token = np.unique(np.concatenate(sets), return_inverse=True)
+        _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), dtype=np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        of = np.repeat(np.arange(len(sets)), self.size)
+        self.token = np.sort(of * len(counts) + rank[token]) - of * len(counts)
         self.mark = np.zeros(int(self.token.max()) + 1 if len(self.token) else 1, dtype=bool)
         self.root = np.arange(len(sets))
         head = np.array([min(n, first_ones(n, self.loose)) for n in self.size.tolist()])
@@ -228,84 +223,89 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles`` long, ``component_id`` long, ``signature`` binary (equal for equal sets)."""
-    spark = df.sparkSession
+    """Per row: ``doc_id``, ``n_shingles`` long, ``component_id`` long."""
     rows = id_and_text(df, id_col, text_col)
-    level = spark.sparkContext.broadcast(levels(frequencies(rows, k)))  # BUCKETS bytes
+    starts, parts = classes(percent)
 
     def describe(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 found = shingles(*flat_utf8(part, "text"), k)
-                heads = [ranked(s, level.value)[: first_ones(len(s), percent)] for s in found]
-                ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-                flat = np.concatenate(heads).astype(np.uint64)
-                frequent = np.where(level.value[bucket(flat)] > 0, 1, 0).astype(np.uint64)
-                # The lowest bit of a key says whether its list may be long; 63 bits tell keys apart.
-                keys = ((flat & ~np.uint64(1)) | frequent).view(np.int64)
+                keys = [part_keys(s, starts, parts, percent) for s in found]
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([digest(s) for s in found], type=pa.binary()), pa.array([len(s) for s in found], type=pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
+                    [part.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in ([digest(s) for s in found], [len(s) for s in found])),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))],
                     names=["doc_id", "sig", "n", "keys"],
                 )
 
-    described = cut(rows.mapInArrow(describe, "doc_id long, sig binary, n long, keys array<long>"))
-    nodes = described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    entries = nodes.select("sig", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    usual, frequent = entries.where("key & 1 = 0"), entries.where("key & 1 = 1")
-
-    # Lists of ordinary length: runs of compatible sizes, each tied to its first member.
-    by_size = Window.partitionBy("key").orderBy("n", "sig")
-    usual = usual.withColumn("gap", F.when(100 * F.lag("n").over(by_size) >= percent * F.col("n"), 0).otherwise(1))
-    usual = usual.withColumn("run", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    usual = usual.withColumn("to", F.first("sig").over(Window.partitionBy("key", "run").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, 0)))
-    edges = usual.where("sig != to").select(F.col("sig").alias("a"), F.col("to").alias("b"))
-    # Long lists: compatible sizes lie in one class or the next, so each set is in two; salts share the work.
-    size_class = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
-    frequent = frequent.withColumn("class", F.explode(F.array(size_class, size_class + 1))).withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)))
-    salted = frequent.withColumn("to", F.min("sig").over(Window.partitionBy("key", "class", "salt")))
-    tops = salted.select("key", "class", "to").distinct()
-    tops = tops.withColumn("top", F.min("to").over(Window.partitionBy("key", "class")))
-    edges = edges.unionByName(salted.where("sig != to").select(F.col("sig").alias("a"), F.col("to").alias("b")))
-    edges = edges.unionByName(tops.where("to != top").select(F.col("to").alias("a"), F.col("top").alias("b")))
+    described = cut(rows.mapInArrow(describe, "doc_id long, sig long, n long, keys array<long>"))
+    filled = described.where("n > 0")
+    entries = filled.dropDuplicates(["sig"]).select("sig", F.explode("keys").alias("key"))
+    # Keys of very many sets, by a sample; their share bounds how many there can be (1 / FREQUENT).
+    sampled = entries.where(F.pmod(F.xxhash64("sig"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    sampled = cut(sampled)
+    least = max(16.0, FREQUENT * (sampled.agg(F.sum("n")).first()[0] or 0))
+    frequent = F.broadcast(sampled.where(F.col("n") >= least).select("key", F.lit(SALTS).alias("salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("sig", F.lit(1)), F.col("salts")), F.lit(0)).cast("int")
+    salted = entries.join(frequent, "key", "left").withColumn("salt", salt)
+
+    def tie(batches):
+        """Each set of a (key, salt) to its first one; rows come sorted, so one hub is all that is kept."""
+        held = None
+        for batch in batches:
+            key, salt_, sig = (batch.column(c).to_numpy() for c in ("key", "salt", "sig"))
+            if not len(key):
+                continue
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (salt_[1:] != salt_[:-1])]
+            if held is not None and held[:2] == (key[0], salt_[0]):
+                fresh[0] = False
+            hub = sig[np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))]
+            if not fresh[0]:
+                hub[: int(np.argmax(fresh)) if fresh.any() else len(hub)] = held[2]
+            held = (key[-1], salt_[-1], hub[-1])
+            out = hub != sig
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(hub[out])], names=["a", "b"])
+
+    edges = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(tie, "a long, b long")
+    hubs = entries.join(frequent, "key").groupBy("key", salt.alias("salt")).agg(F.min("sig").alias("hub"))
+    tops = hubs.groupBy("key").agg(F.min("hub").alias("top"), F.collect_set("hub").alias("hubs"))  # SALTS hubs a key at most
+    edges = edges.unionByName(tops.select(F.explode("hubs").alias("a"), F.col("top").alias("b")).where("a != b"))
 
     coarse = contract(edges)
-    members = coarse.join(nodes.select(F.col("sig").alias("node"), "doc_id", "n"), "node")
-    weight = coarse.join(described.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n")), "node").groupBy("root").agg(F.sum("n").alias("total"))
-    parts = F.ceil(F.col("total") / GROUP_SHINGLES).cast("int")
-    members = cut(members.join(weight, "root").select("node", "root", "doc_id", F.when(parts > 1, 2 * parts).otherwise(1).alias("parts")))
+    nodes = filled.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
+    members = cut(coarse.join(nodes, coarse.node == nodes.sig).select("node", "root", "id", "n"))
+    weight = members.groupBy("root").agg(F.sum("n").alias("total"))
+    pieces = F.ceil(F.col("total") / GROUP_SHINGLES).cast("int")
+    weight = weight.select("root", F.when(pieces > 1, 2 * pieces).otherwise(1).alias("pieces"))
+    members = members.join(weight, "root").select("node", "root", "id", "pieces")
 
     def sets(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 found = shingles(*flat_utf8(part, "text"), k)
+                # A row of the same id with another text has another digest.
                 same = [digest(s) == node for s, node in zip(found, part.column("node").to_pylist())]
-                data = [ranked(s, level.value).tobytes() for s, ok in zip(found, same) if ok]
                 kept = part.filter(pa.array(same, type=pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), kept.column("parts"), pa.array(data, type=pa.binary())], names=["node", "root", "parts", "set"])
-
-    texts = rows.join(members.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "root", "parts", "text")
-    held = texts.mapInArrow(sets, "node binary, root binary, parts int, set binary")
-    # A component of several parts meets itself part by part: group (i, j) holds parts i and j.
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+                data = pa.array([s.tobytes() for s, ok in zip(found, same) if ok], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), kept.column("pieces"), data], names=["node", "root", "pieces", "set"])
+
+    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "root", "pieces", "text")
+    held = texts.mapInArrow(sets, "node long, root long, pieces int, set binary")
+    # A group of several pieces meets itself piece by piece: pair (i, j) holds pieces i and j.
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     held = held.withColumn("pair", F.explode(pairs)).select("root", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "set")
 
     def join(batches):
-        key, nodes_, sets_ = None, [], []
+        key, held_ = None, {}
 
         def linked():
-            unique = dict(zip(nodes_, sets_))
-            names = list(unique)
+            names = np.array(list(held_), dtype=np.int64)
             if len(names) < 2:
                 return None
-            root = Relations([np.frombuffer(s, np.uint64) for s in unique.values()], percent).run()
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            if not len(moved):
-                return None
-            return pa.RecordBatch.from_arrays(
-                [pa.array([names[x] for x in side.tolist()], type=pa.binary()) for side in (moved, root[moved])], names=["a", "b"]
-            )
+            root = names[Relations([np.frombuffer(s, np.uint64) for s in held_.values()], percent).run()]
+            return pa.RecordBatch.from_arrays([pa.array(names[root != names]), pa.array(root[root != names])], names=["a", "b"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "set")]
@@ -313,24 +313,19 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
                 if (root, i, j) != key:
                     if (out := linked()) is not None:
                         yield out
-                    key, nodes_, sets_ = (root, i, j), [], []
-                nodes_.append(node)
-                sets_.append(data)
+                    key, held_ = (root, i, j), {}
+                held_[node] = data
         if (out := linked()) is not None:
             yield out
 
-    links = held.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a binary, b binary")
+    links = held.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a long, b long")
     found = contract(links)
 
-    smallest = described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    named = smallest.join(found, smallest.sig == found.node, "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("root"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.join(found, nodes.sig == found.node, "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
+    names = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_set = cut(named.join(names, "root").select(F.col("sig").alias("of"), "component_id"))
     joined = described.select("doc_id", "sig", "n").join(by_set, F.when(F.col("n") > 0, F.col("sig")) == F.col("of"), "left")
-    return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("sig")).alias("signature"),
-    )
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
