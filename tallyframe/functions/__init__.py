@@ -1 +1 @@
-
+"""Column builders: text normalisers and two-valued predicates."""

@@ -1 +1 @@
-
+"""Readers, catalogues of tables and columns, pages of rows, grouped sinks."""
