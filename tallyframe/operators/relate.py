@@ -49,7 +49,7 @@ def explicit_fk(columns: DataFrame, tables: DataFrame) -> DataFrame:
 
 def name_match(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Equal column names in several tables: key to foreign key 85, key and key 80, neither 60."""
-    known = columns.join(tables.select("table", "row_count", F.col("pos").alias("tpos")), "table")
+    known = columns.drop("row_count").join(tables.select("table", "row_count", F.col("pos").alias("tpos")), "table")
     name = F.lower("column")
     known = known.withColumn("name", name).withColumn(
         "key", name.endswith("id") | F.col("is_pk") | ((F.col("unique_count") == F.col("row_count")) & (F.col("row_count") > 0))

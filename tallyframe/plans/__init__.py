@@ -1 +1 @@
-
+"""Composed plans and the registered queries."""

@@ -1,10 +1,8 @@
-"""The registered queries of the library's own operators, and their DuckDB SQL."""
+"""All registered queries of the library's own operators, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyframe.plans import q_checks, q_grouping, q_profile, q_reconcile, q_relate, q_text  # noqa: F401
+from tallyframe.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
