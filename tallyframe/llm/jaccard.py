@@ -7,11 +7,13 @@ whole sequence is one). Equal sets are one node from the start, by a 64-bit dige
    the threshold agree on nine parts at least, whatever their differences. Sets that agree on a
    part are tied to one of them, so a part shared by m sets gives m edges; parts that very many sets
    share are split by salts. Texts that only share passages agree on no part, and aren't tied.
-2. Inside a group (or, past ``GROUP_SHINGLES``, inside each pair of its pieces) the sets are joined
+2. A set of which too few shingles occur twice in its group can't have a partner and leaves. Two bits for
+   each of ``SEEN`` hash values say which occur twice; a clash lets a set stay, it never drops one.
+3. Inside a group (or, past ``GROUP_SHINGLES``, inside each pair of its pieces) the sets are joined
    exactly (``Relations``): index lists ordered by position, of which the tail that cannot reach
    the threshold is skipped; and the answers of a set close to one just computed are derived
    from that one's by the triangle inequality of the Jaccard distance, without the index.
-3. Linked nodes are contracted to components, and components named by their smallest ``doc_id``.
+4. Linked nodes are contracted to components, and components named by their smallest ``doc_id``.
 
 Null and empty texts have empty sets, link with nothing and are their own component. Null ids count as
 documents but never name a component (a component of null ids only has a null name). Rows that repeat
@@ -35,6 +37,8 @@ from tallyframe.llm.rules import _BLANK, _VALUE, SLICE, Rolling
 RATIO, SPARE_SMALL, SPARE = 1.35, 64, 8
 #: A part key with this share of all keys, by a sample of one node in SAMPLE, is salted.
 SAMPLE, FREQUENT, SALTS = 64, 1e-5, 64
+#: Hash values of the table of shingles seen twice (a bit each reaches the tasks), and those that are sent together.
+SEEN, SENT = 1 << 27, 1 << 15
 #: Shingles that one task joins at once; a group with more is cut into pieces.
 GROUP_SHINGLES = 4 << 20
 #: A set within this distance of a computed one derives its answers from it.
@@ -105,6 +109,46 @@ def part_keys(hashes: np.ndarray, starts: np.ndarray, parts: np.ndarray, percent
     return np.concatenate(out)
 
 
+def seen_at(hashes: np.ndarray, root: int) -> np.ndarray:
+    """The places of a group's shingles in the table of SEEN values."""
+    return (mixed(hashes ^ mixed(np.array([root], dtype=np.int64).view(np.uint64))) >> np.uint64(64 - 27)).astype(np.int64)
+
+
+def seen_twice(held: DataFrame) -> np.ndarray:
+    """A bit for each place that two sets of a group hold; ``SEEN / 8`` bytes reach the driver."""
+
+    def places(batches):
+        parts, size = [], 0
+
+        def sent():
+            at, n = np.unique(np.concatenate(parts), return_counts=True)
+            code = ((at % SENT) | np.where(n > 1, SENT, 0)).astype("<u2")
+            cuts = np.flatnonzero(np.r_[True, np.diff(at // SENT) != 0, True])
+            data = [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array((at // SENT)[cuts[:-1]].astype(np.int32)), pa.array(data, type=pa.binary())], names=["chunk", "codes"])
+
+        for batch in batches:
+            for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
+                parts.append(seen_at(np.frombuffer(data, np.uint64), root))
+                size += len(parts[-1])
+                if size > GROUP_SHINGLES // 2:
+                    yield sent()
+                    parts, size = [], 0
+        if parts:
+            yield sent()
+
+    def both(key, found):
+        codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), "<u2")
+        bits = np.bincount(codes & (SENT - 1), minlength=SENT) > 1
+        bits[codes[codes >= SENT] & (SENT - 1)] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], type=pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())})
+
+    out = np.zeros(SEEN // 8, dtype=np.uint8)
+    for r in held.select("root", "set").mapInArrow(places, "chunk int, codes binary").groupBy("chunk").applyInArrow(both, "chunk int, bits binary").collect():
+        out[r.chunk * (SENT // 8) : (r.chunk + 1) * (SENT // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 class Relations:
     """The exact join inside one group of sets."""
 
@@ -275,10 +319,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     coarse = contract(edges)
     nodes = filled.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
     members = cut(coarse.join(nodes, coarse.node == nodes.sig).select("node", "root", "id", "n"))
-    weight = members.groupBy("root").agg(F.sum("n").alias("total"))
-    pieces = F.ceil(F.col("total") / GROUP_SHINGLES).cast("int")
-    weight = weight.select("root", F.when(pieces > 1, 2 * pieces).otherwise(1).alias("pieces"))
-    members = members.join(weight, "root").select("node", "root", "id", "pieces")
+    members = members.select("node", "root", "id")
 
     def sets(batches):
         for batch in batches:
@@ -288,10 +329,26 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
                 same = [digest(s) == node for s, node in zip(found, part.column("node").to_pylist())]
                 kept = part.filter(pa.array(same, type=pa.bool_()))
                 data = pa.array([s.tobytes() for s, ok in zip(found, same) if ok], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), kept.column("pieces"), data], names=["node", "root", "pieces", "set"])
+                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), data], names=["node", "root", "set"])
 
-    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "root", "pieces", "text")
-    held = texts.mapInArrow(sets, "node long, root long, pieces int, set binary")
+    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "root", "text")
+    held = cut(texts.mapInArrow(sets, "node long, root long, set binary"))
+    twice = df.sparkSession.sparkContext.broadcast(seen_twice(held))
+
+    def may_link(batches):
+        for batch in batches:
+            ok = []
+            for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
+                at = seen_at(np.frombuffer(data, np.uint64), root)
+                shared = int(((twice.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).sum())
+                ok.append(100 * shared >= percent * len(at))
+            yield batch.filter(pa.array(ok, type=pa.bool_()))
+
+    held = held.mapInArrow(may_link, "node long, root long, set binary")
+    weight = held.groupBy("root").agg(F.sum(F.octet_length("set") / 8).alias("total"), F.count("*").alias("sets")).where("sets > 1")
+    pieces = F.ceil(F.col("total") / GROUP_SHINGLES).cast("int")
+    weight = cut(weight.select("root", F.when(pieces > 1, 2 * pieces).otherwise(1).alias("pieces")))
+    held = held.join(weight, "root")
     # A group of several pieces meets itself piece by piece: pair (i, j) holds pieces i and j.
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
