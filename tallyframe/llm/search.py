@@ -6,10 +6,12 @@ every term (component). For a query, a block's bound is the sum of its term maxi
 times the block's largest (or, for a negative weight, smallest) weight. Blocks are scored in the order
 of their bounds, through their forward indexes, until the bounds fall below the k-th score so far.
 
-The query set meets each range once, in chunks, and the best ``k`` of each meeting are merged. Scores are exact integers. Ties go to the smaller ``vec_id``. Vectors that are
-null, or hold null or non-finite components, and rows with a null id take no part; a shorter vector
-counts as padded with zeros. A query id that repeats is asked once, with its smallest vector; repeated
-candidate rows count each, but a query's own id never does. Scores beyond 64 bits are clipped.
+A query's k-th score within its own range is a bound to start from; then the query set meets each range
+once, in chunks, and the best ``k`` of the meetings are merged. Scores are exact integers; ties go to the
+smaller ``vec_id``. Vectors that are null, or hold null or non-finite components, and rows with a null id
+take no part; a shorter vector counts as padded with zeros. A query id that repeats is asked once, with its
+smallest vector; repeated candidate rows count each, but a query's own id never does. Scores beyond 64
+bits are clipped.
 """
 
 from __future__ import annotations
@@ -69,12 +71,17 @@ class Blocks:
         self.high = np.maximum.reduceat(matrix, cuts, axis=0)
         self.low = np.minimum.reduceat(matrix, cuts, axis=0)
 
-    def top(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-        """The k best of the group for each query: place of the query, vec_id, score."""
+    def widened(self, width: int) -> Blocks:
+        """The same blocks with zeros up to a width."""
+        missing = width - self.matrix.shape[1]
+        return self if missing <= 0 else Blocks(self.ids, np.pad(self.matrix, ((0, 0), (0, missing))), self.size)
+
+    def top(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The k best of the group for each query: place of the query, vec_id, score; none below ``least``, a known bound."""
         n = len(ids)
         bounds = scores(np.maximum(queries, 0), self.high) + scores(np.minimum(queries, 0), self.low)
         order = np.argsort(-bounds, axis=1, kind="stable")
-        kth = np.full(n, np.iinfo(np.int64).min)
+        kth = np.full(n, np.iinfo(np.int64).min) if least is None else least.copy()
         best = tuple(np.empty(0, dtype=np.int64) for _ in range(3))  # place of the query, vec_id, score
         open_ = np.arange(n)
         for step in range(bounds.shape[1]):
@@ -90,8 +97,8 @@ class Blocks:
                 q, b = open_[part], block[part[0]]
                 rows = slice(b * self.size, (b + 1) * self.size)
                 found, names = scores(queries[q], self.matrix[rows]), self.ids[rows]
-                least = np.partition(found, -k - 1, axis=1)[:, -k - 1] if len(names) > k + 1 else np.full(len(q), kth.min())
-                at, row = np.nonzero(found >= np.maximum(least, kth[q])[:, None])
+                least_here = np.partition(found, -k - 1, axis=1)[:, -k - 1] if len(names) > k + 1 else np.full(len(q), kth.min())
+                at, row = np.nonzero(found >= np.maximum(least_here, kth[q])[:, None])
                 other = names[row] != ids[q[at]]
                 at, row = at[other], row[other]
                 fresh.append((q[at], names[row], found[at, row]))
@@ -101,7 +108,7 @@ class Blocks:
             first = np.searchsorted(best[0], best[0])
             place = np.arange(len(first)) - first
             full = place == k - 1
-            kth[best[0][full]] = best[2][full]
+            kth[best[0][full]] = np.maximum(kth[best[0][full]], best[2][full])
             best = tuple(x[place < k] for x in best)
         return best
 
@@ -112,38 +119,55 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     ``is_query`` chooses the queries among the rows.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("asked"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     rows = rows.where("vec_id is not null and v is not null")
 
     def code(batches):
         for batch in batches:
             found = coarse_code(_matrix(batch.column("v"))) if batch.num_rows else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(found)], names=["vec_id", "v", "code"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "asked")), pa.array(found)], names=["vec_id", "v", "asked", "code"])
 
     # Ranges of (code, id): ids are many, so a code that many rows share is spread over ranges.
     n = rows.count()
     groups = max(-(-n // GROUP), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)), 1)
-    coded = rows.select("vec_id", "v").mapInArrow(code, "vec_id long, v array<long>, code long")
+    coded = rows.mapInArrow(code, "vec_id long, v array<long>, asked boolean, code long")
     ranged = coded.repartitionByRange(groups, "code", "vec_id")
-    pieces = cut(ranged.select(F.spark_partition_id().alias("part"), "code", "vec_id", "v"))
+    pieces = cut(ranged.select(F.spark_partition_id().alias("part"), "code", "vec_id", "v", "asked"))
     last = pieces.agg(F.max("part")).first()[0]
+
+    def blocks_of(held: pa.Table) -> Blocks:
+        held = held.sort_by([("code", "ascending"), ("vec_id", "ascending")])
+        return Blocks(held.column("vec_id").to_numpy(), _matrix(held.column("v")), BLOCK)
+
+    def results(blocks: Blocks, asks: pa.Table, least: np.ndarray):
+        ids, matrix = asks.column("vec_id").to_numpy(), _matrix(asks.column("v"))
+        blocks, matrix = blocks.widened(matrix.shape[1]), np.pad(matrix, ((0, 0), (0, max(0, blocks.matrix.shape[1] - matrix.shape[1]))))
+        for start in range(0, len(ids), CHUNK):
+            part = slice(start, start + CHUNK)
+            yield start, ids[part], *blocks.top(ids[part], matrix[part], k, least[part])
+
+    def own_bound(held):
+        """The k-th score of each query within its own range: no better row scores less."""
+        asks = held.filter(held.column("asked"))
+        least = np.full(asks.num_rows, np.iinfo(np.int64).min)
+        if asks.num_rows:
+            for start, ids, at, _, score in results(blocks_of(held), asks, least):
+                full = np.bincount(at, minlength=len(ids)) >= k
+                low = np.full(len(ids), np.iinfo(np.int64).max)
+                np.minimum.at(low, at, score)
+                least[start : start + len(ids)][full] = low[full]
+        return pa.table({"vec_id": asks.column("vec_id"), "v": asks.column("v"), "least": least})
+
+    asked = pieces.groupBy("part").applyInArrow(own_bound, "vec_id long, v array<long>, least long")
+    asked = cut(asked.groupBy("vec_id").agg(F.min(F.struct("v", "least")).alias("q")).select("vec_id", "q.*"))
     # Every query is sent to every range: the query set against all rows, in blocks.
-    asked = rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("part"), "vec_id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("part"), "vec_id", "v", "least")
 
     def meet(asks: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         if held.num_rows and asks.num_rows:
-            held = held.sort_by([("code", "ascending"), ("vec_id", "ascending")])
-            ids, matrix = asks.column("vec_id").to_numpy(), _matrix(asks.column("v"))
-            rows = _matrix(held.column("v"))
-            width = max(matrix.shape[1], rows.shape[1])
-            matrix, rows = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (matrix, rows))
-            blocks = Blocks(held.column("vec_id").to_numpy(), rows, BLOCK)
-            for start in range(0, len(ids), CHUNK):
-                part = slice(start, start + CHUNK)
-                at, vec, score = blocks.top(ids[part], matrix[part], k)
-                out.append((ids[part][at], vec, score))
+            for _, ids, at, vec, score in results(blocks_of(held), asks, asks.column("least").to_numpy()):
+                out.append((ids[at], vec, score))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))))
 
