@@ -60,7 +60,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_documents(docs, net)
     return scored.select(
-        "doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted")
+        "doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted")
     )
 
 
