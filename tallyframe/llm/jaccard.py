@@ -272,20 +272,24 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     starts, parts = classes(percent)
 
     def describe(batches):
+        seen: set[int] = set()  # a set's keys are sent once a task; more copies of them do no harm
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 found = shingles(*flat_utf8(part, "text"), k)
-                keys = [part_keys(s, starts, parts, percent) for s in found]
+                sigs, keys = [digest(s) for s in found], []
+                for sig, s in zip(sigs, found):
+                    keys.append(part_keys(s if sig not in seen else s[:0], starts, parts, percent))
+                    seen.add(sig)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in ([digest(s) for s in found], [len(s) for s in found])),
+                    [part.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in (sigs, [len(s) for s in found])),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))],
                     names=["doc_id", "sig", "n", "keys"],
                 )
 
     described = cut(rows.mapInArrow(describe, "doc_id long, sig long, n long, keys array<long>"))
     filled = described.where("n > 0")
-    entries = filled.dropDuplicates(["sig"]).select("sig", F.explode("keys").alias("key"))
+    entries = filled.select("sig", F.explode("keys").alias("key"))
     # Keys of very many sets, by a sample; their share bounds how many there can be (1 / FREQUENT).
     sampled = entries.where(F.pmod(F.xxhash64("sig"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
     sampled = cut(sampled)
