@@ -122,7 +122,7 @@ class TextEncoder:
     tokens, which aren't words, are encoded by it.
     """
 
-    SLOTS, POOL, BLOCK = 1 << 20, 6 << 20, 1 << 20
+    SLOTS, POOL, BLOCK = 1 << 20, 4 << 20, 1 << 19
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

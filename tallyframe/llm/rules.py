@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm._common import flat_utf8, id_and_text, keep_rows, mixed, slices
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Fewer words than this fail, or a larger share (percent) of words in repeated 3-grams.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Largest share of a text's word characters in repeats: by n-gram length, and in repeated lines (0).
