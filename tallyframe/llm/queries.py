@@ -105,4 +105,23 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{k}', '{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}', '{v}')" for k, v in urls.RULES.items())
+_BLOCKED_SQL = ", ".join(f"('{b}')" for b in urls.BLOCKED)
+
+#: What SQL can express; the others are tested against brute force in ``tests/llm``.
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.e, d.e)::bigint as score from v q join v d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s) select * from r where rank <= 20""",
+    "op2_warc_captures": """with p as (select page_id, coalesce(html, '') as h from pages), g as (select *, sha1(h) as x, max(page_id) over (partition by h) as m from p)
+select page_id, strlen(h) as payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+ ((('0x' || substr(x, (i // 4 * 5 + 1)::int, 5))::bigint >> ((3 - i % 4) * 5)::int) & 31)::int + 1, 1)), 'string_agg', '') as payload_digest,
+case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to from g""",
+    "op9_url_filters": f"""with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r as (select * from (values {_RULES_SQL}) t(rule, rhost, rpath, says)), b as (select * from (values {_BLOCKED_SQL}) t(bhost)),
+f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(says, length(rule)) as says from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by 1),
+l as (select page_id, arg_max(bhost, length(bhost)) as listed from p join b on host = bhost or ends_with(host, '.' || bhost) group by 1)
+select page_id, host, path, rule, listed, coalesce(says, case when listed is not null then 'block' else 'allow' end) as verdict from p left join f using (page_id) left join l using (page_id)""",
+}
