@@ -26,7 +26,7 @@ from tallyframe.llm._common import id_and_text, scratch, slices, strings
 from tallyframe.llm.bpe import encoder, load
 
 #: Ids of a sequence; ids of a shard, about; BM25's two parameters; terms of a seed's query.
-WINDOW, SHARD_TOKENS, K1, B, QUERY_TERMS = 4096, 3 << 20, 1.2, 0.75, 24
+WINDOW, SHARD_TOKENS, K1, B, QUERY_TERMS = 4096, 1 << 20, 1.2, 0.75, 24
 
 
 def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str, text_col: str) -> DataFrame:
