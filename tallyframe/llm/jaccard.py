@@ -272,53 +272,58 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     starts, parts = classes(percent)
 
     def describe(batches):
-        seen: set[int] = set()  # a set's keys are sent once a task; more copies of them do no harm
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 found = shingles(*flat_utf8(part, "text"), k)
-                sigs, keys = [digest(s) for s in found], []
-                for sig, s in zip(sigs, found):
-                    keys.append(part_keys(s if sig not in seen else s[:0], starts, parts, percent))
-                    seen.add(sig)
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in (sigs, [len(s) for s in found])),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))],
-                    names=["doc_id", "sig", "n", "keys"],
-                )
-
-    described = cut(rows.mapInArrow(describe, "doc_id long, sig long, n long, keys array<long>"))
+                columns = [pa.array(x, type=pa.int64()) for x in ([digest(s) for s in found], [len(s) for s in found])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "sig", "n"])
+
+    def keys_of(batches):
+        seen: set[int] = set()  # a set's keys are sent once a task; more copies of them do no harm
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                new = {digest(s): s for s in shingles(*flat_utf8(part, "text"), k)}
+                new = {sig: part_keys(s, starts, parts, percent) for sig, s in new.items() if len(s) and sig not in seen}
+                seen.update(new)
+                sigs = np.repeat(np.array(list(new), dtype=np.int64), [len(x) for x in new.values()])
+                keys = np.concatenate([*new.values(), np.empty(0, dtype=np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(keys)], names=["sig", "key"])
+
+    # Two passes over the texts: keys are far larger than digests, and only their shuffle holds them.
+    described = cut(rows.mapInArrow(describe, "doc_id long, sig long, n long"))
     filled = described.where("n > 0")
-    entries = filled.select("sig", F.explode("keys").alias("key"))
+    entries = rows.mapInArrow(keys_of, "sig long, key long")
     # Keys of very many sets, by a sample; their share bounds how many there can be (1 / FREQUENT).
-    sampled = entries.where(F.pmod(F.xxhash64("sig"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
-    sampled = cut(sampled)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(keys_of, "sig long, key long")
+    sampled = cut(some.groupBy("key").agg(F.count("*").alias("n")))
     least = max(16.0, FREQUENT * (sampled.agg(F.sum("n")).first()[0] or 0))
-    frequent = F.broadcast(sampled.where(F.col("n") >= least).select("key", F.lit(SALTS).alias("salts")))
-    salt = F.coalesce(F.pmod(F.xxhash64("sig", F.lit(1)), F.col("salts")), F.lit(0)).cast("int")
-    salted = entries.join(frequent, "key", "left").withColumn("salt", salt)
+    frequent = F.broadcast(sampled.where(F.col("n") >= least).select("key", F.lit(True).alias("hot")))
+    salted = entries.join(frequent, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(SALTS))).otherwise(0).cast("int"))
 
     def tie(batches):
-        """Each set of a (key, salt) to its first one; rows come sorted, so one hub is all that is kept."""
+        """Each set of a (key, salt) to its first one, and the first ones of salted keys; rows come sorted, so one hub is kept."""
         held = None
         for batch in batches:
-            key, salt_, sig = (batch.column(c).to_numpy() for c in ("key", "salt", "sig"))
+            key, salt, sig = (batch.column(c).to_numpy() for c in ("key", "salt", "sig"))
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
             if not len(key):
                 continue
-            fresh = np.r_[True, (key[1:] != key[:-1]) | (salt_[1:] != salt_[:-1])]
-            if held is not None and held[:2] == (key[0], salt_[0]):
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+            if held is not None and held[:2] == (key[0], salt[0]):
                 fresh[0] = False
             hub = sig[np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))]
             if not fresh[0]:
                 hub[: int(np.argmax(fresh)) if fresh.any() else len(hub)] = held[2]
-            held = (key[-1], salt_[-1], hub[-1])
-            out = hub != sig
-            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(hub[out])], names=["a", "b"])
-
-    edges = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(tie, "a long, b long")
-    hubs = entries.join(frequent, "key").groupBy("key", salt.alias("salt")).agg(F.min("sig").alias("hub"))
-    tops = hubs.groupBy("key").agg(F.min("hub").alias("top"), F.collect_set("hub").alias("hubs"))  # SALTS hubs a key at most
-    edges = edges.unionByName(tops.select(F.explode("hubs").alias("a"), F.col("top").alias("b")).where("a != b"))
+            held = (key[-1], salt[-1], hub[-1])
+            out = (hub != sig) | (fresh & hot)
+            columns = [pa.array(sig[out]), pa.array(hub[out]), pa.array(key[out], mask=~(fresh & hot)[out])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+
+    tied = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(tie, "a long, b long, key long")
+    tied = cut(tied.distinct())
+    tops = tied.where("key is not null").groupBy("key").agg(F.min("a").alias("top"), F.collect_set("a").alias("hubs"))  # SALTS hubs a key at most
+    edges = tied.select("a", "b").unionByName(tops.select(F.explode("hubs").alias("a"), F.col("top").alias("b")))
 
     coarse = contract(edges)
     nodes = filled.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
