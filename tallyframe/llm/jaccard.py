@@ -131,7 +131,7 @@ def seen_twice(held: DataFrame) -> np.ndarray:
             for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
                 parts.append(seen_at(np.frombuffer(data, np.uint64), root))
                 size += len(parts[-1])
-                if size > GROUP_SHINGLES // 2:
+                if size > GROUP_SHINGLES // 4:
                     yield sent()
                     parts, size = [], 0
         if parts:

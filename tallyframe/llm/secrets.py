@@ -120,7 +120,7 @@ class Scanner:
         self.rules = [(kind, re.compile(p), group, least, trigram_query(p)) for kind, p, group, least in rules]
         self.rank = {kind: i for i, (kind, *_) in enumerate(rules)}
         self.wanted = sorted(set().union(*(trigrams(r[4]) for r in self.rules)))
-        self.number = np.zeros(1 << 24, dtype=np.uint16)
+        self.number = np.zeros(1 << 24, dtype=np.uint8 if len(self.wanted) < 256 else np.uint16)
         for i, t in enumerate(self.wanted):
             self.number[int.from_bytes(t, "big")] = i + 1
         self.lower = np.arange(256, dtype=np.uint8)
