@@ -111,6 +111,22 @@ def test_packing_fills_a_window_with_neighbours():
     assert packing.order_documents(docs, np.ones(10), 120.0) == [0, 2, 1, 3]
 
 
+def test_packing_seeks_neighbours_in_all_shards(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    topics = r.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "lambda", "zeta"], size=(8, 6))
+    texts = [" ".join(r.choice(topics[i % 8], size=int(r.integers(20, 1500)))) for i in range(120)] + ["same text"] * 30
+    t = Tokenizer.from_file(WORD)
+    docs = [np.array([*t.encode(x, add_special_tokens=False).ids, 2]) for x in texts]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=t.get_vocab_size())
+    weight = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5))
+    expected = packing.order_documents(docs, weight, sum(map(len, docs)) / len(docs))
+    monkeypatch.setattr(packing, "NEAREST", 3)  # lists that end early are asked for again
+    monkeypatch.setattr(packing, "SEEDS", 8)
+    for shard_tokens in (4000, 1 << 20):
+        found = packing.pack_documents(frame(spark, texts), WORD, shard_tokens=shard_tokens).where("start = 0").orderBy("sequence_id", "offset").collect()
+        assert [r.doc_id for r in found] == expected
+
+
 def brute_spans(text):
     rule = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     spans = [("assign", m.start(), m.end()) for m in rule.finditer(text) if len(m[2]) >= 6]
