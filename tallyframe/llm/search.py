@@ -97,7 +97,9 @@ class Blocks:
                 q, b = open_[part], block[part[0]]
                 rows = slice(b * self.size, (b + 1) * self.size)
                 found, names = scores(queries[q], self.matrix[rows]), self.ids[rows]
-                least_here = np.partition(found, -k - 1, axis=1)[:, -k - 1] if len(names) > k + 1 else np.full(len(q), kth.min())
+                # A query's own rows, however often they repeat, take none of the k places.
+                found[names == ids[q][:, None]] = np.iinfo(np.int64).min
+                least_here = np.partition(found, -k, axis=1)[:, -k] if len(names) > k else np.full(len(q), kth.min())
                 at, row = np.nonzero(found >= np.maximum(least_here, kth[q])[:, None])
                 other = names[row] != ids[q[at]]
                 at, row = at[other], row[other]

@@ -46,6 +46,19 @@ def test_blocks_stop_and_stay_exact():
     assert set(zip(ids[at].tolist(), vec.tolist(), score.tolist())) == {(q, v, s) for q, _, v, s in brute_top(ids.tolist(), matrix, range(40), 5)}
 
 
+@pytest.mark.parametrize("copies", [2, 3, 21, 30])
+def test_repeated_query_ids_take_no_place(spark, copies):
+    r = np.random.default_rng(copies)
+    matrix = r.integers(-50, 51, size=(200, 8))
+    matrix[:copies] = 60 * np.sign(matrix[0])  # its own best partner
+    ids = [0] * copies + list(range(1, 201 - copies))
+    at, vec, score = search.Blocks(np.array(ids), matrix, 256).top(np.array([0]), matrix[:1], 20)
+    expected = brute_top(ids, matrix, [0], 20)
+    assert sorted(zip(vec.tolist(), score.tolist())) == sorted((v, s) for _, _, v, s in expected)
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in zip(ids, matrix)], "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in search.top_k(df, F.col("vec_id") == 0, k=20).collect()} == expected
+
+
 def test_large_components_stay_exact():
     a = np.array([[2**40, -(2**41)]])
     assert search.scores(a, a).tolist() == [[2**63 - 1]]
