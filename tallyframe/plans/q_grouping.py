@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions import text as tx
 from tallyframe.operators import grouping as g
 from tallyframe.operators import multivalue as m
 from tallyframe.plans.q_profile import _folder
@@ -156,14 +155,15 @@ def mv_vocabulary(spark, sf_dir):
 def mv_segment(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     brand, kind = F.lower("p_brand"), F.lower(F.regexp_replace("p_type", " ", ""))
-    words = [r.w for r in part.select(F.explode(F.array(brand, kind)).alias("w")).distinct().orderBy("w").limit(m.MOST_WORDS).collect()]  # brands and types: some hundred words
-    return part.select("p_partkey", F.array_join(tx.segment(F.concat(brand, kind), words), "+").alias("parts"))
+    words = part.select(F.explode(F.array(brand, kind)).alias("atom")).distinct()
+    packed = part.select("p_partkey", F.concat(brand, kind).alias("value"))
+    return packed.join(m.segments(packed, words), "value", "left").select("p_partkey", F.array_join("parts", "+").alias("parts"))
 
 
 @query("""select 'packed' as "column", 'VocabularySegmented' as method, count(*) as total_count, count(*) as multi_value_count, 0.95 as confidence from part""")
 def mv_segment_report(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     brand, kind = F.lower("p_brand"), F.lower(F.regexp_replace("p_type", " ", ""))
-    words = [r.w for r in part.select(F.explode(F.array(brand, kind)).alias("w")).distinct().orderBy("w").limit(m.MOST_WORDS).collect()]  # brands and types: some hundred words
+    words = part.select(F.explode(F.array(brand, kind)).alias("atom")).distinct()
     found = m.vocabulary_segmented_report(part.select(F.concat(brand, kind).alias("packed")), words)
     return found.select("column", "method", "total_count", "multi_value_count", "confidence")

@@ -69,6 +69,17 @@ def test_segment_takes_the_earliest_start(spark):
     assert [r[0] for r in df.select(tx.segment(F.col("v"), ["a", "b", "ab", "aba"])).collect()] == [["ab", "ab"], None, None, None]
 
 
+def test_a_large_vocabulary_still_segments(spark, monkeypatch):
+    atoms = ["red", "redgreen", "blue", "green", "ébène", "gold", "pink"]
+    cells = ["redgreenblue", "ébènegold", "pinkpink", "nothing", "red", "redgreenblue"]
+    df = spark.createDataFrame([(";".join(atoms[i:] + atoms[:i]), c) for i, c in enumerate(cells)], "listed string, packed string")
+    small = {tuple(r) for r in multivalue.detect_multi_value({"t": df}).collect()}
+    monkeypatch.setattr(multivalue, "MOST_WORDS", 6)
+    assert {tuple(r) for r in multivalue.detect_multi_value({"t": df}).collect()} == small
+    assert {tuple(r) for r in multivalue.detect_multi_value({"t": df}, atoms).collect()} == small
+    assert ("packed", "VocabularySegmented", 6, 4) in {(r.column, r.method, r.total_count, r.multi_value_count) for r in multivalue.detect_multi_value({"t": df}).collect()}
+
+
 def test_profile_boundaries(spark):
     rows = [(i, f"u{i}", "x" if i < 2 else "y", None if i else "a@b.c") for i in range(40)]
     df = spark.createDataFrame(rows, "n long, u string, c string, e string")
