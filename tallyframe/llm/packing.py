@@ -1,102 +1,81 @@
 """Lexical retrieval packing: documents into token sequences, neighbours by BM25 together.
 
-1. Documents are sorted by id, in shards of about ``SHARD_TOKENS`` tokens, and become token ids (a written
-   table). A shard also gets one row with its inverted index: tokens, documents, counts. Document
-   frequencies of all tokens are counted over all documents; the vocabulary bounds them.
-2. The document with the smallest id not used yet is the seed of a window; its unused neighbours of the
-   whole table, best first, fill the window greedily. The document that meets the window's end is cut
-   there and goes on in the next window, so windows are full.
-3. Seeds are asked in batches: every shard's index scores all its unused documents for each seed, a task sends
-   its ``nearest`` best, and the driver merges them down to the worst place that no task may have cut off.
-   A seed whose merged list ends before its window is full is asked again, without what is used by then,
-   so the order equals that of ``order_documents`` over all documents, whatever the shards.
-4. The last ids, fewer than a window, are cut into sequences whose sizes are powers of two, which
+1. Whole texts become token ids (a written table). Document frequencies of all tokens are counted over
+   all documents; the vocabulary bounds them.
+2. Documents are ordered by content: by their leading terms, those first that they hold most in excess of
+   the table. A range of that order is a task, and stretches of about ``SHARD_TOKENS`` ids in it are the
+   shards of the index, so texts that share their leading terms share a shard: where the first one has
+   too much text the next ones decide. Copies lie next to each other.
+3. Each shard has an inverted index with BM25 weights of the whole table. The first document not used yet
+   is the seed of a window; its unused neighbours, best first, fill the window greedily. The document
+   that meets the window's end is cut there and goes on in the next window, so windows are full.
+4. A shard's last ids, fewer than a window, are cut into sequences whose sizes are powers of two, which
    need no padding.
 
-A null or empty text is the end id alone. Null ids and repeated rows are packed each. No id is dropped.
-The driver keeps a few numbers a document, no text. Scoring grows with windows times documents.
+A null or empty text is the end id alone. Null ids and repeated rows are packed each; an empty table gives
+no piece; other columns of the frame are not looked at. No id is dropped. A task holds one shard, or one
+longer document. Work grows with the table: a seed meets one shard, never all. What that costs in
+neighbours against one index over the whole table is stated in the README.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm._common import id_and_text, scratch, slices, strings
 from tallyframe.llm.bpe import encoder, load
 
-#: Ids of a sequence; ids of a shard, about; BM25's two parameters; terms of a seed's query.
-WINDOW, SHARD_TOKENS, K1, B, QUERY_TERMS = 4096, 1 << 20, 1.2, 0.75, 24
-#: Seeds of the first batch and at most; neighbours that a task sends for a seed, at first and at most; neighbours that
-#: the tasks send at once, about; totals that a task holds at once.
-SEEDS, MOST_SEEDS, NEAREST, MOST_NEAREST, SENT, TOTALS = 512, 2048, 32, 1024, 1 << 20, 1 << 20
-
-#: Columns of a shard's index.
-INDEX = ("sizes", "terms", "starts", "docs", "counts")
+#: Ids of a sequence; ids of a shard, about; BM25's two parameters.
+WINDOW, SHARD_TOKENS, K1, B = 4096, 1 << 20, 1.2, 0.75
+#: Leading terms that order the documents; most tasks that the order is dealt to (each works through its shards one by one).
+LEADS, MOST_TASKS = 8, 20_000
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str, text_col: str, shard_tokens: int) -> DataFrame:
-    """Write and reread a row per document in the order of ids: ``shard, place`` int, ``doc_id, n`` long, ``ids`` binary (little-endian
-    uint32 or, if they fit, uint16); and a row per shard: ``sizes`` of its documents and ``terms, starts, docs, counts`` of its index, binary.
-    """
+def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str, text_col: str) -> DataFrame:
+    """Write and reread a row per document: ``doc_id, n`` long, ``ids`` binary (little-endian uint32 or, if they fit, uint16)."""
     content = df.sparkSession.sparkContext.broadcast(load(tokenizer_path))
-    rows = id_and_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    size = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
-    # The text's digest deals rows that share an id; equal rows are alike.
-    ranged = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange(max(1, -(-size // (4 * shard_tokens))), "doc_id", "digest")
-    ranged = ranged.sortWithinPartitions("doc_id", "digest", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    types = {"shard": pa.int32(), "place": pa.int32(), "doc_id": pa.int64(), "n": pa.int64()} | {c: pa.binary() for c in ("ids", *INDEX)}
-
-    def batch_of(rows: int, /, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], type=t) if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
 
     def run(batches):
         tool = encoder(content.value)
         kind = "<u2" if len(tool.names) <= 1 << 16 else "<u4"
-        shard, terms, counts_, sizes = None, [], [], []
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                shard = part.column("shard")[0].as_py()
                 ids, counts = tool.encode(strings(part, "text"))
                 ends = np.cumsum(counts)
-                data, first = [], len(sizes)
-                for e, c in zip(ends.tolist(), counts.tolist()):
-                    own = np.append(ids[e - c : e], end_id).astype(kind)
-                    data.append(own.tobytes())
-                    term, n = np.unique(own, return_counts=True)
-                    terms.append(term.astype(np.int32))
-                    counts_.append(n.astype(np.uint32))
-                    sizes.append(c + 1)
-                yield batch_of(
-                    part.num_rows, shard=part.column("shard").to_pylist(), place=range(first, len(sizes)),
-                    doc_id=part.column("doc_id").to_pylist(), n=sizes[first:], ids=data,
-                )
-        if sizes:
-            doc = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
-            term, count = np.concatenate(terms), np.concatenate(counts_)
-            order = np.argsort(term, kind="stable")
-            used, start = np.unique(term[order], return_index=True)
-            arrays = (np.array(sizes, dtype=np.int64), used, np.append(start, len(order)).astype(np.int64), doc[order], count[order])
-            yield batch_of(1, shard=[shard], **{c: [x.tobytes()] for c, x in zip(INDEX, arrays)})
-
-    schema = "shard int, place int, doc_id long, n long, ids binary, sizes binary, terms binary, starts binary, docs binary, counts binary"
-    ranged.mapInArrow(run, schema).write.parquet(path)
+                data = [np.append(ids[e - c : e], end_id).astype(kind).tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts + 1), pa.array(data, type=pa.binary())], names=["doc_id", "n", "ids"])
+
+    id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n long, ids binary").write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def flat_ids(part: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch end to end, and the ``rows + 1`` offsets of its documents."""
+    values = part.column("ids").cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def postings(flat: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of each document: document, token, count, in the order of documents and tokens."""
+    key = np.sort(np.repeat(np.arange(len(offsets) - 1) * size, np.diff(offsets)) + flat)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+    return key[first] // size, key[first] % size, np.diff(np.r_[first, len(key)])
+
+
 def document_frequencies(docs: DataFrame, kind: str, size: int) -> np.ndarray:
     """How many documents hold each token. A task sends a row per token at most, the driver gets as many."""
 
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                seen = np.zeros(size, dtype=bool)
-                seen[np.frombuffer(ids.as_buffer(), dtype=kind)] = True
-                total += seen
+            for part in slices(batch, "ids"):
+                total += np.bincount(postings(*flat_ids(part, kind), size)[1], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["token", "n"])
 
@@ -107,232 +86,99 @@ def document_frequencies(docs: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-def query_terms(terms: np.ndarray, count: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The leading terms of a document, by weight and count."""
-    return terms[np.argsort(-weight[terms] * np.sqrt(count), kind="stable")[:QUERY_TERMS]]
-
-
-def best_of(seed: np.ndarray, place: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """The ``most`` best of each seed, best first; ties to the smaller place."""
-    order = np.lexsort((place, -score, seed))
-    seed, place, score = seed[order], place[order], score[order]
-    keep = np.arange(len(seed)) - np.searchsorted(seed, seed) < most
-    return seed[keep], place[keep], score[keep]
-
-
-class Shard:
-    """The inverted index of a shard, with the weights of BM25."""
-
-    def __init__(self, row: dict, first: int, weight: np.ndarray, mean: float):
-        sizes, self.terms, self.starts, self.docs, counts = (
-            np.frombuffer(row[c], dtype=t) for c, t in zip(INDEX, (np.int64, np.int32, np.int64, np.int32, np.uint32))
-        )
-        count, length = counts.astype(np.float64), sizes.astype(np.float64)
-        term = np.repeat(self.terms, np.diff(self.starts))
-        self.score = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[self.docs] / mean))
-        self.first, self.size = first, len(sizes)
-
-    def found(self, terms: np.ndarray, seed: np.ndarray, used: np.ndarray, most: int, least: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The ``most`` best unused documents for each seed, given as terms one after another: seed, place, score; none below ``least``."""
-        n = len(least)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        held = self.terms[at] == terms
-        at, seed = at[held], seed[held]
-        sizes = self.starts[at + 1] - self.starts[at]
-        flat = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        key = np.repeat(seed * self.size, sizes) + self.docs[flat]
-        total = np.bincount(key, weights=self.score[flat], minlength=n * self.size).reshape(n, self.size)
-        total[:, used] = 0
-        if self.size > most and not least.any():
-            least = np.partition(total, -most, axis=1)[:, -most]
-        row, doc = np.nonzero(total >= np.maximum(least, np.nextafter(0, 1))[:, None])
-        return best_of(row, doc + self.first, total[row, doc], most)
+def bm25(doc: np.ndarray, token: np.ndarray, count: np.ndarray, sizes: np.ndarray, weight: np.ndarray, mean: float) -> np.ndarray:
+    """The BM25 weight of each posting; ``weight``: a token's inverse document frequency; ``mean``: the documents' mean length."""
+    return weight[token] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[doc] / mean))
+
+
+def leads(flat: np.ndarray, offsets: np.ndarray, frequency: np.ndarray) -> list[bytes]:
+    """Each document's leading terms, as a string of bytes in whose order documents that share them come together.
+
+    A term leads by its count times the logarithm of that count over what the table's frequencies let one expect.
+    """
+    doc, token, count = postings(flat, offsets, len(frequency))
+    expected = np.diff(offsets)[doc] * np.maximum(frequency[token], 1) / max(1, frequency.sum())
+    order = np.lexsort((token, -count * np.log(count / expected), doc))
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    token = token[order][place < LEADS].astype(">u4" if len(frequency) > 1 << 16 else ">u2")
+    ends = np.cumsum(np.minimum(np.bincount(doc, minlength=len(offsets) - 1), LEADS)).tolist()
+    return [token[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 class Index:
-    """The BM25 inverted index of documents in memory."""
-
-    def __init__(self, docs: list[np.ndarray], weight: np.ndarray, mean: float):
-        """``weight``: a token's inverse document frequency over all documents; ``mean``: their mean length."""
-        found = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in found]
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms)
-        count = np.concatenate([n for _, n in found]).astype(np.float64)
-        length = np.array([len(d) for d in docs], dtype=np.float64)
-        score = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[doc] / mean))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.score = doc[order], score[order]
-        used, start = np.unique(term[order], return_index=True)
-        self.start = dict(zip(used.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(order)])))
-        self.weight, self.count = weight, [n for _, n in found]
-
-    def neighbours(self, seed: int, n: int) -> np.ndarray:
-        """Documents that share a leading term with the seed, best first; ties to the smaller place."""
-        terms = query_terms(self.terms[seed], self.count[seed], self.weight)
-        total = np.zeros(n)
-        for t in terms.tolist():
-            a, b = self.start[t]
-            total[self.doc[a:b]] += self.score[a:b]
-        found = np.flatnonzero(total)
-        return found[np.argsort(-total[found], kind="stable")]
-
-
-def order_documents(docs: list[np.ndarray], weight: np.ndarray, mean: float) -> list[int]:
-    """The documents in the order in which they fill windows; in memory, what ``global_order`` says of a table."""
-    index = Index(docs, weight, mean)
-    used = np.zeros(len(docs), dtype=bool)
+    """The BM25 inverted index of one shard; documents that are used leave it."""
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray, weight: np.ndarray, mean: float):
+        doc, token, count = postings(flat, offsets, len(weight))
+        self.own = np.searchsorted(doc, np.arange(len(offsets)))
+        order = np.argsort(token, kind="stable")
+        names, first = np.unique(token[order], return_index=True)
+        self.term = np.searchsorted(names, token)
+        self.start = np.r_[first, len(order)]
+        self.doc, self.score = doc[order], bm25(doc, token, count, np.diff(offsets), weight, mean)[order]
+        self.n, self.used, self.left = len(offsets) - 1, np.zeros(len(offsets) - 1, dtype=bool), len(offsets) - 1
+        self.listed = self.left
+
+    def use(self, doc: int) -> None:
+        self.used[doc] = True
+        self.left -= 1
+        if self.left < 0.7 * self.listed:
+            keep = ~self.used[self.doc]
+            self.start = np.r_[0, np.cumsum(keep)][self.start]
+            self.doc, self.score, self.listed = self.doc[keep], self.score[keep], self.left
+
+    def neighbours(self, seed: int):
+        """Unused documents that share a term with the seed, best first; ties to the earlier one."""
+        terms = self.term[self.own[seed] : self.own[seed + 1]]
+        first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        total = np.bincount(self.doc[at], weights=self.score[at], minlength=self.n)
+        total[self.used] = 0
+        # Few are wanted as a rule: the best first, the others only when asked for.
+        few = np.partition(total, -32)[-32] if self.n > 32 else 0
+        for found in (np.flatnonzero(total >= max(few, 1e-300)), np.flatnonzero((total < few) & (total > 0))):
+            yield from found[np.argsort(-total[found], kind="stable")].tolist()
+
+
+def order_documents(flat: np.ndarray, offsets: np.ndarray, weight: np.ndarray, mean: float) -> list[int]:
+    """The documents of a shard in the order in which they fill its windows."""
+    index, sizes = Index(flat, offsets, weight, mean), np.diff(offsets).tolist()
     out: list[int] = []
     filled = 0
-    for seed in range(len(docs)):
-        if used[seed]:
+    for seed in range(len(sizes)):
+        if index.used[seed]:
             continue
-        used[seed] = True
+        index.use(seed)
         out.append(seed)
-        filled += len(docs[seed])
+        filled += sizes[seed]
         room = -filled % WINDOW
-        if room and not used.all():
-            for other in index.neighbours(seed, len(docs)).tolist():
-                if used[other]:
-                    continue
-                used[other] = True
+        if room and index.left:
+            for other in index.neighbours(seed):
+                index.use(other)
                 out.append(other)
-                filled += len(docs[other])
-                room -= len(docs[other])
+                filled += sizes[other]
+                room -= sizes[other]
                 if room <= 0:
                     break
     return out
 
 
-def merged(found: list[tuple[np.ndarray, ...]], n: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The tasks' lists of each of ``n`` seeds as one, down to the first place that a task may have cut off, and whether none was cut off."""
-    cut_score, cut_place, whole = np.full(n, -np.inf), np.full(n, -1, dtype=np.int64), np.ones(n, dtype=bool)
-    for seed, place, score in found:
-        ends = np.searchsorted(seed, np.arange(n), side="right")
-        full = np.flatnonzero(np.diff(ends, prepend=0) >= most)
-        last = ends[full] - 1
-        worse = (score[last] > cut_score[full]) | ((score[last] == cut_score[full]) & (place[last] < cut_place[full]))
-        cut_score[full[worse]], cut_place[full[worse]] = score[last[worse]], place[last[worse]]
-        whole[full] = False
-    seed, place, score = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
-    sure = (score > cut_score[seed]) | ((score == cut_score[seed]) & (place <= cut_place[seed]))
-    seed, place, _ = best_of(seed[sure], place[sure], score[sure], len(seed) + 1)
-    return np.split(place, np.searchsorted(seed, np.arange(1, n))), whole
-
-
-def global_order(docs: DataFrame, first: np.ndarray, sizes: np.ndarray, weight, mean: float, kind: str) -> np.ndarray:
-    """Places of all documents of the written table in the order in which they fill windows. ``first``: the place where each shard begins."""
-    spark = docs.sparkSession
-    index = docs.where("terms is not null").select("shard", *INDEX)
-
-    def terms_of(asked: np.ndarray) -> list[np.ndarray]:
-        shards = np.searchsorted(first, asked, side="right") - 1
-        wanted = spark.sparkContext.broadcast(asked)
-
-        def run(batches):
-            for batch in batches:
-                place = first[batch.column("shard").to_numpy()] + batch.column("place").to_numpy()
-                for i in np.flatnonzero(np.isin(place, wanted.value)).tolist():
-                    term, n = np.unique(np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=kind), return_counts=True)
-                    found = query_terms(term, n, weight.value).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(place[i : i + 1]), pa.array([found.tobytes()], type=pa.binary())], names=["place", "terms"])
-
-        rows = docs.where(F.col("ids").isNotNull() & F.col("shard").between(int(shards.min()), int(shards.max()))).select("shard", "place", "ids")
-        found = {r.place: np.frombuffer(r.terms, dtype=np.int32) for r in rows.mapInArrow(run, "place long, terms binary").collect()}  # a row a seed
-        wanted.unpersist()
-        return [found[p] for p in asked.tolist()]
-
-    def ask(asked: np.ndarray, used: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray, int]:
-        terms = terms_of(asked)
-        sent = spark.sparkContext.broadcast((np.concatenate(terms), np.cumsum([0, *map(len, terms)]), np.packbits(used)))
-
-        def run(batches):
-            flat, ends, bits = sent.value
-            taken = np.unpackbits(bits).view(bool)
-            n, best = len(ends) - 1, (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
-            least = np.zeros(n)  # the last score of each full list
-            for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, int(first[row["shard"]]), weight.value, mean)
-                    step = max(1, TOTALS // shard.size)
-                    new = [best]
-                    for a in range(0, n, step):
-                        b = min(n, a + step)
-                        seed = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                        s, p, v = shard.found(flat[ends[a] : ends[b]], seed, taken[shard.first : shard.first + shard.size], most, least[a:b])
-                        new.append((s + a, p, v))
-                    best = best_of(*(np.concatenate(x) for x in zip(*new)), most)
-                    stops = np.searchsorted(best[0], np.arange(n), side="right")
-                    full = np.flatnonzero(np.diff(stops, prepend=0) == most)
-                    least[full] = best[2][stops[full] - 1]
-            sizes = np.bincount(best[0], minlength=n).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], type=pa.binary()) for x in (sizes, best[1], best[2])], names=["sizes", "place", "score"])
-
-        rows = index.mapInArrow(run, "sizes binary, place binary, score binary").collect()  # a row a task
-        sent.unpersist()
-        seeds_of = lambda r: np.repeat(np.arange(len(asked)), np.frombuffer(r.sizes, dtype=np.int32))
-        return *merged([(seeds_of(r), np.frombuffer(r.place, dtype=np.int64), np.frombuffer(r.score)) for r in rows], len(asked), most), len(rows)
-
-    total = len(sizes)
-    used, order = np.zeros(total, dtype=bool), np.empty(total, dtype=np.int64)
-    done = filled = room = start = 0
-    seed, seeds, nearest = None, SEEDS, NEAREST
-
-    def use(place: int) -> int:
-        nonlocal done, filled
-        used[place], order[done] = True, place
-        done, filled = done + 1, filled + int(sizes[place])
-        return int(sizes[place])
-
-    while done < total:
-        free = start + np.flatnonzero(~used[start:])[:seeds]
-        asked = free if seed is None else np.append(seed, free)
-        near, whole, tasks = ask(asked, used, nearest)
-        seed, again = None, seed
-        for i, place in enumerate(asked.tolist()):
-            if place != again:
-                if used[place]:
-                    continue
-                use(place)
-                room = -filled % WINDOW
-            if room <= 0 or done == total:
-                continue
-            for other in near[i].tolist():
-                if not used[other]:
-                    room -= use(other)
-                    if room <= 0:
-                        break
-            if room > 0 and not whole[i]:
-                seed = place
-                break
-        start = int(free[0]) if len(free) else total
-        # A batch that ended early is followed by a smaller one with longer lists.
-        if seed is None:
-            seeds = min(2 * seeds, MOST_SEEDS)
-        elif i < len(asked) // 2:
-            nearest = min(2 * nearest, MOST_NEAREST)
-            seeds = seeds // 2
-        seeds = max(16, min(seeds, SENT // (nearest * max(1, tasks))))
-    return order
-
-
-def pieces(start: int, size: int, total: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of each piece of a document at ``start`` of ``total`` ids laid end to end into sequences."""
+def pieces(order: list[int], sizes: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece when documents are laid end to end into sequences."""
+    total = sum(sizes)
     full = total // window
     rest = total - full * window
-    out, at, end = [], start, start + size
-    while at < end:
-        sequence, base, width = at // window, at - at % window, window
-        if sequence == full:  # the last ids, in powers of two from the largest
-            base = full * window
-            for sequence, bit in enumerate((b for b in reversed(range(rest.bit_length())) if rest >> b & 1), full):
-                width = 1 << bit
-                if at < base + width:
-                    break
-                base += width
-        length = min(end, base + width) - at
-        out.append((at - start, length, sequence, at - base))
-        at += length
+    bounds = [window] * full + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+    out, sequence, offset = [], 0, 0
+    for doc in order:
+        start = 0
+        while start < sizes[doc]:
+            length = min(sizes[doc] - start, bounds[sequence] - offset)
+            out.append((doc, start, length, sequence, offset))
+            start += length
+            offset += length
+            if offset == bounds[sequence]:
+                sequence, offset = sequence + 1, 0
     return out
 
 
@@ -341,32 +187,54 @@ def pack_documents(
 ) -> DataFrame:
     """Per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset`` long and ``ids`` binary (little-endian uint32)."""
     spark = df.sparkSession
-    written = tokenize(df, tokenizer_path, end_id, scratch(spark, "packing-ids"), id_col, text_col, shard_tokens)
+    docs = tokenize(df, tokenizer_path, end_id, scratch(spark, "packing-ids"), id_col, text_col)
     vocabulary = len(encoder(load(tokenizer_path)).names)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    docs = written.where("ids is not null")
-    held = {r["shard"]: np.frombuffer(r["sizes"], dtype=np.int64) for r in written.where("terms is not null").select("shard", "sizes").collect()}  # a number a document
-    first = np.cumsum([0, *(len(held.get(i, ())) for i in range(max(held, default=-1) + 1))])[:-1]
-    sizes = np.concatenate([held[i] for i in sorted(held)]) if held else np.empty(0, dtype=np.int64)
-    count, total = len(sizes), int(sizes.sum())
+    found = docs.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
+    count, total = found.docs, found.n or 0
     mean = total / max(1, count)
     frequency = document_frequencies(docs, kind, vocabulary)
     weight = spark.sparkContext.broadcast(np.log1p((count - frequency + 0.5) / (frequency + 0.5)))
-    order = global_order(written, first, sizes, weight, mean, kind)
-    begins = np.empty(count, dtype=np.int64)
-    begins[order] = np.cumsum(sizes[order]) - sizes[order]
-    laid = spark.sparkContext.broadcast(begins)
+    counted = spark.sparkContext.broadcast(frequency)
 
-    def pack(batches):
+    def lead(batches):
         for batch in batches:
             for part in slices(batch, "ids"):
-                begin = laid.value[first[part.column("shard").to_numpy()] + part.column("place").to_numpy()].tolist()
-                names, out = part.column("doc_id").to_pylist(), []
-                for i, ids in enumerate(part.column("ids")):
-                    own = np.frombuffer(ids.as_buffer(), dtype=kind).astype("<u4")
-                    out += [(names[i], s, n, len(own), q, o, own[s : s + n].tobytes()) for s, n, q, o in pieces(begin[i], len(own), total)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), [pa.int64()] * 6 + [pa.binary()])], names=columns)
-
-    columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+                found = pa.array(leads(*flat_ids(part, kind), counted.value), type=pa.binary())
+                yield pa.RecordBatch.from_arrays([found, *(part.column(c) for c in ("row", "doc_id", "ids"))], names=["lead", "row", "doc_id", "ids"])
+
+    # The row's number deals rows that are alike in all else; the written table fixes it.
+    led = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids").mapInArrow(lead, "lead binary, row long, doc_id long, ids binary")
+    order = ["lead", "doc_id", "row"]
+    ranged = led.repartitionByRange(max(1, min(-(-total // shard_tokens), MOST_TASKS)), *order).sortWithinPartitions(*order)
+
+    def pack(batches):
+        base, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def packed():
+            nonlocal base, held, size
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            flat, offsets = flat_ids(part, kind)
+            sizes, names = np.diff(offsets).tolist(), part.column("doc_id").to_pylist()
+            at = offsets.tolist()
+            doc, start, length, sequence, offset = zip(*pieces(order_documents(flat, offsets, weight.value, mean), sizes))
+            columns = [[names[d] for d in doc], start, length, [sizes[d] for d in doc], [base + s for s in sequence], offset]
+            data = [flat[at[d] + s : at[d] + s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length)]
+            base, held, size = base + sequence[-1] + 1, [], 0
+            arrays = [*(pa.array(c, type=pa.int64()) for c in columns), pa.array(data, type=pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+        for batch in batches:
+            ends = np.cumsum(np.diff(flat_ids(batch, kind)[1])) if batch.num_rows else np.empty(0, dtype=np.int64)
+            first = done = 0
+            while first < batch.num_rows:
+                last = max(first + (not held), int(np.searchsorted(ends, done + shard_tokens - size, side="right")))
+                held.append(batch.slice(first, last - first))
+                size, first, done = size + int(ends[last - 1] if last else 0) - done, last, int(ends[last - 1] if last else 0)
+                if first < batch.num_rows:
+                    yield packed()
+        if held:
+            yield packed()
+
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select("shard", "place", "doc_id", "ids").mapInArrow(pack, schema)
+    return ranged.select("doc_id", "ids").mapInArrow(pack, schema)

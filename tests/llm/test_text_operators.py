@@ -106,25 +106,80 @@ def test_packing(spark):
     assert packing.pack_documents(docs.where("false"), WORD).count() == 0
 
 
+def flat_of(docs):
+    return np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+
+
 def test_packing_fills_a_window_with_neighbours():
     docs = [np.array([1, 2, 3] * 40), np.array([7, 8, 9] * 40), np.array([1, 2, 4] * 40), np.array([7, 8, 5] * 40)]
-    assert packing.order_documents(docs, np.ones(10), 120.0) == [0, 2, 1, 3]
+    assert packing.order_documents(*flat_of(docs), np.ones(10), 120.0) == [0, 2, 1, 3]
+
+
+def brute_order(docs, weight, mean):
+    """Greedy windows by BM25 of all terms, document by document."""
+    counts = [Counter(d.tolist()) for d in docs]
+    left, out, filled = list(range(len(docs))), [], 0
+
+    def score(seed, other):
+        n = len(docs[other])
+        return sum(weight[t] * counts[other][t] * 2.2 / (counts[other][t] + 1.2 * (0.25 + 0.75 * n / mean)) for t in counts[seed] if t in counts[other])
+
+    while left:
+        seed = left.pop(0)
+        out.append(seed)
+        filled += len(docs[seed])
+        room = -filled % 4096
+        for other in sorted(left, key=lambda o: (-round(score(seed, o), 9), o)):
+            if room <= 0 or not score(seed, other):
+                break
+            left.remove(other)
+            out.append(other)
+            filled += len(docs[other])
+            room -= len(docs[other])
+    return out
+
+
+def test_packing_order_equals_brute_force():
+    r = np.random.default_rng(4)
+    topics = r.integers(0, 400, size=(8, 12))
+    docs = [r.choice(topics[i % 8], size=int(r.integers(20, 1500))) for i in range(150)] + [np.array([401, 402])] + [r.integers(0, 400, 9000)]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=500)
+    weight, mean = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5)), sum(map(len, docs)) / len(docs)
+    assert packing.order_documents(*flat_of(docs), weight, mean) == brute_order(docs, weight, mean)
 
 
-def test_packing_seeks_neighbours_in_all_shards(spark, monkeypatch):
-    r = np.random.default_rng(4)
-    topics = r.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "lambda", "zeta"], size=(8, 6))
-    texts = [" ".join(r.choice(topics[i % 8], size=int(r.integers(20, 1500)))) for i in range(120)] + ["same text"] * 30
+def test_leading_terms_bring_texts_together():
+    docs = [np.array([1, 2, 3] * 9 + [5]), np.array([1, 2, 8] * 9 + [5]), np.array([5, 5, 2]), np.array([], dtype=np.int64)]
+    found = packing.leads(*flat_of(docs), np.array([0, 9, 9, 2, 0, 50, 0, 0, 2, 40]))
+    assert found[0][:2] == b"\0\3" and found[1][:2] == b"\0\x08" and found[3] == b"" and len(set(found)) == 4
+
+
+def test_packing_query_over_a_table(spark, tmp_path):
+    r = np.random.default_rng(1)
+    long_text = " ".join(r.choice(["alpha", "beta", "gamma", "delta"], size=9000))
+    rows = [(1, long_text), (1, long_text), (1, "same id"), (None, "null id"), (None, "null id"), (None, None), (2, ""), *((i, f"text {i} of many") for i in range(3, 90))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_retrieval_packing(spark, str(tmp_path)).collect()
     t = Tokenizer.from_file(WORD)
-    docs = [np.array([*t.encode(x, add_special_tokens=False).ids, 2]) for x in texts]
-    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=t.get_vocab_size())
-    weight = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5))
-    expected = packing.order_documents(docs, weight, sum(map(len, docs)) / len(docs))
-    monkeypatch.setattr(packing, "NEAREST", 3)  # lists that end early are asked for again
-    monkeypatch.setattr(packing, "SEEDS", 8)
-    for shard_tokens in (4000, 1 << 20):
-        found = packing.pack_documents(frame(spark, texts), WORD, shard_tokens=shard_tokens).where("start = 0").orderBy("sequence_id", "offset").collect()
-        assert [r.doc_id for r in found] == expected
+    sums = Counter()
+    for doc_id, text in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        for p in (p for p in found if p.doc_id == doc_id and p.doc_tokens == len(ids)):
+            if zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32:
+                sums[doc_id, text] += p.length
+    wanted = Counter()
+    for doc_id, text in rows:
+        wanted[doc_id, text] += len(t.encode(text or "", add_special_tokens=False).ids) + 1
+    by_rows = Counter(rows)
+    for key, n in wanted.items():
+        assert sums[key] == n * by_rows[key]  # each of the alike rows is found through each of their pieces
+    assert sum(p.length for p in found) == sum(wanted.values())
+    by_sequence = {}
+    for p in found:
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for x in by_sequence.values():
+        x.sort()
+        assert [o for o, _ in x] == np.cumsum([0, *(n for _, n in x)])[:-1].tolist() and sum(n for _, n in x) in {4096, *(1 << b for b in range(12))}
 
 
 def brute_spans(text):
