@@ -5,8 +5,10 @@ polynomial hash from one running sum, and n-grams of several lengths a rolling h
 hashes; equal hashes within a text are repeats. Covered are the characters inside n-grams, and
 lines, that equal an earlier one of the same text.
 
-A null or empty text has no words: its counts are 0 and it fails. Repeated rows are judged each. A
-slice of texts takes some 60 times its bytes; a text longer than ``SLICE`` is worked on alone.
+A null or empty text has no words: its counts are 0 and it fails. Repeated rows are judged each; an empty
+table gives no row; other columns of the frame are not looked at (``keep_documents`` keeps them). A slice of
+texts takes some 60 times its bytes; a text longer than ``SLICE`` is worked on alone and read in stretches of
+that size with carried sums, so that beside it only some numbers a word are held.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from tallyframe.llm._common import flat_utf8, id_and_text, keep_rows, mixed, sli
 SLICE = 1 << 19
 #: Fewer words than this fail, or a larger share (percent) of words in repeated 3-grams.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Largest share of a text's word characters in repeats: by n-gram length, and in repeated lines (0).
-LIMITS = {0: 0.40, 5: 0.50, 7: 0.45, 10: 0.40}
+#: Largest share of a text's word characters in repeats, later copies only: by n-gram length (the published
+#: limits of repetition filters for web text), and in repeated lines (0).
+LIMITS = {0: 0.30, 5: 0.15, 7: 0.13, 10: 0.10}
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -57,9 +60,68 @@ class Rolling:
             self.sums = np.r_[np.uint64(0), np.cumsum(values * powers(_BASE, n))]
         self.inverse = powers(_INVERSE, n + 1)
 
+    def raw(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[end] - self.sums[first]) * self.inverse[first]
+
     def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mixed((self.sums[end] - self.sums[first]) * self.inverse[first] + (end - first).astype(np.uint64))
+            return mixed(self.raw(first, end) + (end - first).astype(np.uint64))
+
+
+def stretches(flat: np.ndarray):
+    """Parts of the bytes of about ``SLICE``, each but the last ending with a blank, so that no word is cut."""
+    start = 0
+    while start < len(flat):
+        stop = min(len(flat), start + SLICE)
+        while stop < len(flat):
+            blank = np.flatnonzero(_BLANK[flat[stop : stop + SLICE]])
+            if len(blank):
+                stop += int(blank[0]) + 1
+                break
+            stop = min(len(flat), stop + SLICE)
+        yield start, stop
+        start = stop
+
+
+def words_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's text, characters and hash."""
+    parts = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))]
+    for start, stop in stretches(flat):
+        part, inner = flat[start:stop], offsets[(offsets >= start) & (offsets <= stop)] - start
+        blank = _BLANK[part]
+        edge = np.zeros(len(part) + 1, dtype=bool)
+        edge[inner] = True
+        first = np.flatnonzero(~blank & (np.r_[True, blank[:-1]] | edge[:-1]))
+        end = np.flatnonzero(~blank & (np.r_[blank[1:], True] | edge[1:])) + 1
+        chars = np.r_[0, np.cumsum((part & 0xC0) != 0x80)]
+        row = np.searchsorted(offsets, first + start, side="right") - 1
+        parts.append((row, chars[end] - chars[first], Rolling(_VALUE[part]).of(first, end)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def lines_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's text, word characters and hash, of the lines that hold a word."""
+    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))]
+    carried = (np.uint64(0), 0, 0)  # hash, bytes and characters of the line that a stretch leaves open
+    for start, stop in stretches(flat):
+        part = flat[start:stop]
+        chars = np.r_[0, np.cumsum(~_BLANK[part] & ((part & 0xC0) != 0x80))]
+        closed = np.unique(offsets[(offsets > start) & (offsets <= stop)]) - start
+        is_open = bool(not len(closed) or closed[-1] < len(part))
+        # Texts' ends and line feeds in their order; at one place the end comes first.
+        mark = np.sort(np.r_[2 * closed, 2 * np.flatnonzero(part == 10) + 1, [2 * len(part)] * is_open].astype(np.int64))
+        ends = mark >> 1
+        begin = np.r_[0, ends[:-1] + (mark[:-1] & 1)]
+        raw, size, held = Rolling(_VALUE[part]).raw(begin, ends), ends - begin, chars[ends] - chars[begin]
+        row = np.searchsorted(offsets, begin + start, side="right") - 1
+        with np.errstate(over="ignore"):
+            raw[0] = carried[0] + np.uint64(pow(_BASE, carried[1], 1 << 64)) * raw[0]
+            size[0], held[0] = size[0] + carried[1], held[0] + carried[2]
+            carried = (raw[-1], int(size[-1]), int(held[-1])) if is_open else (np.uint64(0), 0, 0)
+            found.append(tuple(x[: len(row) - is_open] for x in (row, held, mixed(raw + size.astype(np.uint64)))))
+    row, held, hashes = (np.concatenate(x) for x in zip(*found))
+    return row[held > 0], held[held > 0], hashes[held > 0]
 
 
 def repeats(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,46 +148,24 @@ def covered(flags: np.ndarray, n: int, words: int) -> np.ndarray:
 def measure(flat: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     """Counts of each text: words, characters, symbols, repeated lines and words, and covered characters."""
     rows = len(offsets) - 1
-    per_row = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][offsets])
-    blank = _BLANK[flat]
-    word = ~blank
-    edge = np.zeros(len(flat) + 1, dtype=bool)
-    edge[offsets] = True
-    before = np.r_[True, blank[:-1]] if len(flat) else np.empty(0, dtype=bool)
-    after = np.r_[blank[1:], True] if len(flat) else np.empty(0, dtype=bool)
-    first = np.flatnonzero(word & (before | edge[:-1]))
-    end = np.flatnonzero(word & (after | edge[1:])) + 1
-    row = np.searchsorted(offsets, first, side="right") - 1
-    chars = np.r_[0, np.cumsum(word & ((flat & 0xC0) != 0x80))]
-    size = chars[end] - chars[first]
     by_row = lambda values, of: np.bincount(of, weights=values, minlength=rows).astype(np.int64)
-    out = {"n_words": np.bincount(row, minlength=rows).astype(np.int64), "word_chars": np.diff(chars[offsets]), "n_symbols": per_row(_SYMBOL[flat])}
-
-    rolling = Rolling(_VALUE[flat])
-    # Lines: a text ends one, and so does each line feed.
-    ends = np.flatnonzero(flat == 10)
-    owner = np.searchsorted(offsets, ends, side="right") - 1
-    line_end = np.r_[ends, offsets[1:]]
-    line_row = np.r_[owner, np.arange(rows)]
-    order = np.lexsort((line_end, line_row))
-    line_end, line_row = line_end[order], line_row[order]
-    fresh = np.r_[True, line_row[1:] != line_row[:-1]] if rows else np.empty(0, dtype=bool)
-    line_first = np.where(fresh, offsets[line_row], np.r_[0, line_end[:-1]] + 1) if rows else line_end
-    has_word = chars[line_end] > chars[line_first]
-    line_first, line_end, line_row = line_first[has_word], line_end[has_word], line_row[has_word]
-    _, later = repeats(rolling.of(line_first, line_end), line_row)
+    row, size, hashes = words_of(flat, offsets)
+    out = {"n_words": np.bincount(row, minlength=rows).astype(np.int64), "word_chars": by_row(size, row)}
+    out["n_symbols"] = np.bincount(np.searchsorted(offsets, np.flatnonzero(_SYMBOL[flat]), side="right") - 1, minlength=rows).astype(np.int64)
+    line_row, line_chars, lines = lines_of(flat, offsets)
+    _, later = repeats(lines, line_row)
     out["n_dup_lines"] = by_row(later, line_row)
-    out["covered_0"] = by_row(np.where(later, chars[line_end] - chars[line_first], 0), line_row)
+    out["covered_0"] = by_row(np.where(later, line_chars, 0), line_row)
 
-    words = Rolling(rolling.of(first, end))
+    words = Rolling(hashes)
     for n in (3, *lengths):
-        start = np.arange(max(0, len(first) - n + 1))
+        start = np.arange(max(0, len(row) - n + 1))
         start = start[row[start] == row[start + n - 1]] if len(start) else start
         both, later = repeats(words.of(start, start + n), row[start])
         if n == 3:
-            out["n_repeat_words"] = by_row(covered(start[both], n, len(first)), row)
+            out["n_repeat_words"] = by_row(covered(start[both], n, len(row)), row)
         if n in lengths:
-            out[f"covered_{n}"] = by_row(np.where(covered(start[later], n, len(first)), size, 0), row)
+            out[f"covered_{n}"] = by_row(np.where(covered(start[later], n, len(row)), size, 0), row)
     return out
 
 
