@@ -5,17 +5,20 @@ table of 257 values a filter and place). Overlapping chunks of two blocks cover
 filter is max-pooled over a chunk, a dense layer reads the chunk, and the text's score combines the
 largest and the mean answer of its chunks into one probability.
 
-The network is trained on the driver from ``per_class`` labelled rows a class at most, a window of
-``WINDOW`` bytes of each; those two bound what the driver gathers. Scoring reads whole texts. A null or
-empty text is one block of padding and gets the score of that; without training rows of both classes
-the score is the share of good labels (0.5 without labels). Repeated rows are scored each.
+The network is trained on the driver from whole texts of labelled rows: ``per_class`` rows a class at most,
+in the order of a hash of their ids, and as many as ``most_bytes`` of text a class allow; those two bound
+what the driver gathers. A labelled text past an eighth of ``most_bytes`` isn't chosen for training. Scoring
+reads whole texts. A null or empty text is one block of padding and gets the score of that; without
+training rows of both classes the score is the share of good labels (0.5 without labels). Repeated rows are
+scored each; of labelled rows that repeat an id the smallest text trains, once. An empty table gives no row;
+other columns of the frame are not looked at (``keep_good`` keeps them).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm._common import flat_utf8, id_and_text, keep_rows, slices
@@ -23,17 +26,20 @@ from tallyframe.llm._common import flat_utf8, id_and_text, keep_rows, slices
 #: Bytes of a filter, filters, bytes of a block (a chunk is two), units of the dense layer.
 WIDTH, FILTERS, BLOCK, HIDDEN = 6, 16, 128, 16
 PAD = 256
-#: Bounds of the training sample: bytes of a text's window, rows a class. Passes and texts a step.
-WINDOW, PER_CLASS, EPOCHS, STEP = 4096, 1200, 14, 48
+#: Bounds of the training sample: rows and bytes of text a class. Passes and texts a step.
+PER_CLASS, MOST_BYTES, EPOCHS, STEP = 1200, 16 << 20, 14, 48
 
 
 def padded(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded to whole blocks with WIDTH - 1 pads at least, and the offsets of their blocks."""
+    """Texts padded to whole blocks with WIDTH - 1 pads at least, and the offsets of their blocks.
+
+    A block's filters end in it, so all that they see before a text's first byte are pads, never another text.
+    """
     sizes = np.diff(offsets)
     blocks = np.maximum(1, -(-(sizes + WIDTH - 1) // BLOCK))
     starts = np.r_[0, np.cumsum(blocks)]
     out = np.full(int(starts[-1]) * BLOCK + WIDTH, PAD, dtype=np.int16)
-    out[np.repeat(starts[:-1] * BLOCK - offsets[:-1], sizes) + np.arange(len(flat))] = flat
+    out[np.repeat(starts[:-1] * BLOCK - offsets[:-1], sizes) + np.arange(WIDTH - 1, len(flat) + WIDTH - 1)] = flat
     return out, starts
 
 
@@ -159,7 +165,9 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def train(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text"
+) -> Network:
     """A network from rows outside fold 0 whose label is 0 or 1."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 0)
@@ -175,11 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    # A window of bounded size at a place that the id decides; per_class bounds the broadcast side.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    window = F.substring("text", (F.pmod(F.xxhash64("doc_id"), room + 1) + 1).cast("int"), F.lit(WINDOW))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", window.alias("text")).orderBy("doc_id", "text").limit(4 * per_class).collect()
+    size = F.octet_length("text")
+    rows = texts.where(size <= most_bytes // 8).join(F.broadcast(chosen.distinct()), "doc_id")  # per_class rows a class at most
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    so_far = F.sum(size).over(Window.partitionBy("quality").orderBy(order, "doc_id"))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy("doc_id", "quality").collect()
     truth = np.array([r.quality for r in rows], dtype=np.float32)
     if len(set(truth.tolist())) == 2:
         whole = [r.text.encode() for r in rows]
