@@ -7,9 +7,10 @@ younger than the merge that made it, so merging all places of the lowest pair at
 one merge at a time gives.
 
 ``encode_documents`` is the operator: it encodes whole texts, every word once a block, and joins the
-ids. Ids and decoded texts equal those of the tokenizers library. A null or empty text has no tokens
-and decodes to the empty text; a null id is kept; repeated rows are encoded each. Memory: a slice of
-texts (4 MB, or one longer text) and a table of words of fixed size in each worker.
+ids. Ids and decoded texts equal those of the tokenizers library. A tokenizer file whose word rules are
+none of ``FORMS`` is refused. A null or empty text has no tokens and decodes to the empty text; a null id is
+kept; repeated rows are encoded each; an empty table gives no row; other columns of the frame are not looked
+at. Memory: a slice of texts (4 MB, or one longer text) and a table of words of fixed size in each worker.
 """
 
 from __future__ import annotations
@@ -27,6 +28,17 @@ from tallyframe.llm._common import id_and_text, mixed, slices, strings
 
 #: Classes of bytes in plain texts; every byte from 128 is part of a Latin-1 letter there.
 BLANK, LETTER, DIGIT, OTHER, END = range(5)
+#: The word rules that ``TextEncoder`` knows, as (normalizer, pre-tokenizer) of a tokenizer file.
+FORMS = {
+    "folded": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+    "bytes": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+}
 #: What keeps a text from being plain: NUL, separators, and Latin-1 signs that aren't letters.
 _ODD = re.compile(rb"[\x00\x1c-\x1f\x80-\xbf\xd7\xf7]")
 #: Keep the first n of eight bytes.
@@ -115,11 +127,11 @@ class MergeRounds:
 class TextEncoder:
     """Whole-text ids, many texts at once.
 
-    Texts of ASCII and the Latin-1 letters are cut into words, looked up and joined in numpy: a word
-    of up to 24 bytes is three 64-bit numbers, compared in full with a table of words seen before;
-    the others and the longer ones go through ``MergeRounds`` once a block. Texts with other
-    characters are cut into words by the tokenizers library's own rules, and those with special
-    tokens, which aren't words, are encoded by it.
+    Texts are cut into words, looked up and joined in numpy: a word of up to 24 bytes is three 64-bit
+    numbers, compared in full with a table of words seen before; the others and the longer ones go
+    through ``MergeRounds`` once a block. Texts of ASCII and the Latin-1 letters are cut byte by byte, all
+    others by code points, whose classes are asked of the library's rules when a worker first meets them.
+    Only texts with NULs or special tokens, which aren't words, are encoded by the library alone.
     """
 
     SLOTS, POOL, BLOCK = 1 << 20, 4 << 20, 1 << 19
@@ -128,13 +140,19 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = json.loads(tokenizer_json)
         model = spec["model"]
+        added = spec.get("added_tokens", [])
+        rules = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+        form = next((name for name, known in FORMS.items() if known == rules), None)
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for x in added for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
+        if form is None or model["type"] != "BPE" or odd or spec.get("post_processor"):
+            raise ValueError(f"this encoder doesn't know the tokenizer file's rules: {odd or rules}")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.folds = spec.get("normalizer") is not None
+        self.special = [x["content"] for x in added]
+        self.folds = form == "folded"
         self.rounds = MergeRounds(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
-        self.byte_of = {s: b for b, s in enumerate(byte_alphabet())}
         names = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec.get("added_tokens", [])}
         self.has_decoder = spec.get("decoder") is not None
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
@@ -146,6 +164,10 @@ class TextEncoder:
         self.kind = kind
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
+        #: Classes of code points; 255 is one not met yet.
+        self.wide = np.full(0x110000, 255, dtype=np.uint8)
+        self.wide[:128] = kind[:128]
+        self.wide[28:32] = 255
         self._forget()
 
     def _forget(self) -> None:
@@ -160,11 +182,27 @@ class TextEncoder:
             raw = text if text.isascii() else text.encode("latin-1")
         except UnicodeEncodeError:
             return False
-        return "<|" not in text and not _ODD.search(raw if isinstance(raw, bytes) else raw.encode())
+        return not any(x in text for x in self.special) and not _ODD.search(raw if isinstance(raw, bytes) else raw.encode())
+
+    def _classes(self, points: np.ndarray) -> np.ndarray:
+        """The classes of code points, as the library's word rules have them."""
+        found = self.wide[points]
+        for point in np.unique(points[found == 255]).tolist():
+            words = lambda text: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+            sign = chr(point)
+            if words("a" + sign) == 1 and words(sign + "a") == 1:
+                is_ = LETTER
+            elif words("#" + sign) == 1 and words(sign + "#") == 1:
+                is_ = OTHER
+            elif words("1" + sign + "1") == (3 if self.folds else 1):
+                is_ = DIGIT
+            else:
+                is_ = BLANK
+            self.wide[point] = is_
+        return self.wide[points]
 
-    def _words(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the words of plain texts that each end with a NUL."""
-        kind = self.kind[flat]
+    def _words(self, flat: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of texts that each end with a NUL, from their characters and the classes of those."""
         start = np.r_[True, kind[1:] != kind[:-1]] | (kind == END)
         if self.folds:
             start |= kind == DIGIT
@@ -204,8 +242,6 @@ class TextEncoder:
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts end to end, and the number of ids of each."""
-        if self.used > self.POOL - (self.POOL >> 3):
-            self._forget()
         raw = ("\x00".join(texts) + "\x00").encode()
         flat = np.frombuffer(raw + bytes(32), dtype=np.uint8)
         if self.folds:
@@ -213,7 +249,24 @@ class TextEncoder:
             accent = np.flatnonzero(flat == 0xC3) + 1
             accent = accent[flat[accent] <= 0x9E]
             flat[accent] += 32
-        first, ends = self._words(flat[: len(raw)])
+        part = flat[: len(raw)]
+        return self._looked_up(flat, len(raw), *self._words(part, self.kind[part]))
+
+    def _other(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of any characters end to end, and the number of ids of each."""
+        if self.folds:
+            texts = list(map(self.tokenizer.normalizer.normalize_str, texts))
+        joined = "\x00".join(texts) + "\x00"
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        place = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]
+        first, ends = self._words(points, self._classes(points))
+        raw = joined.encode()
+        return self._looked_up(np.frombuffer(raw + bytes(32), dtype=np.uint8), len(raw), place[first], place[ends])
+
+    def _looked_up(self, flat: np.ndarray, size: int, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words from ``first`` to ``ends`` in the bytes of texts that each end with a NUL."""
+        if self.used > self.POOL - (self.POOL >> 3):
+            self._forget()
         length = ends - first
         eight = np.ndarray(shape=(len(flat) - 7,), dtype="<u8", buffer=flat.data, strides=(1,))
         key = [eight[first + 8 * i] & MASKS[np.clip(length - 8 * i, 0, 8)] if i else eight[first] & MASKS[np.minimum(length, 8)] for i in range(3)]
@@ -252,42 +305,32 @@ class TextEncoder:
             at[long], count[long] = self._merge(flat, first[long], length[long])
         total = np.cumsum(count)
         ids = self.pool[np.repeat(at - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)]
-        stop = np.searchsorted(first, np.flatnonzero(flat[: len(raw)] == 0))
+        stop = np.searchsorted(first, np.flatnonzero(flat[:size] == 0))
         per_text = np.diff(np.r_[0, np.r_[0, total][stop]])
         return ids, per_text
 
-    def _other(self, text: str) -> np.ndarray:
-        """Ids of one text, cut into words by the library's rules."""
-        if not text or any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if self.folds:
-            text = self.tokenizer.normalizer.normalize_str(text)
-        words = [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        index: dict[bytes, int] = {}
-        use = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64)
-        lengths = np.fromiter(map(len, index), dtype=np.int64, count=len(index))
-        ids, counts = self.rounds.encode(np.frombuffer(b"".join(index), dtype=np.uint8), lengths)
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        return np.concatenate([parts[i] for i in use]) if len(use) else np.empty(0, dtype=np.uint32)
+    def _way(self, text: str) -> int:
+        """0: plain; 1: by code points; 2: by the library."""
+        if self._is_plain(text):
+            return 0
+        return 2 if "\x00" in text or any(x in text for x in self.special) else 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (uint32), and the number of ids of each (int64)."""
         out: list[np.ndarray] = []
         counts = np.zeros(len(texts), dtype=np.int64)
+        ways = list(map(self._way, texts))
         start = 0
         while start < len(texts):
             stop, size = start, 0
-            plain = self._is_plain(texts[start])
-            while stop < len(texts) and plain and (stop == start or size + len(texts[stop]) <= self.BLOCK):
+            while stop < len(texts) and ways[stop] == ways[start] and (stop == start or size + len(texts[stop]) <= self.BLOCK):
                 size += len(texts[stop])
                 stop += 1
-                if stop < len(texts) and not self._is_plain(texts[stop]):
-                    break
-            if plain:
-                ids, counts[start:stop] = self._plain(texts[start:stop])
+            if ways[start] == 2:
+                found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in texts[start:stop]]
+                ids, counts[start:stop] = np.concatenate(found), list(map(len, found))
             else:
-                ids, stop = self._other(texts[start]), start + 1
-                counts[start] = len(ids)
+                ids, counts[start:stop] = (self._other if ways[start] else self._plain)(texts[start:stop])
             out.append(ids)
             start = stop
         return (np.concatenate(out) if out else np.empty(0, dtype=np.uint32)), counts
