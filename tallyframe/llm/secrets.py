@@ -6,7 +6,9 @@ query; postings are intersected and united, and the regex runs only over the tex
 Rules without a mandatory trigram run over every text.
 
 A null or empty text has no spans. Offsets are code points, the end exclusive. Matches of one kind
-don't overlap; those of different kinds may. Repeated rows are scanned each.
+don't overlap; those of different kinds may. Repeated rows are scanned each; a long text is scanned whole,
+alone in its block; an empty table gives no row; other columns of the frame are not looked at
+(``redact_documents`` keeps them). Signs that match beyond A-Z when case is ignored ask for no trigram.
 """
 
 from __future__ import annotations
@@ -59,11 +61,11 @@ def _spelled(found: set[str]) -> object:
     return _any(alternatives)
 
 
-def _sequence(nodes) -> tuple[set[str] | None, object]:
+def _sequence(nodes, fold: bool) -> tuple[set[str] | None, object]:
     """All strings that match, if they are few, else None; and the query that any match fulfils."""
     exact, parts, whole = {""}, [], True
     for op, value in nodes:
-        found, query = _node(op, value)
+        found, query = _node(op, value, fold)
         if found is not None and len(exact) * len(found) <= MOST_STRINGS:
             exact = {a + b for a in exact for b in found}
             continue
@@ -75,24 +77,33 @@ def _sequence(nodes) -> tuple[set[str] | None, object]:
     return (exact if whole else None), _all(parts)
 
 
-def _node(op, value) -> tuple[set[str] | None, object]:
+def _sign(code: int, fold: bool) -> str | None:
+    """A literal as the index has it, A-Z in lower case; None if ignoring case lets it match signs beyond ASCII."""
+    sign = chr(code)
+    if fold and (code > 127 or sign in "iskISK"):
+        return None
+    return sign.lower() if code < 128 else sign
+
+
+def _node(op, value, fold: bool) -> tuple[set[str] | None, object]:
     if op is sre.LITERAL:
-        return {chr(value).lower()}, True
+        sign = _sign(value, fold)
+        return (None if sign is None else {sign}), True
     if op is sre.IN:
-        if all(k is sre.LITERAL for k, _ in value) and len(found := {chr(v).lower() for _, v in value}) <= 6:
-            return found, _spelled(found)
-        return None, True
+        found = {_sign(v, fold) if k is sre.LITERAL else None for k, v in value}
+        return (found, _spelled(found)) if None not in found and len(found) <= 6 else (None, True)
     if op is sre.SUBPATTERN:
-        return _sequence(value[3])
+        _, more, less, inner = value
+        return _sequence(inner, bool((fold or more & re.IGNORECASE) and not less & re.IGNORECASE))
     if op is sre.BRANCH:
-        each = [_sequence(x) for x in value[1]]
+        each = [_sequence(x, fold) for x in value[1]]
         if all(e is not None for e, _ in each) and sum(len(e) for e, _ in each) <= MOST_STRINGS:
             found = set().union(*(e for e, _ in each))
             return found, _spelled(found)
         return None, _any([q for _, q in each])
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
         least, most, inner = value
-        found, query = _sequence(inner)
+        found, query = _sequence(inner, fold)
         if found is not None and least == 0 and most == 1:
             return {""} | found, True
         if found is not None and least == most == 1:
@@ -105,7 +116,8 @@ def _node(op, value) -> tuple[set[str] | None, object]:
 
 def trigram_query(pattern: str) -> object:
     """A Boolean query of trigrams in lower case that every match fulfils; True asks for nothing."""
-    return _sequence(sre_parser.parse(pattern))[1]
+    parsed = sre_parser.parse(pattern)
+    return _sequence(parsed, bool(parsed.state.flags & re.IGNORECASE))[1]
 
 
 def trigrams(query: object) -> set[bytes]:
