@@ -8,8 +8,9 @@ without decoding a block (``Segment.token``).
 
 ``write_token_files`` encodes whole texts and writes them in ascending ``doc_id`` order;
 ``read_token_files`` gives a row per document. A null or empty text is the end id alone; a null
-``doc_id`` comes first; rows with one ``doc_id`` are ordered by text; an empty table gives no file
-with rows.
+``doc_id`` comes first; rows with one ``doc_id`` are ordered by text, and may fill several parts; an empty
+table gives no file with rows; other columns of the frame are not looked at. Segments are bytes that Spark's
+text writer stores as they are (a cast to string checks nothing).
 """
 
 from __future__ import annotations
@@ -125,7 +126,8 @@ def write_token_files(
         if held:
             yield packed()
 
-    rows = id_and_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The start of the text deals rows that share an id, in the order of texts.
+    rows = id_and_text(df, id_col, text_col).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     files = rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", segments_per_file).text(path)
 
