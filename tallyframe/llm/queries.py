@@ -83,7 +83,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.flagged_hosts(pages))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str = public_tokenizers.path(BYTE_BPE)) -> DataFrame:
@@ -106,7 +107,7 @@ QUERIES = {
 }
 
 _RULES_SQL = ", ".join(f"('{k}', '{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}', '{v}')" for k, v in urls.RULES.items())
-_BLOCKED_SQL = ", ".join(f"('{b}')" for b in urls.BLOCKED)
+_WORDS_SQL = ", ".join(f"'{w}'" for w in urls.FLAGGED_WORDS)
 
 #: What SQL can express; the others are tested against brute force in ``tests/llm``.
 ORACLE_SQL: dict[str, str] = {
@@ -120,8 +121,9 @@ select page_id, strlen(h) as payload_bytes, list_aggregate(list_transform(range(
 case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to from g""",
     "op9_url_filters": f"""with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
-r as (select * from (values {_RULES_SQL}) t(rule, rhost, rpath, says)), b as (select * from (values {_BLOCKED_SQL}) t(bhost)),
+r as (select * from (values {_RULES_SQL}) t(rule, rhost, rpath, says)),
+w as (select page_id, string_split(host, '.') as labels, list_position(list_transform(string_split(host, '.'), lambda x: list_has_any(string_split(x, '-'), [{_WORDS_SQL}])), true) as k from p),
 f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(says, length(rule)) as says from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by 1),
-l as (select page_id, arg_max(bhost, length(bhost)) as listed from p join b on host = bhost or ends_with(host, '.' || bhost) group by 1)
+l as (select page_id, array_to_string(labels[k:], '.') as listed from w where k > 0)
 select page_id, host, path, rule, listed, coalesce(says, case when listed is not null then 'block' else 'allow' end) as verdict from p left join f using (page_id) left join l using (page_id)""",
 }
