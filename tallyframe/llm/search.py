@@ -6,12 +6,14 @@ every term (component). For a query, a block's bound is the sum of its term maxi
 times the block's largest (or, for a negative weight, smallest) weight. Blocks are scored in the order
 of their bounds, through their forward indexes, until the bounds fall below the k-th score so far.
 
-A query's k-th score within its own range is a bound to start from; then the query set meets each range
-once, in chunks, and the best ``k`` of the meetings are merged. Scores are exact integers; ties go to the
-smaller ``vec_id``. Vectors that are null, or hold null or non-finite components, and rows with a null id
-take no part; a shorter vector counts as padded with zeros. A query id that repeats is asked once, with its
-smallest vector; repeated candidate rows count each, but a query's own id never does. Scores beyond 64
-bits are clipped.
+A query first meets its own range and the first range of its code; its k-th row there, by score and id, is a
+bound to start from. Then tiles of queries meet the other ranges, and the best ``k`` of all meetings
+are merged; a row at the bound's score with a larger id isn't sent. A tile and a range are bounded numbers of
+vectors, packed in the narrowest whole numbers that hold all components. Scores are exact integers; ties go
+to the smaller ``vec_id``. Vectors that are null, or hold null or non-finite components, and rows with a null
+id take no part; a shorter vector counts as padded with zeros. A query id that repeats is asked once, with
+its smallest vector; repeated candidate rows count each, but a query's own id never does. An empty table gives
+no row; other columns of the frame are not looked at. Scores beyond 64 bits are clipped.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm._common import cut
 
 #: Rows of a block; most rows of a range (what one task holds); least rows for the sake of which a range
-#: is split between idle cores; queries of a chunk.
-BLOCK, GROUP, LEAST, CHUNK = 256, 1 << 16, 1 << 11, 512
+#: is split between idle cores; most queries of a tile, about; queries that are scored at once.
+BLOCK, GROUP, LEAST, TILE, CHUNK = 256, 1 << 16, 1 << 11, 1 << 16, 512
 #: Components that make the coarse code, by the sign of their sums.
 CODE_BITS = 12
 
@@ -36,14 +38,13 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(finite, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
 
 
-def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows of an int64 array, padded with zeros."""
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], type=lists.type)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def _matrix(packed: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Packed vectors as rows of an int64 array, padded with zeros."""
+    found = [np.frombuffer(x, dtype=kind) for x in packed.to_pylist()]
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     out = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int64)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    if out.size:
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(found)
     return out
 
 
@@ -76,8 +77,8 @@ class Blocks:
         missing = width - self.matrix.shape[1]
         return self if missing <= 0 else Blocks(self.ids, np.pad(self.matrix, ((0, 0), (0, missing))), self.size)
 
-    def top(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """The k best of the group for each query: place of the query, vec_id, score; none below ``least``, a known bound."""
+    def top(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None, least_id: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The k best of the group for each query: place of the query, vec_id, score; none after ``least`` and ``least_id``, a known k-th row."""
         n = len(ids)
         bounds = scores(np.maximum(queries, 0), self.high) + scores(np.minimum(queries, 0), self.low)
         order = np.argsort(-bounds, axis=1, kind="stable")
@@ -112,6 +113,9 @@ class Blocks:
             full = place == k - 1
             kth[best[0][full]] = np.maximum(kth[best[0][full]], best[2][full])
             best = tuple(x[place < k] for x in best)
+        if least is not None and least_id is not None:
+            near = (best[2] > least[best[0]]) | (best[1] <= least_id[best[0]])
+            best = tuple(x[near] for x in best)
         return best
 
 
@@ -124,55 +128,62 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     rows = rows.where("vec_id is not null and v is not null")
 
+    sizes = F.aggregate("v", F.lit(0).cast("long"), lambda m, x: F.greatest(m, F.abs(x)))
+    n, largest = rows.agg(F.count("*"), F.max(sizes)).first()
+    kind = "<i2" if (largest or 0) < 1 << 15 else "<i4" if largest < 1 << 31 else "<i8"
+
     def code(batches):
         for batch in batches:
-            found = coarse_code(_matrix(batch.column("v"))) if batch.num_rows else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "asked")), pa.array(found)], names=["vec_id", "v", "asked", "code"])
-
-    # Ranges of (code, id): ids are many, so a code that many rows share is spread over ranges.
-    n = rows.count()
+            lists = batch.column("v")
+            flat, counts = lists.flatten().to_numpy(zero_copy_only=False).astype(kind), lists.value_lengths().to_numpy(zero_copy_only=False)
+            packed = pa.array([x.tobytes() for x in np.split(flat, np.cumsum(counts)[:-1])] if len(counts) else [], type=pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), packed, batch.column("asked"), pa.array(coarse_code(_matrix(packed, kind)) if len(counts) else [], type=pa.int64())],
+                names=["vec_id", "v", "asked", "code"],
+            )
+
+    # Ranges of (code, id, row): ids are many, so a code that many rows share is spread over ranges.
     groups = max(-(-n // GROUP), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)), 1)
-    coded = rows.mapInArrow(code, "vec_id long, v array<long>, asked boolean, code long")
-    ranged = coded.repartitionByRange(groups, "code", "vec_id")
+    coded = rows.mapInArrow(code, "vec_id long, v binary, asked boolean, code long").withColumn("row", F.monotonically_increasing_id())
+    ranged = coded.repartitionByRange(groups, "code", "vec_id", "row")
     pieces = cut(ranged.select(F.spark_partition_id().alias("part"), "code", "vec_id", "v", "asked"))
-    last = pieces.agg(F.max("part")).first()[0]
-
-    def blocks_of(held: pa.Table) -> Blocks:
-        held = held.sort_by([("code", "ascending"), ("vec_id", "ascending")])
-        return Blocks(held.column("vec_id").to_numpy(), _matrix(held.column("v")), BLOCK)
-
-    def results(blocks: Blocks, asks: pa.Table, least: np.ndarray):
-        ids, matrix = asks.column("vec_id").to_numpy(), _matrix(asks.column("v"))
-        blocks, matrix = blocks.widened(matrix.shape[1]), np.pad(matrix, ((0, 0), (0, max(0, blocks.matrix.shape[1] - matrix.shape[1]))))
-        for start in range(0, len(ids), CHUNK):
-            part = slice(start, start + CHUNK)
-            yield start, ids[part], *blocks.top(ids[part], matrix[part], k, least[part])
-
-    def own_bound(held):
-        """The k-th score of each query within its own range: no better row scores less."""
-        asks = held.filter(held.column("asked"))
-        least = np.full(asks.num_rows, np.iinfo(np.int64).min)
-        if asks.num_rows:
-            for start, ids, at, _, score in results(blocks_of(held), asks, least):
-                full = np.bincount(at, minlength=len(ids)) >= k
-                low = np.full(len(ids), np.iinfo(np.int64).max)
-                np.minimum.at(low, at, score)
-                least[start : start + len(ids)][full] = low[full]
-        return pa.table({"vec_id": asks.column("vec_id"), "v": asks.column("v"), "least": least})
-
-    asked = pieces.groupBy("part").applyInArrow(own_bound, "vec_id long, v array<long>, least long")
-    asked = cut(asked.groupBy("vec_id").agg(F.min(F.struct("v", "least")).alias("q")).select("vec_id", "q.*"))
-    # Every query is sent to every range: the query set against all rows, in blocks.
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("part"), "vec_id", "v", "least")
+    # However many partitions Spark made of it, ``groups`` ranges of neighbouring ones.
+    made = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    pieces = pieces.withColumn("part", F.floor(F.col("part") * min(groups, made) / made).cast("int"))
+
+    asked = pieces.where("asked").groupBy("vec_id").agg(F.min(F.struct("v", "part", "code")).alias("q")).select("vec_id", "q.*")
+    heads = pieces.groupBy("code").agg(F.min("part").alias("head"))  # a row a code
+    asked = cut(asked.join(heads, "code").select("vec_id", "v", F.array_distinct(F.array("part", "head")).alias("pilots")))
+    tiles = max(1, -(-asked.count() // TILE))
+    asked = asked.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)))
 
     def meet(asks: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         if held.num_rows and asks.num_rows:
-            for _, ids, at, vec, score in results(blocks_of(held), asks, asks.column("least").to_numpy()):
-                out.append((ids[at], vec, score))
+            held = held.sort_by([("code", "ascending"), ("vec_id", "ascending")])
+            matrix = _matrix(asks.column("v"), kind)
+            blocks = Blocks(held.column("vec_id").to_numpy(), _matrix(held.column("v"), kind), BLOCK).widened(matrix.shape[1])
+            matrix = np.pad(matrix, ((0, 0), (0, blocks.matrix.shape[1] - matrix.shape[1])))
+            ids, least, least_id = (asks.column(c).to_numpy() for c in ("vec_id", "least", "least_id"))
+            for start in range(0, len(ids), CHUNK):
+                part = slice(start, start + CHUNK)
+                at, vec, score = blocks.top(ids[part], matrix[part], k, least[part], least_id[part])
+                out.append((ids[part][at], vec, score))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))))
 
-    met = sent.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(asks: DataFrame) -> DataFrame:
+        """Queries, each sent to its ``parts``, against the rows of those: tiles of queries times ranges."""
+        anew = lambda *names: [F.col(c).alias(c) for c in names]
+        sent = asks.select(F.explode("parts").alias("part"), *anew("tile", "vec_id", "v", "least", "least_id"))
+        held = pieces.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), *anew("part", "code", "vec_id", "v"))
+        return sent.groupBy("part", "tile").cogroup(held.groupBy("part", "tile")).applyInArrow(meet, "query_id long, vec_id long, score long")
+
+    lowest = F.lit(-(2**63)).cast("long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pilot = cut(met(asked.select("*", F.col("pilots").alias("parts"), lowest.alias("least"), F.lit(2**63 - 1).alias("least_id"))).withColumn("rank", rank).where(F.col("rank") <= k))
+    bound = pilot.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"), F.col("vec_id").alias("least_id"))
+    others = F.array_except(F.sequence(F.lit(0), F.lit(min(groups, made) - 1)), "pilots")
+    bounded = asked.join(bound, "vec_id", "left").select("tile", "vec_id", "v", F.coalesce("least", lowest).alias("least"), F.coalesce("least_id", F.lit(2**63 - 1)).alias("least_id"), others.alias("parts"))
+    found = pilot.select("query_id", "vec_id", "score").unionByName(met(bounded))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
