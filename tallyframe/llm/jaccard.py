@@ -9,17 +9,22 @@ whole sequence is one). Equal sets are one node from the start, by a 64-bit dige
    share are split by salts. Texts that only share passages agree on no part, and aren't tied.
 2. A set of which too few shingles occur twice in its group can't have a partner and leaves. Two bits for
    each of ``SEEN`` hash values say which occur twice; a clash lets a set stay, it never drops one.
-3. Inside a group (or, past ``GROUP_SHINGLES``, inside each pair of its pieces) the sets are joined
-   exactly (``Relations``): index lists ordered by position, of which the tail that cannot reach
-   the threshold is skipped; and the answers of a set close to one just computed are derived
-   from that one's by the triangle inequality of the Jaccard distance, without the index.
-4. Linked nodes are contracted to components, and components named by their smallest ``doc_id``.
+3. Each set is compared exactly with the one set that it is tied to by most parts. Sets that link so are
+   one block. In a group of one block nothing is left to find; else every further link has an end
+   outside the group's largest block, so only those sets look for partners.
+4. Inside a group the sets are joined exactly (``Relations``): index lists ordered by position, of which the
+   tail that cannot reach the threshold is skipped; and the answers of a set close to one just computed
+   are derived from that one's by the triangle inequality of the Jaccard distance, without the index. Past
+   ``GROUP_SHINGLES`` the largest block is dealt to pieces, and the other sets meet each of them; where
+   those alone are past it, all pairs of pieces meet.
+5. Linked blocks are contracted to components, and components named by their smallest ``doc_id``.
 
 Null and empty texts have empty sets, link with nothing and are their own component. Null ids count as
 documents but never name a component (a component of null ids only has a null name). Rows that repeat
-are equal sets. Nothing is capped: large groups are cut into pieces, and all pairs of pieces joined.
-Hashes can err: for unequal sets to share a digest, or for all agreeing parts of a pair to be empty (they
-aren't sent), has a chance below one in 10**9 for the largest corpora.
+are equal sets; a set's text is found by id and text digest, so ids that repeat do no harm. An empty table
+gives no row; other columns of the frame are not looked at. A very long text is worked on alone. Nothing
+is capped. Hashes can err: for unequal sets to share a digest, or for all agreeing parts of a pair to be
+empty (they aren't sent), has a chance below one in 10**9 for the largest corpora.
 """
 
 from __future__ import annotations
@@ -31,16 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm._common import cut, flat_utf8, id_and_text, mixed, slices
-from tallyframe.llm.rules import _BLANK, _VALUE, SLICE, Rolling
+from tallyframe.llm.rules import SLICE, Rolling, words_of
 
 #: Ratio of set sizes within a class; parts beyond those that differences can spoil, for small sets and others.
-RATIO, SPARE_SMALL, SPARE = 1.35, 64, 8
+RATIO, SPARE_SMALL, SPARE = 1.6, 64, 8
 #: A part key with this share of all keys, by a sample of one node in SAMPLE, is salted.
 SAMPLE, FREQUENT, SALTS = 64, 1e-5, 64
 #: Hash values of the table of shingles seen twice (a bit each reaches the tasks), and those that are sent together.
-SEEN, SENT = 1 << 27, 1 << 15
+SEEN, SENT, SENT_SHINGLES = 1 << 27, 1 << 15, 1 << 20
 #: Shingles that one task joins at once; a group with more is cut into pieces.
-GROUP_SHINGLES = 4 << 20
+GROUP_SHINGLES = 1 << 20
 #: A set within this distance of a computed one derives its answers from it.
 CLOSE = 0.05
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,16 +54,11 @@ _LOWER[65:91] += 32
 
 def shingles(flat: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
-    flat = _LOWER[flat]
-    blank = _BLANK[flat]
-    edge = np.zeros(len(flat) + 1, dtype=bool)
-    edge[offsets] = True
-    first = np.flatnonzero(~blank & (np.r_[True, blank[:-1]][: len(flat)] | edge[:-1]))
-    end = np.flatnonzero(~blank & (np.r_[blank[1:], True][: len(flat)] | edge[1:])) + 1
-    words = Rolling(Rolling(_VALUE[flat]).of(first, end))
-    at = np.searchsorted(first, offsets)
+    row, _, hashes = words_of(_LOWER[flat], offsets)
+    words = Rolling(hashes)
+    at = np.searchsorted(row, np.arange(len(offsets)))
     count = np.diff(at)
-    whole = np.arange(max(0, len(first) - k + 1))
+    whole = np.arange(max(0, len(row) - k + 1))
     grams = words.of(whole, whole + k)
     short = np.flatnonzero((count > 0) & (count < k))
     alone = dict(zip(short.tolist(), words.of(at[short], at[short] + count[short])))
@@ -131,7 +131,7 @@ def seen_twice(held: DataFrame) -> np.ndarray:
             for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
                 parts.append(seen_at(np.frombuffer(data, np.uint64), root))
                 size += len(parts[-1])
-                if size > GROUP_SHINGLES // 4:
+                if size > SENT_SHINGLES:
                     yield sent()
                     parts, size = [], 0
         if parts:
@@ -152,8 +152,11 @@ def seen_twice(held: DataFrame) -> np.ndarray:
 class Relations:
     """The exact join inside one group of sets."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        """``sets`` of ascending hashes. Inside, shingles are ordered by how many of the sets hold them."""
+    def __init__(self, sets: list[np.ndarray], percent: int, block: np.ndarray | None = None, asks: np.ndarray | None = None):
+        """``sets`` of ascending hashes. Inside, shingles are ordered by how many of the sets hold them.
+
+        Sets with one number in ``block`` are known to be in one component; only those in ``asks`` look for partners.
+        """
         self.percent, self.t = percent, percent / 100
         self.loose = max(1, int(100 * (self.t - CLOSE)))
         self.size = np.array([len(s) for s in sets])
@@ -165,6 +168,10 @@ class Relations:
         self.token = np.sort(of * len(counts) + rank[token]) - of * len(counts)
         self.mark = np.zeros(int(self.token.max()) + 1 if len(self.token) else 1, dtype=bool)
         self.root = np.arange(len(sets))
+        if block is not None:
+            _, first, own = np.unique(block, return_index=True, return_inverse=True)
+            self.root = first[own]
+        self.asks = np.ones(len(sets), dtype=bool) if asks is None else asks
         head = np.array([min(n, first_ones(n, self.loose)) for n in self.size.tolist()])
         owner = np.repeat(np.arange(len(sets)), head)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(head) - head, head)
@@ -211,7 +218,7 @@ class Relations:
 
     def run(self) -> np.ndarray:
         """The smallest member of each set's component."""
-        done = np.zeros(len(self.size), dtype=bool)
+        done = ~self.asks
         for i in np.argsort(self.size, kind="stable").tolist():
             if done[i]:
                 continue
@@ -267,7 +274,7 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles`` long, ``component_id`` long."""
+    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` long, ``text_key`` long (the text's xxhash64) and ``group`` long (one of the component's sets)."""
     rows = id_and_text(df, id_col, text_col)
     starts, parts = classes(percent)
 
@@ -276,7 +283,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
             for part in slices(batch, "text", SLICE):
                 found = shingles(*flat_utf8(part, "text"), k)
                 columns = [pa.array(x, type=pa.int64()) for x in ([digest(s) for s in found], [len(s) for s in found])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *columns], names=["doc_id", "text_key", "sig", "n"])
 
     def keys_of(batches):
         seen: set[int] = set()  # a set's keys are sent once a task; more copies of them do no harm
@@ -290,7 +297,8 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(keys)], names=["sig", "key"])
 
     # Two passes over the texts: keys are far larger than digests, and only their shuffle holds them.
-    described = cut(rows.mapInArrow(describe, "doc_id long, sig long, n long"))
+    marked = rows.withColumn("text_key", F.xxhash64("text"))
+    described = cut(marked.mapInArrow(describe, "doc_id long, text_key long, sig long, n long"))
     filled = described.where("n > 0")
     entries = rows.mapInArrow(keys_of, "sig long, key long")
     # Keys of very many sets, by a sample; their share bounds how many there can be (1 / FREQUENT).
@@ -321,26 +329,26 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
 
     tied = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(tie, "a long, b long, key long")
-    tied = cut(tied.distinct())
+    tied = cut(tied.groupBy("a", "b", "key").agg(F.count("*").alias("agree")))
     tops = tied.where("key is not null").groupBy("key").agg(F.min("a").alias("top"), F.collect_set("a").alias("hubs"))  # SALTS hubs a key at most
     edges = tied.select("a", "b").unionByName(tops.select(F.explode("hubs").alias("a"), F.col("top").alias("b")))
 
     coarse = contract(edges)
-    nodes = filled.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
-    members = cut(coarse.join(nodes, coarse.node == nodes.sig).select("node", "root", "id", "n"))
-    members = members.select("node", "root", "id")
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
+    nodes = filled.groupBy("sig").agg(F.min("doc_id").alias("id"), F.min(F.struct(rank.alias("rank"), "text_key")).alias("of"))
+    members = cut(coarse.join(nodes, coarse.node == nodes.sig).select("node", "root", "of.rank", "of.text_key"))
 
     def sets(batches):
+        sent: set[int] = set()  # rows that repeat send their set once a task
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 found = shingles(*flat_utf8(part, "text"), k)
-                # A row of the same id with another text has another digest.
-                same = [digest(s) == node for s, node in zip(found, part.column("node").to_pylist())]
+                same = [digest(s) == node and node not in sent and not sent.add(node) for s, node in zip(found, part.column("node").to_pylist())]
                 kept = part.filter(pa.array(same, type=pa.bool_()))
                 data = pa.array([s.tobytes() for s, ok in zip(found, same) if ok], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), data], names=["node", "root", "set"])
 
-    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "root", "text")
+    texts = marked.withColumn("rank", rank).join(members, ["rank", "text_key"]).select("node", "root", "text")
     held = cut(texts.mapInArrow(sets, "node long, root long, set binary"))
     twice = df.sparkSession.sparkContext.broadcast(seen_twice(held))
 
@@ -354,54 +362,83 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
             yield batch.filter(pa.array(ok, type=pa.bool_()))
 
     held = held.mapInArrow(may_link, "node long, root long, set binary")
-    weight = held.groupBy("root").agg(F.sum(F.octet_length("set") / 8).alias("total"), F.count("*").alias("sets")).where("sets > 1")
-    pieces = F.ceil(F.col("total") / GROUP_SHINGLES).cast("int")
-    weight = cut(weight.select("root", F.when(pieces > 1, 2 * pieces).otherwise(1).alias("pieces")))
-    held = held.join(weight, "root")
-    # A group of several pieces meets itself piece by piece: pair (i, j) holds pieces i and j.
+
+    def verified(batches):
+        for batch in batches:
+            for part in slices(batch, "set", SLICE):
+                ok = []
+                for own, other in zip(part.column("set").to_pylist(), part.column("other").to_pylist()):
+                    x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield part.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+
+    closest = tied.where("a != b").groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+    pairs = closest.join(held.select(F.col("node").alias("a"), "set"), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("other")), "b")
+    block = contract(pairs.select("a", "b", "set", "other").mapInArrow(verified, "a long, b long")).select("node", F.col("root").alias("block"))
+
+    held = held.join(block, "node", "left").withColumn("block", F.coalesce("block", "node"))
+    blocks = held.groupBy("root", "block").agg(F.sum(F.octet_length("set") / 8).alias("size"))
+    groups = blocks.groupBy("root").agg(F.max_by("block", F.struct("size", "block")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"), F.count("*").alias("n"))
+    pieces = F.ceil(F.col("size") / GROUP_SHINGLES).cast("int")
+    wide = F.col("size") - F.col("main_size") > GROUP_SHINGLES
+    groups = cut(groups.where("n > 1").select("root", "main", wide.alias("wide"), F.when(pieces > 1, F.when(wide, 2 * pieces).otherwise(pieces)).otherwise(1).alias("pieces")))
+    held = held.join(groups, "root").withColumn("asks", F.col("block") != F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    held = held.withColumn("pair", F.explode(pairs)).select("root", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "set")
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    meets = (
+        F.when(F.col("wide"), F.transform(every, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))
+        .when(F.col("asks"), F.transform(every, lambda j: F.struct(j.alias("i"), j.alias("j"))))
+        .otherwise(F.array(F.struct(own.alias("i"), own.alias("j"))))
+    )
+    held = held.withColumn("meet", F.explode(meets)).select("root", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "node", "block", "asks", "set")
 
     def join(batches):
         key, held_ = None, {}
 
         def linked():
-            names = np.array(list(held_), dtype=np.int64)
-            if len(names) < 2:
+            block_ = np.array([b for b, _, _ in held_.values()], dtype=np.int64)
+            asks = np.array([a for _, a, _ in held_.values()], dtype=bool)
+            if len(held_) < 2 or not asks.any():
                 return None
-            root = names[Relations([np.frombuffer(s, np.uint64) for s in held_.values()], percent).run()]
-            return pa.RecordBatch.from_arrays([pa.array(names[root != names]), pa.array(root[root != names])], names=["a", "b"])
+            root = Relations([np.frombuffer(s, np.uint64) for _, _, s in held_.values()], percent, block_, asks).run()
+            new = block_[root] != block_
+            return pa.RecordBatch.from_arrays([pa.array(block_[new]), pa.array(block_[root[new]])], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "set")]
-            for root, i, j, node, data in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block", "asks", "set")]
+            for root, i, j, node, *rest in zip(*columns):
                 if (root, i, j) != key:
                     if (out := linked()) is not None:
                         yield out
                     key, held_ = (root, i, j), {}
-                held_[node] = data
+                held_[node] = rest
         if (out := linked()) is not None:
             yield out
 
     links = held.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a long, b long")
     found = contract(links)
 
-    named = nodes.join(found, nodes.sig == found.node, "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
+    named = nodes.join(block, nodes.sig == block.node, "left").select("sig", "id", F.coalesce("block", "sig").alias("block"))
+    named = named.join(found, named.block == found.node, "left").select("sig", "id", F.coalesce("root", "block").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_set = cut(named.join(names, "root").select(F.col("sig").alias("of"), "component_id"))
-    joined = described.select("doc_id", "sig", "n").join(by_set, F.when(F.col("n") > 0, F.col("sig")) == F.col("of"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_set = cut(named.join(names, "root").select(F.col("sig").alias("of"), F.col("root").alias("group"), "component_id"))
+    joined = described.join(by_set, F.when(F.col("n") > 0, F.col("sig")) == F.col("of"), "left")
+    return joined.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key", "group"
+    )
 
 
 def representatives(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that name a component: one document of each group.
 
-    Of rows that repeat such an id one stays. Rows without an id can't be told apart and stay.
+    Of rows that repeat such an id and text one stays; rows that share an id but not a group each stay. Rows
+    without an id can't be told apart and stay.
     """
     found = components(df, k, percent, id_col, text_col)
-    names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    id_ = F.col(id_col).cast("long")
-    kept = df.where(id_.isNotNull()).join(names, id_ == F.col("__id"), "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_).orderBy(text_col))).where("__n = 1").drop("__n")
+    names = found.where("doc_id = component_id").groupBy("doc_id", "group").agg(F.min("text_key").alias("__key"))
+    names = names.select(F.col("doc_id").alias("__id"), "__key").distinct()
+    id_, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    kept = df.where(id_.isNotNull()).join(names, (id_ == F.col("__id")) & (key == F.col("__key")), "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(1)))).where("__n = 1").drop("__n")
     return kept.unionByName(df.where(id_.isNull()))
