@@ -22,7 +22,7 @@ def brute_top(ids, matrix, asked, k):
     return out
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(2)
     values = np.round(r.normal(size=(900, 8)), 1)
     values[100:400] = values[100]  # one vector many times: ties go to the smaller id
@@ -35,6 +35,24 @@ def test_top_k(spark):
     assert {tuple(x) for x in found} == brute_top(ids, matrix, [n for n, i in enumerate(ids) if i % 20 == 0], 20)
     assert len(found) == len({tuple(x) for x in found})
     assert search.top_k(df.where("false"), F.lit(True)).count() == 0
+    # Many ranges and tiles; repeated rows, and one vector that a third of the rows hold.
+    monkeypatch.setattr(search, "GROUP", 97)
+    monkeypatch.setattr(search, "TILE", 16)
+    found = search.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    assert {tuple(x) for x in found} == brute_top(ids, matrix, [n for n, i in enumerate(ids) if i % 20 == 0], 20)
+    twice = search.top_k(df.unionByName(df).withColumn("rank", F.lit("clash")), F.col("vec_id") % 20 == 0, k=20).collect()
+    expected = [(q, 2 * rank - extra, vec, score) for q, rank, vec, score in brute_top(ids, matrix, [n for n, i in enumerate(ids) if i % 20 == 0], 10) for extra in (0, 1)]
+    assert sorted(map(tuple, twice)) == sorted(expected)
+
+
+@pytest.mark.parametrize("scale", [1, 1000, 10**6, 0])
+def test_packed_vectors_of_any_width(spark, scale):
+    r = np.random.default_rng(scale)
+    values = r.integers(-300, 300, size=(60, 5)) * (scale or 1)
+    values[59, 0] = values[59, 0] if scale else 2**34  # no row of 64-bit components is asked
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values.astype(float))], "vec_id long, embedding array<double>")
+    found = {tuple(x) for x in search.top_k(df, F.col("vec_id") < 7, k=3, scale=1).collect()}
+    assert found == brute_top(list(range(60)), values.astype(object), range(7), 3)
 
 
 def test_blocks_stop_and_stay_exact():
@@ -137,21 +155,73 @@ def test_jaccard_join(spark, k, percent, monkeypatch):
     texts = near_copies()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, sig string")
     expected = brute_components(texts, k, percent)
-    assert {tuple(r) for r in jaccard.components(df, k, percent).collect()} == expected
+    columns = ["doc_id", "n_shingles", "component_id"]
+    assert {tuple(r) for r in jaccard.components(df, k, percent).select(*columns).collect()} == expected
     assert len({c for _, _, c in expected}) < len(texts) - 20
     # The same through pieces of groups and salted keys.
     monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 600)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     monkeypatch.setattr(jaccard, "SALTS", 3)
-    assert {tuple(r) for r in jaccard.components(df, k, percent).collect()} == expected
+    assert {tuple(r) for r in jaccard.components(df, k, percent).select(*columns).collect()} == expected
+
+
+def test_relations_find_what_blocks_leave():
+    """A chain of sets, some known to be one block: only the others look for partners, and nothing is lost."""
+    r = np.random.default_rng(6)
+    sets = [np.sort(r.choice(1 << 20, 100, replace=False)).astype(np.uint64)]
+    for _ in range(60):
+        new = sets[-1].copy()
+        new[r.choice(len(new), 5, replace=False)] = r.choice(1 << 20, 5)
+        sets.append(np.unique(new))
+    sets += [np.sort(r.choice(1 << 20, 80, replace=False)).astype(np.uint64) for _ in range(20)]
+    plain = jaccard.Relations(sets, 80).run()
+    block = np.array([0 if i < 30 else i for i in range(len(sets))])
+    found = jaccard.Relations(sets, 80, block, block != 0).run()
+    assert [(found == x).sum() for x in found] == [(plain == x).sum() for x in plain]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_pairs_agree_on_a_part(percent):
+    """Recall of the candidates, half of them at the threshold's edge: every linked pair shares a part key."""
+    r = np.random.default_rng(percent)
+    starts, parts = jaccard.classes(percent)
+    pairs = missed = 0
+    for _ in range(6000):
+        n = int(r.integers(2, 70)) if r.random() < 0.8 else int(r.integers(70, 900))
+        m = int(r.integers(-(-percent * n // 100), 100 * n // percent + 1))
+        least = -(-percent * (n + m) // (100 + percent))  # the smallest intersection at the threshold
+        if least > min(n, m):
+            continue
+        both = least if r.random() < 0.5 else int(r.integers(least, min(n, m) + 1))
+        values = r.integers(0, 1 << 64, size=n + m - both, dtype=np.uint64)
+        x, y = np.unique(values[:n]), np.unique(np.r_[values[:both], values[n:]])
+        pairs += 1
+        missed += not len(np.intersect1d(jaccard.part_keys(x, starts, parts, percent), jaccard.part_keys(y, starts, parts, percent)))
+    assert pairs > 4000 and missed == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_jaccard_join_with_one_id_for_all(spark, doc_id):
+    r = np.random.default_rng(2)
+    texts = [" ".join(r.choice([f"w{i}" for i in range(5000)], 30)) for _ in range(500)]
+    rows = [(doc_id, t + end) for t in texts for end in ("", " more")]
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    sizes = {}
+    for x in found:
+        sizes[x.group] = sizes.get(x.group, 0) + 1
+    assert len(found) == 1000 and set(sizes.values()) == {2} and {x.component_id for x in found} == {doc_id}
 
 
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "x y z"), (9, None)], "doc_id long, text string")
-    found = sorted(map(tuple, jaccard.components(df, 3, 90).collect()), key=str)
+    found = sorted(map(tuple, jaccard.components(df, 3, 90).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert found == sorted([(None, 4, 3), (3, 4, 3), (3, 4, 3), (None, 1, None), (9, 0, 9)], key=str)
     assert jaccard.components(df.where("false")).count() == 0
     assert jaccard.representatives(df, 3, 90).where("doc_id is not null").count() == 2
+    # One id over unrelated texts: each is its own group and stays; so does the true first of a group.
+    more = spark.createDataFrame([(5, "a b c d e f"), (4, "a b c d e f"), (4, "u v w x y z"), (5, "q r s t"), (6, "x" * 300_000 + " y z"), (8, None)], "doc_id long, text string")
+    kept = {(r.doc_id, (r.text or "")[:9]) for r in jaccard.representatives(more, 3, 90).collect()}
+    assert kept == {(4, "a b c d e"), (4, "u v w x y"), (5, "q r s t"), (6, "x" * 9), (8, "")}
 
 
 def test_pipeline(spark, sf_dir):
