@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.sources.files import numbered, prefix_sums
 
@@ -39,34 +40,42 @@ def sample_systematic(df: DataFrame, n: int | None, order_by: Sequence[str], sta
     return placed.where((at >= 0) & (at % step == 0) & (at / step < size)).drop("__at")
 
 
-def sample_mus(df: DataFrame, value: str, n: int, order_by: Sequence[str], start: int = 0) -> DataFrame:
-    """Monetary-unit sample: n thresholds at equal steps of the running total of positive whole values.
+def sample_mus(df: DataFrame, value: str, n: int, order_by: Sequence[str], start: int | None = 0, seed: int | None = None) -> DataFrame:
+    """Monetary-unit sample: n thresholds at equal steps of the running total of positive values.
 
-    A row is given once for each threshold in it (column ``hit`` from 0). ``start`` lies in the first step.
+    Values are summed exactly, to the scale of a decimal column, or to ten digits after the point of another number. A row
+    is given once for each threshold in it (column ``hit`` from 0). ``start`` lies in the first step; a ``seed`` chooses it.
     Without a positive total it falls back on ``sample_random``; ``method`` says which it was.
     """
     if n < 1:
         raise ValueError("a sample needs at least one row")
-    positive = df.where(F.col(value) > 0)
-    total = positive.agg(F.coalesce(F.sum(F.col(value).cast("long")), F.lit(0)).cast("long")).first()[0]
+    kind = df.schema[value].dataType
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0 if isinstance(kind, T.IntegralType) else 10
+    positive = df.where(F.col(value) > 0).withColumn("__v", (F.col(value).cast(f"decimal(28,{scale})") * 10**scale).cast("decimal(38,0)"))
+    total = positive.agg(F.sum("__v")).first()[0]
     if not total:
         return sample_random(df, n).withColumn("hit", F.lit(0)).withColumn("method", F.lit("random"))
-    summed = prefix_sums(positive.withColumn("__v", F.col(value).cast("long")), "__v", order_by, "__to")
-    # Thresholds start + k * total / n that are <= x, in whole numbers.
-    upto = lambda x: F.least(F.greatest(F.ceil((x - start).cast("decimal(38,0)") * n / F.lit(total).cast("decimal(38,0)")), F.lit(0)), F.lit(n)).cast("int")
-    summed = summed.withColumn("__a", upto(F.col("__to") - F.col("__v"))).withColumn("__b", upto(F.col("__to")))
+    first = int((start or 0) * 10**scale) if seed is None else seed * 2654435761 % max(1, int(total) // n)
+    summed = prefix_sums(positive, "__v", order_by, "__to", kind="decimal(38,0)")
+    # How many of the thresholds first + k * total / n are below x, in whole numbers.
+    below = lambda x: F.expr(f"cast(least(greatest((cast({x} - {first} as decimal(38,0)) * {n} + {int(total) - 1}) div {int(total)}, 0), {n}) as int)")
+    summed = summed.withColumn("__a", below("(__to - __v)")).withColumn("__b", below("__to"))
     hits = summed.where("__b > __a").withColumn("hit", F.explode(F.sequence(F.lit(0), F.col("__b") - F.col("__a") - 1)))
     return hits.drop("__a", "__b", "__to", "__v").withColumn("method", F.lit("mus"))
 
 
 def sample_stratified(df: DataFrame, value: str, n: int, order_by: Sequence[str], seed: int = 0) -> DataFrame:
-    """The max(1, n // 2) largest rows by value, and a random rest; ``stratum`` says which."""
+    """The max(1, n // 2) largest rows by value, and a random rest; ``stratum`` says which.
+
+    The rows are numbered once, largest first, then by ``order_by``, which may hold nulls and repeats, then by all columns, so rows
+    that share a number's rank are alike. The number decides which rows are the rest.
+    """
     size = sample_size(df.count(), n)
     top_n = max(1, size // 2)
     number = F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))
-    top = df.orderBy(F.desc(number), *order_by).limit(top_n)
-    if size == top_n:
-        return top.withColumn("stratum", F.lit("top"))
-    rest = df.join(F.broadcast(top.select(*order_by)), list(order_by), "left_anti")  # half of the sample's size
-    rest = rest.orderBy(F.xxhash64(F.lit(seed), *order_by), *order_by).limit(size - top_n)
-    return top.withColumn("stratum", F.lit("top")).unionByName(rest.select(*df.columns).withColumn("stratum", F.lit("random")))
+    placed = numbered(df.withColumn("__by", -number), ["__by", *order_by, *(c for c in df.columns if c not in order_by)], "__at")
+    top = placed.where(F.col("__at") < top_n).withColumn("stratum", F.lit("top"))
+    if size > top_n:
+        rest = placed.where(F.col("__at") >= top_n).orderBy(F.xxhash64(F.lit(seed), *order_by), *order_by, "__at").limit(size - top_n)
+        top = top.unionByName(rest.withColumn("stratum", F.lit("random")))
+    return top.drop("__by", "__at")

@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text as tx
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
-    """Quoted text, every column a string; ragged rows are an error; without a header ``column_i``."""
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, with_row_no: bool = False) -> DataFrame:
+    """Quoted text, every column a string; ragged rows are an error; without a header ``column_i``.
+
+    ``with_row_no`` adds ``row_no``, the 0-based place of a row in the files, by path.
+    """
     df = spark.read.csv(path, sep=delimiter, header=header, quote='"', escape='"', mode="FAILFAST", inferSchema=False, enforceSchema=False)
-    return df if header else df.toDF(*(f"column_{i + 1}" for i in range(len(df.columns))))
+    names = df.columns if header else [f"column_{i + 1}" for i in range(len(df.columns))]
+    if not with_row_no:
+        return df.toDF(*names)
+    # Within a split of a file rows come in their order, which the id that Spark gives them shows.
+    place = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
+    placed = df.select("*", *(F.col(c).alias(f"__o{i}") if isinstance(c, str) else c.alias(f"__o{i}") for i, c in enumerate(place)))
+    keys = ["__o0", "__o1", "__o2"]
+    return numbered(placed, keys).drop(*keys).toDF(*names, "row_no")
 
 
 def read_flat_delimited(spark: SparkSession, path: str, separator: str, names: Sequence[str]) -> DataFrame:
@@ -69,8 +79,8 @@ def numbered(df: DataFrame, order_by: Sequence[str], name: str = "row_no") -> Da
     return prefix_sums(df.withColumn("__one", F.lit(1)), "__one", order_by, name, before=True).drop("__one")
 
 
-def prefix_sums(df: DataFrame, value: str, order_by: Sequence[str], name: str, before: bool = False) -> DataFrame:
-    """Running totals of a whole-number column along an order; ``before`` leaves the row's own value out."""
+def prefix_sums(df: DataFrame, value: str, order_by: Sequence[str], name: str, before: bool = False, kind: str = "long") -> DataFrame:
+    """Running totals of a whole-number column along an order, of type ``kind``; ``before`` leaves the row's own value out."""
     from pyspark.sql.functions import spark_partition_id
 
     ranged = df.repartitionByRange(*order_by).withColumn("__part", spark_partition_id()).persist()
@@ -79,10 +89,10 @@ def prefix_sums(df: DataFrame, value: str, order_by: Sequence[str], name: str, b
     for r in sums:
         bases.append((r["__part"], total))
         total += int(r["n"] or 0)
-    offsets = df.sparkSession.createDataFrame(bases, "__part int, __base long")
+    offsets = df.sparkSession.createDataFrame([(part, str(base)) for part, base in bases], "__part int, __base string").withColumn("__base", F.col("__base").cast("decimal(38,0)"))
     window = Window.partitionBy("__part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     running = F.coalesce(F.sum(value).over(window), F.lit(0)) + F.col("__base")
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, running.cast("long")).drop("__part", "__base")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, running.cast(kind)).drop("__part", "__base")
 
 
 def import_mapped(df: DataFrame, mapping: dict[str, str], keep_unmapped: bool = True) -> DataFrame:
