@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,13 +160,14 @@ def _segments(value: str, words: frozenset[str]) -> list[str] | None:
 
 
 def segment(c: Column, vocabulary: list[str]) -> Column:
-    """Word break by a vocabulary (its size is the caller's to bound): an array, or null where no cover exists."""
-    words = frozenset(vocabulary)
+    """Word break by a vocabulary (its size is the caller's to bound; it is broadcast): an array, or null where no cover exists."""
+    words = SparkSession.active().sparkContext.broadcast(frozenset(vocabulary))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda v: None if v is None else _segments(v, words)).astype(object)
+            found = {v: _segments(v, words.value) for v in batch.dropna().unique()}
+            yield batch.map(lambda v: found.get(v)).astype(object)
 
     return split(c)
 

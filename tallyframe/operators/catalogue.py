@@ -61,15 +61,16 @@ def column_distribution(df: DataFrame, column: str, k: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("n"), "value").limit(k)
 
 
-def profile_catalogue(frames: dict[str, DataFrame], order_by: dict[str, Sequence[str]], source_type: str = "csv") -> DataFrame:
-    """The columns catalogue of many tables: ``table, pos, column, unique_count, null_count, is_pk, is_fk, row_count, source_type``."""
+def profile_catalogue(frames: dict[str, DataFrame], order_by: dict[str, Sequence[str]], source_type: str = "csv", head: int | None = 100) -> DataFrame:
+    """The columns catalogue of many tables: ``table, pos, column, unique_count, null_count, is_pk, is_fk, row_count, source_type``.
+
+    It is made at once, by two scans of each table, and kept on the driver: a row a column. What is built on it reads no table.
+    """
     out = None
     for name, df in frames.items():
-        keys = profile.primary_key_candidates(df, order_by[name]).select("column_name", F.lit(True).alias("is_pk"))
-        part = profile.profile_columns(df).join(keys, "column_name", "left").select(
+        part = profile.column_keys(df, order_by[name], head).select(
             F.lit(name).alias("table"), "pos", F.col("column_name").alias("column"), F.col("unique_values").alias("unique_count"), "null_count",
-            F.coalesce("is_pk", F.lit(False)).alias("is_pk"), F.lit(False).alias("is_fk"), F.col("total_values").alias("row_count"),
-            F.lit(source_type).alias("source_type"),
+            F.col("is_key").alias("is_pk"), F.lit(False).alias("is_fk"), F.col("total_values").alias("row_count"), F.lit(source_type).alias("source_type"),
         )
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.sparkSession.createDataFrame(out.collect(), out.schema)

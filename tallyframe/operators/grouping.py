@@ -77,8 +77,9 @@ def group_examples(df: DataFrame, row_no: str, groups: int = 5, rows: int = 3, c
     order = Window.partitionBy("pos").orderBy(F.desc("n"), "group")
     top = sizes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= groups)
     members = all_groups(df, chosen, [row_no]).join(F.broadcast(top.select("pos", "group", "n")), ["pos", "group"])  # a few rows a column
-    first = members.select("column", "group", "n", row_no).distinct()
-    first = first.withColumn("at", F.row_number().over(Window.partitionBy("column", "group").orderBy(row_no))).where(F.col("at") <= rows)
+    # Each task keeps a group's first rows before the shuffle; a row that is in a group twice has one rank.
+    rank = F.dense_rank().over(Window.partitionBy("column", "group").orderBy(row_no))
+    first = members.select("column", "group", "n", row_no).withColumn("at", rank).where(F.col("at") <= rows).drop("at").distinct()
     return first.groupBy("column", "group", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row_no)), lambda x: x.cast("string")), ",").alias("rows"))
 
 

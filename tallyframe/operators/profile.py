@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as tx
@@ -28,17 +28,32 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return cells(df, columns).groupBy("pos", "column", "value").agg(F.count("*").alias("n"))
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """``pos, column_name, total_values, unique_values, null_count, distinct_ratio`` (of all values)."""
-    counts = value_counts(df).groupBy("pos", "column").agg(
-        F.sum("n").alias("total_values"),
-        F.count("value").alias("unique_values"),
+def _totals() -> list[Column]:
+    return [
+        F.sum("n").alias("total_values"), F.count("value").alias("unique_values"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-    )
+    ]
+
+
+def _of_all_columns(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts by ``pos`` as a row for each column of the frame, zeros where it has no row."""
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "pos int, column_name string")
     out = names.join(counts.drop("column"), "pos", "left").na.fill(0)
-    ratio = F.when(F.col("total_values") > 0, F.col("unique_values") / F.col("total_values")).otherwise(0.0)
-    return out.withColumn("distinct_ratio", ratio)
+    return out.withColumn("distinct_ratio", F.when(F.col("total_values") > 0, F.col("unique_values") / F.col("total_values")).otherwise(0.0))
+
+
+def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
+    """``pos, column_name, total_values, unique_values, null_count, distinct_ratio`` (of all values).
+
+    Exact counts shuffle each distinct cell; ``approx`` counts distinct values with a sketch and shuffles none.
+    """
+    if approx:
+        counts = cells(df).groupBy("pos").agg(
+            F.count("*").alias("total_values"), F.approx_count_distinct("value").alias("unique_values"), F.count_if(F.col("value").isNull()).alias("null_count")
+        )
+    else:
+        counts = value_counts(df).groupBy("pos", "column").agg(*_totals())
+    return _of_all_columns(df, counts)
 
 
 def top_values(df: DataFrame, k: int = 10, columns: Sequence[str] | None = None) -> DataFrame:
@@ -47,52 +62,96 @@ def top_values(df: DataFrame, k: int = 10, columns: Sequence[str] | None = None)
     return value_counts(df, columns).where("value is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("pos")
 
 
-def head_cells(df: DataFrame, order_by: Sequence[str], n: int, condition=None, columns: Sequence[str] | None = None) -> DataFrame:
-    """The first n filled cells of each column that meet the condition, with their ``place``."""
-    keep = [f"__o{i}" for i in range(len(order_by))]
-    placed = df.select(*[F.col(f"`{c}`") for c in df.columns], *(F.col(f"`{c}`").alias(k) for c, k in zip(order_by, keep)))
-    found = cells(placed, columns or df.columns, keep).where("value is not null")
-    found = found.where(condition) if condition is not None else found
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy(*keep))).where(F.col("place") <= n).select("pos", "column", "place", "value")
-
+def _with_keys(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    keys = [f"__o{i}" for i in range(len(order_by))]
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], *(F.col(f"`{c}`").alias(k) for c, k in zip(order_by, keys))), keys
 
-def sequences(df: DataFrame, order_by: Sequence[str], head: int = 100, columns: Sequence[str] | None = None) -> DataFrame:
-    """``pos, column, n, stepwise``: of the first whole-number cells, how many, and whether each is one more than the last."""
-    found = head_cells(df, order_by, head, tx.is_integer_text(F.col("value")), columns).withColumn("v", F.col("value").cast("long"))
-    found = found.withColumn("last", F.lag("v").over(Window.partitionBy("pos").orderBy("place")))
-    return found.groupBy("pos", "column").agg(F.count("*").alias("n"), F.every(F.col("last").isNull() | (F.col("v") == F.col("last") + 1)).alias("stepwise"))
 
+def head_cells(df: DataFrame, order_by: Sequence[str], n: int | None, condition=None, columns: Sequence[str] | None = None) -> DataFrame:
+    """``pos, column, place, value``: the first n filled cells of each column that meet the condition; None: all of them, without places."""
+    placed, keys = _with_keys(df, order_by)
+    found = cells(placed, columns or df.columns, keys).where("value is not null")
+    found = found.where(condition) if condition is not None else found
+    if n is None:
+        return found.select("pos", "column", F.lit(None).cast("int").alias("place"), "value")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy(*keys))).where(F.col("place") <= n).select("pos", "column", "place", "value")
 
-def auto_increment(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns whose first whole-number cells, over three of them, go up one by one."""
-    return sequences(df, order_by, 100, columns).where("stepwise and n > 3").select("column")
 
+def sequences(df: DataFrame, order_by: Sequence[str], head: int | None = 100, columns: Sequence[str] | None = None) -> DataFrame:
+    """``pos, column, n, stepwise``: of the first whole-number cells, how many, and whether each is one more than the last.
 
-def column_patterns(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """``column, pattern``: Numeric, Boolean, Email, Url, Sequential, UniqueIdentifier, Category."""
-    v, near = F.col("value"), F.col("place") <= 20
-    heads = head_cells(df, order_by, 100).groupBy("pos", "column").agg(
-        F.every(tx.is_numeric_text(v)).alias("numeric"),
-        F.every(tx.is_boolean_text(v)).alias("boolean"),
-        F.some(near & tx.looks_like_email(v)).alias("email"),
-        F.some(near & tx.looks_like_url(v)).alias("url"),
-    )
-    steps = sequences(df, order_by).select("pos", F.col("n").alias("ints"), "stepwise")
-    counts = profile_columns(df).select("pos", "unique_values", (F.col("total_values") - F.col("null_count")).alias("filled"))
-    found = heads.join(counts, "pos").join(steps, "pos", "left")
+    ``head`` None looks at all cells: each range of the order by itself, then where the ranges meet.
+    """
+    whole = tx.is_integer_text(F.col("value"))
+    if head is not None:
+        found = head_cells(df, order_by, head, whole, columns).withColumn("v", F.col("value").cast("long"))
+        found = found.withColumn("last", F.lag("v").over(Window.partitionBy("pos").orderBy("place")))
+        return found.groupBy("pos", "column").agg(F.count("*").alias("n"), F.every(F.col("last").isNull() | (F.col("v") == F.col("last") + 1)).alias("stepwise"))
+    placed, keys = _with_keys(df, order_by)
+    ranged = placed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    found = cells(ranged, columns or df.columns, ["__part", *keys]).where("value is not null").where(whole).withColumn("v", F.col("value").cast("long"))
+    found = found.withColumn("last", F.lag("v").over(Window.partitionBy("__part", "pos").orderBy(*keys)))
+    place = F.struct(*keys)
+    parts = found.groupBy("__part", "pos", "column").agg(
+        F.count("*").alias("n"), F.every(F.col("last").isNull() | (F.col("v") == F.col("last") + 1)).alias("ok"),
+        F.min_by("v", place).alias("first"), F.max_by("v", place).alias("end"),
+    )
+    parts = parts.withColumn("before", F.lag("end").over(Window.partitionBy("pos").orderBy("__part")))  # a row a range and column
+    return parts.groupBy("pos", "column").agg(F.sum("n").alias("n"), F.every(F.col("ok") & (F.col("before").isNull() | (F.col("first") == F.col("before") + 1))).alias("stepwise"))
+
+
+def auto_increment(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None, head: int | None = 100) -> DataFrame:
+    """Columns whose first whole-number cells (``head`` None: all), over three of them, go up one by one."""
+    return sequences(df, order_by, head, columns).where("stepwise and n > 3").select("column")
+
+
+def column_facts(df: DataFrame, order_by: Sequence[str], head: int | None = 100, near: int | None = 20) -> DataFrame:
+    """A row a column with filled or blank cells: its counts, what its first cells are, and whether they are a sequence."""
+    v = F.col("value")
+    kinds = lambda close: [
+        F.every(tx.is_numeric_text(v)).alias("numeric"), F.every(tx.is_boolean_text(v)).alias("boolean"),
+        F.some(close & tx.looks_like_email(v)).alias("email"), F.some(close & tx.looks_like_url(v)).alias("url"),
+    ]
+    # What holds for all cells holds for all distinct values, so whole columns need no scan of their own.
+    counts = value_counts(df).groupBy("pos", "column").agg(*_totals(), *(kinds(F.lit(True)) if head is None else []))
+    if head is not None:
+        close = F.lit(True) if near is None else F.col("place") <= near
+        counts = counts.join(head_cells(df, order_by, head).groupBy("pos").agg(*kinds(close)), "pos", "left")
+    steps = sequences(df, order_by, head).select("pos", F.col("n").alias("ints"), "stepwise")
+    return counts.join(steps, "pos", "left").withColumn("filled", F.col("total_values") - F.col("null_count"))
+
+
+def _sequential() -> Column:
+    return F.coalesce(F.col("numeric") & (F.col("filled") > 3) & F.col("stepwise") & (F.col("ints") > 0), F.lit(False))
+
+
+def _unique() -> Column:
+    return _sequential() | F.coalesce((F.col("unique_values") / F.col("filled") > 0.95) & (F.col("filled") > 10), F.lit(False))
+
+
+def column_patterns(df: DataFrame, order_by: Sequence[str], head: int | None = 100, near: int | None = 20) -> DataFrame:
+    """``column, pattern``: Numeric, Boolean, Email, Url, Sequential, UniqueIdentifier, Category.
+
+    By the first ``head`` filled cells of a column (Email and Url: ``near``) in the order of ``order_by``; ``head`` None: by all.
+    """
+    found = column_facts(df, order_by, head, near).where("filled > 0")
     share = F.col("unique_values") / F.col("filled")
-    sequential = F.col("numeric") & (F.col("filled") > 3) & F.coalesce(F.col("stepwise") & (F.col("ints") > 0), F.lit(False))
     flags = {
-        "Numeric": F.col("numeric"), "Boolean": F.col("boolean"), "Email": F.col("email"), "Url": F.col("url"), "Sequential": sequential,
-        "UniqueIdentifier": sequential | ((share > 0.95) & (F.col("filled") > 10)),
-        "Category": (share < 0.1) & (F.col("unique_values") > 1) & (F.col("unique_values") < 50),
+        "Numeric": F.col("numeric"), "Boolean": F.col("boolean"), "Email": F.col("email"), "Url": F.col("url"), "Sequential": _sequential(),
+        "UniqueIdentifier": _unique(), "Category": (share < 0.1) & (F.col("unique_values") > 1) & (F.col("unique_values") < 50),
     }
     names = F.array_compact(F.array(*(F.when(c, n) for n, c in flags.items())))
     return found.select("column", F.explode(names).alias("pattern"))
 
 
-def status_flows(df: DataFrame, order_by: Sequence[str], head: int | None = 1000) -> DataFrame:
-    """``column, state`` of columns named like a status with 2 to 19 states in the first rows; a blank cell is a state."""
+def column_keys(df: DataFrame, order_by: Sequence[str], head: int | None = 100) -> DataFrame:
+    """``profile_columns`` with ``is_key``: the UniqueIdentifier pattern and a distinct ratio over 0.9."""
+    facts = column_facts(df, order_by, head).withColumn("is_key", _unique()).select("pos", "column", "total_values", "unique_values", "null_count", "is_key")
+    return _of_all_columns(df, facts).withColumn("is_key", F.coalesce("is_key", F.lit(False)) & (F.col("distinct_ratio") > 0.9))
+
+
+def status_flows(df: DataFrame, order_by: Sequence[str], head: int | None = None) -> DataFrame:
+    """``column, state`` of columns named like a status with 2 to 19 states, in the first ``head`` rows or all; a blank cell is a state."""
     columns = [c for c in df.columns if any(x in c.lower() for x in STATUS_NAMES)]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, state string")
@@ -102,13 +161,52 @@ def status_flows(df: DataFrame, order_by: Sequence[str], head: int | None = 1000
     return states.join(F.broadcast(known.select("column")), "column")  # a row a column
 
 
+def _settled(a: Row, b: Row) -> tuple[str | None, float | None] | None:
+    """What two columns without blanks are to each other, where their counts alone say it; else None."""
+    if a.null_count or b.null_count:
+        return None
+    alone = [x.unique_values == x.total_values or x.unique_values == 1 for x in (a, b)]
+    if not any(alone):
+        return None
+    # A unique column pairs with each row once; a constant one with every value of the other.
+    if a.unique_values == a.total_values:
+        many_a, many_b = 0, b.repeated
+    elif b.unique_values == b.total_values:
+        many_a, many_b = a.repeated, 0
+    elif a.unique_values == 1:
+        many_a, many_b = int(b.unique_values > 1), 0
+    else:
+        many_a, many_b = 0, int(a.unique_values > 1)
+    n_a, n_b = a.unique_values, b.unique_values
+    if not many_a and not many_b and n_a > 5:
+        return "OneToOne", 1.0
+    if many_a > 0.5 * n_a and n_b > n_a:
+        return "OneToMany", many_a / n_a
+    if many_b > 0.5 * n_b and n_a > n_b:
+        return "ManyToOne", many_b / n_b
+    return None, None
+
+
 def column_relations(df: DataFrame, columns: Sequence[str] | None = None, most_pairs: int = 200) -> DataFrame:
     """``column_a, column_b, type, strength`` of column pairs: OneToOne, OneToMany, ManyToOne.
 
-    Distinct (pair, a, b) come from one scan for each ``most_pairs`` pairs and are counted from either side.
+    The columns are counted first (the driver gets a row a column), which settles pairs with a unique or constant
+    column. Distinct (pair, a, b) of the others come from one scan for each ``most_pairs`` pairs and are counted from
+    either side.
     """
-    chosen = list(columns or df.columns)
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1 :]]
+    spark, chosen = df.sparkSession, list(columns or df.columns)
+    counted = value_counts(df, chosen).groupBy("pos").agg(*_totals(), F.count_if(F.col("value").isNotNull() & (F.col("n") > 1)).alias("repeated"))
+    facts = {r.pos: r for r in counted.collect()} if len(chosen) > 1 else {}
+    known, pairs = [], []
+    for i, a in enumerate(chosen):
+        for j in range(i + 1, len(chosen)):
+            if i in facts and j in facts:
+                found = _settled(facts[i], facts[j])
+                if found is None:
+                    pairs.append((a, chosen[j]))
+                elif found[0]:
+                    known.append((a, chosen[j], *found))
+    settled = spark.createDataFrame(known, "column_a string, column_b string, type string, strength double")
     out = None
     for start in range(0, len(pairs), most_pairs):
         part = pairs[start : start + most_pairs]
@@ -122,17 +220,17 @@ def column_relations(df: DataFrame, columns: Sequence[str] | None = None, most_p
         both = sides[0].join(sides[1], "pair")
         out = both if out is None else out.unionByName(both)
     if out is None:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, type string, strength double")
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string")
+        return settled
+    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string")
     share_a, share_b = F.col("many_a") / F.col("n_a"), F.col("many_b") / F.col("n_b")
     one = (F.col("many_a") == 0) & (F.col("many_b") == 0) & (F.col("n_a") > 5)
     to_many, to_one = (share_a > 0.5) & (F.col("n_b") > F.col("n_a")), (share_b > 0.5) & (F.col("n_a") > F.col("n_b"))
     kind = F.when(one, "OneToOne").when(to_many, "OneToMany").when(to_one, "ManyToOne")
     strength = F.when(one, 1.0).when(to_many, share_a).when(to_one, share_b)
-    return out.join(names, "pair").select("column_a", "column_b", kind.alias("type"), strength.alias("strength")).where("type is not null")
+    found = out.join(names, "pair").select("column_a", "column_b", kind.alias("type"), strength.alias("strength")).where("type is not null")
+    return settled.unionByName(found)
 
 
-def primary_key_candidates(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def primary_key_candidates(df: DataFrame, order_by: Sequence[str], head: int | None = 100) -> DataFrame:
     """Columns with the UniqueIdentifier pattern and a distinct ratio over 0.9."""
-    unique = column_patterns(df, order_by).where("pattern = 'UniqueIdentifier'").select(F.col("column").alias("column_name"))
-    return profile_columns(df).where("distinct_ratio > 0.9").join(unique, "column_name").select("column_name", "distinct_ratio")
+    return column_keys(df, order_by, head).where("is_key").select("column_name", "distinct_ratio")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as tx
+from tallyframe.operators import profile
 
 #: Name parts of staging, aggregate and lookup tables.
 STAGING = ("stg_", "staging_", "temp_", "tmp_", "_stg", "_staging", "_temp")
@@ -93,20 +94,29 @@ def detect_relationships(columns: DataFrame, tables: DataFrame) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 
-def score_relationships(relationships: DataFrame, frames: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+def score_relationships(relationships: DataFrame, frames: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]] | None = None) -> DataFrame:
     """``confidence, overlap_count`` of candidate joins by their names and the values they share.
 
-    ``pairs`` are the (from_table, from_column, to_table, to_column) to score, read from the catalogue by the caller.
-    Distinct values of each side are compared in full.
+    ``pairs`` are the (from_table, from_column, to_table, to_column) to score; by default all candidates (a catalogue). Each table
+    is read once for all its columns, and their distinct values are compared in full, in one join.
     """
-    out = None
-    for ft, fc, tt, tc in pairs:
-        value = lambda t, c: frames[t].select(tx.filled(F.col(f"`{c}`").cast("string")).alias("v")).where("v is not null").distinct()
-        left, right = value(ft, fc).withColumn("l", F.lit(1)), value(tt, tc).withColumn("r", F.lit(1))
-        both = left.join(right, "v", "full_outer").agg(F.count("l").alias("nl"), F.count("r").alias("nr"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("overlap_count"))
-        row = both.select(*(F.lit(x).alias(n) for x, n in zip((ft, fc, tt, tc), ("from_table", "from_column", "to_table", "to_column"))), "nl", "nr", "overlap_count")
-        out = row if out is None else out.unionByName(row)
-    scored = out.join(relationships, ["from_table", "from_column", "to_table", "to_column"])
+    sides = ["from_table", "from_column", "to_table", "to_column"]
+    asked = [tuple(r) for r in relationships.select(*sides).distinct().collect()] if pairs is None else list(pairs)
+    spark = relationships.sparkSession
+    values = spark.createDataFrame([], "table string, column string, v string")
+    for name, df in frames.items():
+        known = {c.lower(): c for c in df.columns}
+        wanted = sorted({known[c.lower()] for t, c in [x[:2] for x in asked] + [x[2:] for x in asked] if t == name and c.lower() in known})
+        if wanted:
+            found = profile.cells(df, wanted).where("value is not null").select(F.lit(name).alias("table"), "column", F.col("value").alias("v")).distinct()
+            values = values.unionByName(found)
+    values = values.withColumn("column", F.lower("column"))
+    listed = F.broadcast(spark.createDataFrame(asked, ", ".join(f"{c} string" for c in sides)))  # a row a candidate
+    left = values.join(listed, (F.col("table") == F.col("from_table")) & (F.col("column") == F.lower("from_column"))).select(*sides, "v", F.lit(1).alias("l"), F.lit(0).alias("r"))
+    right = values.join(listed, (F.col("table") == F.col("to_table")) & (F.col("column") == F.lower("to_column"))).select(*sides, "v", F.lit(0).alias("l"), F.lit(1).alias("r"))
+    met = left.unionByName(right).groupBy(*sides, "v").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    out = met.groupBy(*sides).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.sum(F.col("l") * F.col("r")).alias("overlap_count"))
+    scored = relationships.join(listed, sides, "left_semi").join(out, sides, "left").na.fill(0, ["nl", "nr", "overlap_count"])
     ratio = F.col("overlap_count") / F.greatest(F.lit(1), F.least("nl", "nr"))
     total = F.least(F.floor(0.6 * F.col("confidence") + 40 * ratio + 1e-9), F.lit(100)).cast("int")
     return scored.select("from_table", "from_column", "to_table", "to_column", total.alias("confidence"), "overlap_count").orderBy(F.desc("confidence"), "from_table", "from_column", "to_table")
