@@ -48,12 +48,12 @@ def check_distinct(spark, sf_dir):
     )
 
 
-@query(L + """select l_orderkey, l_linenumber, cents from l where cents > 2 * (select avg(cents) from l) + (select count(*) from part) - (select count(*) from orders)""")
+@query(L + """select l_orderkey, l_linenumber, cents from l where 3 * cents > 4 * (select avg(cents) from l) + (select count(*) from part) - (select count(*) from orders)""")
 def check_subquery(spark, sf_dir):
     lines = c.with_scalars(_lines(spark, sf_dir), _lines(spark, sf_dir), mean=F.avg("cents"))
     lines = c.with_scalars(lines, table(spark, sf_dir, "part"), parts=F.count("*"))
     lines = c.with_scalars(lines, table(spark, sf_dir, "orders"), orders=F.count("*"))
-    return lines.where(p.gt(F.col("cents"), 2 * F.col("mean") + F.col("parts") - F.col("orders"))).select("l_orderkey", "l_linenumber", "cents")
+    return lines.where(p.gt(3 * F.col("cents"), 4 * F.col("mean") + F.col("parts") - F.col("orders"))).select("l_orderkey", "l_linenumber", "cents")
 
 
 @query(L + """select l_orderkey, l_linenumber, coalesce(line = 3, false) as eq, not coalesce(line = 3, false) as ne, coalesce(line > 3, false) as gt, coalesce(line <= 3, false) as le, not coalesce(line < 3, false) as not_lt,
@@ -80,7 +80,8 @@ def case_iif(spark, sf_dir):
 
 @query("""select p_partkey, coalesce(p_type, '') ilike '%standard%' as std, not (coalesce(p_name, '') ilike 'p_r%') as other from part""")
 def like_ci(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", p.like(F.col("p_type"), "%standard%").alias("std"), p.like(F.col("p_name"), "P_R%", negated=True).alias("other"))
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", p.like(p.ref(part, "part.P_Type"), "%standard%").alias("std"), p.like(p.ref(part, "p_name"), "P_R%", negated=True).alias("other"))
 
 
 @query(L + """select l_orderkey, l_linenumber, coalesce(line between 2 and 4, false) as between_, not coalesce(line between 2 and 4, false) as outside, coalesce(line in (1, 3), false) as in_, not coalesce(line in (1, 3), false) as not_in from l""")
@@ -194,15 +195,14 @@ def evidence(spark, sf_dir):
     return c.evidence_distribution(_results(spark, sf_dir), table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"])
 
 
-@query("""select r_name as process, coalesce(string_agg(n_name, ',' order by n_nationkey), '') as controls, count(n_name) as n, coalesce(first(n_name order by n_nationkey), r_name) as title
-from region left join nation on n_regionkey = r_regionkey and n_nationkey % 6 <> 0 group by r_name""")
+@query("""select c_custkey, c_name as process, coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey), '') as controls, count(o_orderkey) as n,
+coalesce(first(o_orderpriority order by o_orderkey), c_name) as title from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name""")
 def nested_plan(spark, sf_dir):
-    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("process"))
-    nations = table(spark, sf_dir, "nation").where("n_nationkey % 6 != 0").select(F.col("n_regionkey").alias("key"), "n_nationkey", "n_name")
-    found = c.nest(regions, nations, "key", "n_nationkey", "controls")
-    names = F.col("controls.n_name")
-    title = c.group_title(F.get(names, F.lit(0)), F.lit(" "), F.col("process"))
-    return found.select("process", F.array_join(names, ",").alias("controls"), F.size("controls").cast("long").alias("n"), title.alias("title"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("key"), F.col("c_name").alias("process"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_orderkey").cast("string").alias("ref"), "o_orderpriority")
+    found = c.nest(customers, orders, "key", "o_orderkey", "controls")
+    title = c.group_title(F.get(F.col("controls.o_orderpriority"), F.lit(0)), F.lit(" "), F.col("process"))
+    return found.select("c_custkey", "process", F.array_join("controls.ref", ",").alias("controls"), F.size("controls").cast("long").alias("n"), title.alias("title"))
 
 
 @query("""with i as (select o_orderpriority as control, o_orderstatus = 'F' as approved, case when o_orderkey % 2 = 0 then 'SQL' else 'CSV' end as item_type from orders),

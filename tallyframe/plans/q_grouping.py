@@ -160,10 +160,11 @@ def mv_segment(spark, sf_dir):
     return packed.join(m.segments(packed, words), "value", "left").select("p_partkey", F.array_join("parts", "+").alias("parts"))
 
 
-@query("""select 'packed' as "column", 'VocabularySegmented' as method, count(*) as total_count, count(*) as multi_value_count, 0.95 as confidence from part""")
+@query("""with s as (select count(*) as total_count, count(*) filter (p_partkey % 4 = 0) as multi_value_count from part)
+select 'packed' as "column", 'VocabularySegmented' as method, total_count, multi_value_count, round(least(1.5 * multi_value_count / total_count, 0.95), 6) as confidence from s""")
 def mv_segment_report(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     brand, kind = F.lower("p_brand"), F.lower(F.regexp_replace("p_type", " ", ""))
     words = part.select(F.explode(F.array(brand, kind)).alias("atom")).distinct()
-    found = m.vocabulary_segmented_report(part.select(F.concat(brand, kind).alias("packed")), words)
-    return found.select("column", "method", "total_count", "multi_value_count", "confidence")
+    found = m.vocabulary_segmented_report(part.select(F.when(F.col("p_partkey") % 4 == 0, F.concat(brand, kind)).otherwise(F.concat(F.lit("?"), kind)).alias("packed")), words)
+    return found.select("column", "method", "total_count", "multi_value_count", F.round("confidence", 6).alias("confidence"))

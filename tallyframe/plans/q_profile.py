@@ -43,33 +43,33 @@ HEADS = """u as (select pos, "column", value, row_number() over (partition by po
  select o_orderkey, 0 as pos, 'o_orderkey' as "column", cast(o_orderkey as varchar) as value from orders union all select o_orderkey, 1, 'o_custkey', cast(o_custkey as varchar) from orders
  union all select o_orderkey, 2, 'o_orderstatus', o_orderstatus from orders union all select o_orderkey, 3, 'o_orderpriority', o_orderpriority from orders)),
 i as (select pos, "column", cast(value as bigint) as v, row_number() over (partition by pos order by place) as place from u where regexp_full_match(value, '[+-]?[0-9]+')),
-d as (select *, lag(v) over (partition by pos order by place) as w from i where place <= 100),
+d as (select *, lag(v) over (partition by pos order by place) as w from i),
 s as (select pos, "column", count(*) as n, bool_and(w is null or v = w + 1) as stepwise from d group by all)"""
 
 
 @query("with " + HEADS + """, h as (select pos, "column", bool_and(regexp_full_match(value, '[+-]?[0-9]+')) as num, bool_and(lower(value) in ('true','false','yes','no','1','0','t','f','y','n')) as bool
- from u where place <= 100 group by all),
+ from u group by all),
 c as (select pos, count(distinct value) as d, count(*) as n from u group by 1),
 f as (select h."column", num, bool, num and c.n > 3 and coalesce(stepwise, false) as seq, d / c.n as share, d, c.n from h join c using (pos) left join s using (pos))
 select "column", unnest(list_filter([case when num then 'Numeric' end, case when bool then 'Boolean' end, case when seq then 'Sequential' end,
  case when seq or share > 0.95 and n > 10 then 'UniqueIdentifier' end, case when share < 0.1 and d > 1 and d < 50 then 'Category' end], lambda x: x is not null)) as pattern from f""")
 def column_patterns(spark, sf_dir):
-    return profile.column_patterns(_texts(table(spark, sf_dir, "orders"), ORDERS).withColumn("k", F.col("o_orderkey").cast("long")), ["k"]).where("column != 'k'")
+    return profile.column_patterns(_texts(table(spark, sf_dir, "orders"), ORDERS).withColumn("k", F.col("o_orderkey").cast("long")), ["k"], head=None).where("column != 'k'")
 
 
 @query("with " + HEADS + """ select "column", n, stepwise from s""")
 def column_sequences(spark, sf_dir):
     orders = _texts(table(spark, sf_dir, "orders"), ORDERS).withColumn("k", F.col("o_orderkey").cast("long"))
-    return profile.sequences(orders, ["k"], columns=ORDERS).drop("pos")
+    return profile.sequences(orders, ["k"], None, ORDERS).drop("pos")
 
 
 @query("with " + HEADS + """ select "column" from s where stepwise and n > 3""")
 def auto_increment(spark, sf_dir):
     orders = _texts(table(spark, sf_dir, "orders"), ORDERS).withColumn("k", F.col("o_orderkey").cast("long"))
-    return profile.auto_increment(orders, ["k"], columns=ORDERS)
+    return profile.auto_increment(orders, ["k"], ORDERS, None)
 
 
-@query("""with h as (select o_orderstatus from orders order by o_orderkey limit 1000) select distinct 'o_orderstatus' as "column", o_orderstatus as state from h
+@query("""with h as (select o_orderstatus from orders) select distinct 'o_orderstatus' as "column", o_orderstatus as state from h
 where (select count(distinct o_orderstatus) from h) between 2 and 19""")
 def status_flows(spark, sf_dir):
     return profile.status_flows(table(spark, sf_dir, "orders"), ["o_orderkey"])
@@ -117,14 +117,14 @@ def catalogue_sql() -> str:
 
 @query(catalogue_sql())
 def profile_catalogue(spark, sf_dir):
-    return catalogue.profile_catalogue(_frames(spark, sf_dir), {t: cs[:1] for t, cs in CATALOGUED.items()})
+    return catalogue.profile_catalogue(_frames(spark, sf_dir), {t: cs[:1] for t, cs in CATALOGUED.items()}, head=None)
 
 
 @query(f"""select "table", "column" as column_name from ({catalogue_sql()}) where is_pk""")
 def pk_candidates(spark, sf_dir):
     out = None
     for t, df in _frames(spark, sf_dir).items():
-        part = profile.primary_key_candidates(df, CATALOGUED[t][:1]).select(F.lit(t).alias("table"), "column_name")
+        part = profile.primary_key_candidates(df, CATALOGUED[t][:1], None).select(F.lit(t).alias("table"), "column_name")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -163,12 +163,14 @@ def import_mapped(spark, sf_dir):
     return files.import_mapped(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), {"s_suppkey": "id", "s_name": "name"})
 
 
-@query("""select n_name as "column", n_name as field from nation""")
+@query("""with f as (select lower(replace(p_type, ' ', '_')) || '-' || p_brand as field, lower(regexp_replace(p_type || p_brand, '[_ -]', '', 'g')) as bare, p_partkey as pos from part where p_partkey % 3 <> 0),
+b as (select bare, arg_min(field, pos) as field from f group by 1)
+select p_type || ' ' || p_brand as "column", p_partkey, coalesce(field, '') as field from part left join b on lower(regexp_replace(p_type || p_brand, '[_ -]', '', 'g')) = bare""")
 def match_columns(spark, sf_dir):
-    names = table(spark, sf_dir, "nation")
-    fields = names.select(F.concat(F.lower(F.regexp_replace("n_name", " ", "")), F.lit("_")).alias("f"), "n_name", F.col("n_nationkey").alias("pos"))
-    matched = files.match_columns(names.select(F.col("n_name").alias("column")), fields.select(F.col("f").alias("field"), "pos"))
-    return matched.join(fields.select(F.col("f").alias("field"), "n_name"), "field").select("column", F.col("n_name").alias("field"))
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    fields = part.where(k % 3 != 0).select(F.concat(F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("-"), "p_brand").alias("field"), k.alias("pos"))
+    columns = part.select(F.concat_ws(" ", "p_type", "p_brand").alias("column"), k)
+    return columns.join(files.match_columns(columns.select("column").distinct(), fields), "column").select("column", "p_partkey", "field")
 
 
 @query("select c_custkey, c_name from customer order by c_custkey limit 25 offset 50")
@@ -194,7 +196,10 @@ def schema_catalogue(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

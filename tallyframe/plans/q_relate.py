@@ -18,6 +18,9 @@ SHAPES = {
     "region": ("region", {"r_regionkey": "id", "r_name": "region_name"}),
     "stg_customer": ("customer", {"c_custkey": "id", "c_name": "customer_name", "c_mktsegment": "segment"}),
     "sales_summary": ("orders", {"o_orderkey": "sales_key", "o_custkey": "customer_id", "o_orderstatus": "segment"}),
+    "dim_part": ("part", {"p_partkey": "part_no", "p_brand": "brand", "p_size": "size"}),
+    "supplier_region": ("supplier", {"s_suppkey": "supplier_no", "s_nationkey": "region_name"}),
+    "nation_region": ("nation", {"n_nationkey": "nation_no", "n_name": "region_name"}),
 }
 
 
@@ -27,7 +30,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     frames = _frames(spark, sf_dir)
-    columns = catalogue.profile_catalogue(frames, {n: list(cs.values())[:1] for n, (_, cs) in SHAPES.items()}, "mssql")
+    columns = catalogue.profile_catalogue(frames, {n: list(cs.values())[:1] for n, (_, cs) in SHAPES.items()}, "mssql", head=None)
     # Foreign keys as a database would declare them: key-like names that aren't their table's own key.
     columns = columns.withColumn("is_fk", F.lower("column").rlike("(id|key)$") & ~F.col("is_pk") & (F.length("column") > 3))
     tables = columns.groupBy("table").agg(F.max("row_count").alias("row_count")).join(report.sources_order(spark, list(SHAPES)), "table")
@@ -49,42 +52,62 @@ STEM = """, st as (select "table", tpos, lower(replace("table", '_', '')) as bar
 """
 
 
-@query(C + STEM + """, f as (select cat."table" as ft, "column" as fc, case when lower("column") like '%id' then left("column", length("column") - 2) else left("column", length("column") - 3) end as stem from cat where is_fk),
-g as (select ft, fc, st."table" as tt, row_number() over (partition by ft, fc order by st.tpos) as pl from f join st on starts_with(bare, lower(replace(stem, '_', ''))) and st."table" <> ft and replace(stem, '_', '') <> '')
-select ft as from_table, fc as from_column, tt as to_table, case when lower(fc) like '%id' then 'Id' else 'Key' end as to_column, 'ForeignKey' as kind, 95 as confidence from g where pl = 1""")
+FK = """, f as (select cat."table" as ft, "column" as fc, case when lower("column") like '%id' then left("column", length("column") - 2) else left("column", length("column") - 3) end as stem from cat where is_fk),
+g as (select ft, fc, st."table" as tt, row_number() over (partition by ft, fc order by st.tpos) as pl from f join st on starts_with(bare, lower(replace(stem, '_', ''))) and st."table" <> ft and replace(stem, '_', '') <> ''),
+fk as (select ft as from_table, fc as from_column, tt as to_table, case when lower(fc) like '%id' then 'Id' else 'Key' end as to_column, 'ForeignKey' as kind, 95 as confidence from g where pl = 1)
+"""
+
+
+@query(C + STEM + FK + "select * from fk")
 def fk_explicit(spark, sf_dir):
     return r.explicit_fk(*_catalogue(spark, sf_dir))
 
 
-NAMES = C + """, k as (select *, lower("column") as name, lower("column") like '%id' or is_pk or unique_count = row_count and row_count > 0 as key from cat),
+MATCHES = """, k as (select *, lower("column") as name, lower("column") like '%id' or is_pk or unique_count = row_count and row_count > 0 as key from cat),
 n as (select name, count(*) filter (key) as keys, count(*) as n from k group by 1 having count(*) > 1), q as (select k.*, n.keys, n.n from k join n using (name)),
 nm as (select a."table" as from_table, a."column" as from_column, b."table" as to_table, b."column" as to_column, 'NameMatch' as kind, case when a.keys > 0 and a.keys < a.n then 85 when a.keys > 0 then 80 else 60 end as confidence
 from q a join q b on a.name = b.name and a."table" <> b."table" where case when a.keys > 0 and a.keys < a.n then not a.key and b.key else a.tpos < b.tpos end)
 """
 
 
+NAMES = C + MATCHES
+
+
 @query(NAMES + "select * from nm")
 def name_match(spark, sf_dir):
     return r.name_match(*_catalogue(spark, sf_dir))
 
 
-@query(C + STEM + """, o as (select * from (values (0, 'id', 'id'), (1, '_id', 'id'), (2, 'key', 'key'), (3, '_key', 'key'), (4, '_pk', 'id')) t(rank, suffix, target)),
+PATTERNS = """, o as (select * from (values (0, 'id', 'id'), (1, '_id', 'id'), (2, 'key', 'key'), (3, '_key', 'key'), (4, '_pk', 'id')) t(rank, suffix, target)),
 a as (select cat."table" as ft, "column" as fc, rank, target, left("column", length("column") - length(suffix)) as stem from cat, o where lower("column") like '%' || replace(suffix, '_', '\\_') escape '\\' and length("column") > length(suffix)),
 b as (select a.*, st."table" as tt, row_number() over (partition by ft, fc, stem order by st.tpos) as pl from a join st on starts_with(bare, lower(replace(stem, '_', ''))) and st."table" <> ft and replace(stem, '_', '') <> ''),
-d as (select b.ft, b.fc, b.tt, cat."column" as tc, row_number() over (partition by ft, fc order by rank, cat.pos) as place from b join cat on cat."table" = b.tt and (lower(cat."column") = target or lower(cat."column") = lower(stem || '_' || target)) where pl = 1)
-select ft as from_table, fc as from_column, tt as to_table, tc as to_column, 'NameMatch' as kind, 70 as confidence from d where place = 1""")
+d as (select b.ft, b.fc, b.tt, cat."column" as tc, row_number() over (partition by ft, fc order by rank, cat.pos) as place from b join cat on cat."table" = b.tt and (lower(cat."column") = target or lower(cat."column") = lower(stem || '_' || target)) where pl = 1),
+pm as (select ft as from_table, fc as from_column, tt as to_table, tc as to_column, 'NameMatch' as kind, 70 as confidence from d where place = 1)
+"""
+
+
+@query(C + STEM + PATTERNS + "select * from pm")
 def pattern_match(spark, sf_dir):
     return r.pattern_match(*_catalogue(spark, sf_dir))
 
 
-@query("""with v as (select 'customer' as ft, 'id' as fc, 'region' as tt, 'id' as tc, 80 as conf, (select count(distinct c_custkey) from customer) as l, (select count(*) from region) as r, (select count(*) from region where r_regionkey in (select c_custkey from customer)) as "both"
-union all select 'customer', 'segment', 'stg_customer', 'segment', 60, (select count(distinct c_mktsegment) from customer), (select count(distinct c_mktsegment) from customer), (select count(distinct c_mktsegment) from customer)
-union all select 'customer', 'segment', 'sales_summary', 'segment', 60, (select count(distinct c_mktsegment) from customer), (select count(distinct o_orderstatus) from orders), (select count(distinct c_mktsegment) from customer where c_mktsegment in (select o_orderstatus from orders)))
-select ft as from_table, fc as from_column, tt as to_table, tc as to_column, cast(least(floor(0.6 * conf + 40 * "both" / greatest(1, least(l, r)) + 1e-9), 100) as int) as confidence, "both" as overlap_count from v""")
+@query(C + STEM + FK + MATCHES + PATTERNS + """, known as (select * from fk union all select * from nm),
+every as (select * from known union all select * from pm where not exists (select 1 from known x where (x.from_table, x.from_column, x.to_table, x.to_column) = (pm.from_table, pm.from_column, pm.to_table, pm.to_column)))
+select * from every qualify row_number() over (partition by from_table, from_column, to_table, to_column order by confidence desc) = 1""")
+def detect_relationships(spark, sf_dir):
+    return r.detect_relationships(*_catalogue(spark, sf_dir))
+
+
+VALUES = " union all ".join(f"""select distinct '{t}' as "table", '{b}' as "column", cast({a} as varchar) as v from {source} where trim(cast({a} as varchar)) <> ''""" for t, (source, cs) in SHAPES.items() for a, b in cs.items())
+
+
+@query(NAMES + f""", vals as ({VALUES}), sized as (select "table", "column", count(*) as n from vals group by all),
+met as (select nm.*, (select count(*) from vals x join vals y using (v) where x."table" = from_table and x."column" = from_column and y."table" = to_table and y."column" = to_column) as overlap_count from nm)
+select from_table, from_column, to_table, to_column, cast(least(floor(0.6 * confidence + 40 * overlap_count / greatest(1, least(l.n, r.n)) + 1e-9), 100) as int) as confidence, overlap_count
+from met join sized l on l."table" = from_table and l."column" = from_column join sized r on r."table" = to_table and r."column" = to_column""")
 def score_relationships(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
-    pairs = [("customer", "id", "region", "id"), ("customer", "segment", "stg_customer", "segment"), ("customer", "segment", "sales_summary", "segment")]
-    return r.score_relationships(r.name_match(columns, tables), _frames(spark, sf_dir), pairs)
+    return r.score_relationships(r.name_match(columns, tables), _frames(spark, sf_dir))
 
 
 @query(NAMES + "select * from nm where from_table = 'region' or to_table = 'region'")
@@ -109,20 +132,25 @@ def wf_import(spark, sf_dir):
     return r.import_workflows(tables.withColumn("source_type", F.when(F.col("table") == "stg_customer", "csv").otherwise("mssql")), columns)
 
 
-@query(SETS + """select a."table" as source, b."table" as destination, cast(floor(100 * len(list_intersect(a.names, b.names)) / len(list_distinct(a.names || b.names)) + 1e-9) as int) as confidence from s a, s b where a."table" = 'stg_customer' and b."table" = 'customer'""")
+@query(SETS + """, st as (select distinct "table", tpos from cat), m as (select "table" as source, regexp_replace("table", 'stg_|staging_|temp_|tmp_|_stg|_staging|_temp', '', 'g') as bare from st
+where regexp_matches("table", '^(stg_|staging_|temp_|tmp_|_stg|_staging|_temp)|(stg_|staging_|temp_|tmp_|_stg|_staging|_temp)$')),
+j as (select source, st."table" as destination from m join st on contains(lower(st."table"), bare) and source <> st."table" where bare <> '' qualify row_number() over (partition by source order by lower(st."table") = bare desc, tpos) = 1),
+x as (select source, destination, len(list_intersect(a.names, b.names)) / len(list_distinct(a.names || b.names)) as alike from j join s a on a."table" = source join s b on b."table" = destination)
+select source, destination, cast(floor(100 * alike + 1e-9) as int) as confidence from x where alike > 0.5""")
 def wf_staging(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
     return r.staging_workflows(tables, columns)
 
 
-@query(NAMES + """select to_table as destination, string_agg(distinct from_table, ',' order by from_table) as sources, 75 as confidence from nm where to_table = 'sales_summary' group by 1""")
+@query(NAMES + """select to_table as destination, string_agg(distinct from_table, ',' order by from_table) as sources, 75 as confidence from nm where regexp_matches(lower(to_table), '_summary|_agg|_total|_aggregate|fact_|sum_') group by 1""")
 def wf_aggregation(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
     return r.aggregation_workflows(tables, r.name_match(columns, tables))
 
 
-@query(NAMES + """, i as (select to_table, count(*) as incoming from nm group by 1), t as (select "table", max(row_count) as n from cat group by 1)
-select "table", coalesce(incoming, 0) as incoming, 70 as confidence from t join i on to_table = "table" where n < 1000 and incoming > 2 union all select "table", 0, 90 from t where false""")
+@query(NAMES + """, i as (select to_table, count(*) as incoming from nm group by 1), t as (select "table", max(row_count) as n from cat group by 1),
+x as (select "table", coalesce(incoming, 0) as incoming, n, regexp_matches("table", '^(lookup_|ref_|dim_|_ref|_lookup)|(lookup_|ref_|dim_|_ref|_lookup)$') as named from t left join i on to_table = "table")
+select "table", incoming, case when named then 90 else 70 end as confidence from x where named or (n < 1000 and incoming > 2)""")
 def wf_lookup(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
     return r.lookup_tables(tables, r.name_match(columns, tables))

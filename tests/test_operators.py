@@ -168,3 +168,104 @@ def test_import_mapped(spark):
     df = spark.createDataFrame([("1", None), (None, " ")], "a string, b string")
     assert files.import_mapped(df, {"a": "id"}).columns == ["id", "b"]
     assert files.import_mapped(df, {"a": "id"}, keep_unmapped=False).collect() == [("1",)]
+
+
+def test_whole_columns_past_any_head(spark):
+    rows = [(i, str(i) if i != 150 else "x", str(i if i < 180 else i + 1), "" if i % 9 else "1", f"{i}@b.c" if i == 190 else "n") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, n string, s string, b string, e string")
+    head = {(r.column, r.pattern) for r in profile.column_patterns(df, ["k"]).collect()}
+    whole = {(r.column, r.pattern) for r in profile.column_patterns(df, ["k"], head=None).collect()}
+    assert {("n", "Numeric"), ("n", "Sequential"), ("s", "Sequential")} <= head and ("e", "Email") not in head
+    assert ("s", "Numeric") in whole and ("e", "Email") in whole and ("b", "Boolean") in whole and ("k", "Sequential") in whole
+    assert not {("n", "Numeric"), ("n", "Sequential"), ("s", "Sequential")} & whole
+    assert {r.column for r in profile.auto_increment(df, ["k"], head=None).collect()} == {"k"}
+    found = {r.column: (r.n, r.stepwise) for r in profile.sequences(df, ["k"], None).collect()}
+    assert found == {"k": (200, True), "n": (199, False), "s": (200, False), "b": (23, False)}
+
+
+def test_whole_sequences_in_any_number_of_ranges(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") + 7).alias("v"), F.when(F.col("id") != 2500, F.col("id")).alias("gap"))
+    for partitions in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found = {r.column: (r.n, r.stepwise) for r in profile.sequences(df, ["k"], None).collect()}
+        assert found == {"k": (5000, True), "v": (5000, True), "gap": (4999, False)}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_status_columns_in_all_rows(spark):
+    df = spark.range(1500).select("id", F.when(F.col("id") < 1400, "open").otherwise("done").alias("order_status"))
+    assert {r.state for r in profile.status_flows(df, ["id"]).collect()} == {"open", "done"}
+    assert profile.status_flows(df, ["id"], head=1000).count() == 0
+
+
+def brute_relation(rows):
+    rows = {(a, b) for a, b in rows if a and b}
+    of_a, of_b = {}, {}
+    for a, b in rows:
+        of_a.setdefault(a, set()).add(b)
+        of_b.setdefault(b, set()).add(a)
+    many = lambda x: sum(len(v) > 1 for v in x.values())
+    if not rows:
+        return None
+    if not many(of_a) and not many(of_b) and len(of_a) > 5:
+        return "OneToOne"
+    if many(of_a) > 0.5 * len(of_a) and len(of_b) > len(of_a):
+        return "OneToMany"
+    return "ManyToOne" if many(of_b) > 0.5 * len(of_b) and len(of_a) > len(of_b) else None
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 30])
+def test_pruned_relations_equal_brute_force(spark, n):
+    rows = [(f"u{i}", f"w{i}", "c", f"g{i % 4}", f"h{i // 2}", None if i % 5 else f"p{i}", f"r{min(i, 3)}") for i in range(n)]
+    names = ["u", "w", "c", "g", "h", "p", "r"]
+    found = {(r.column_a, r.column_b): r.type for r in profile.column_relations(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names))).collect()}
+    expected = {(a, b): brute_relation([(r[i], r[j]) for r in rows]) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    assert found == {k: v for k, v in expected.items() if v}
+
+
+def test_monetary_units_of_decimals(spark):
+    tens = spark.createDataFrame([(i, 0.9) for i in range(10)], "k long, v double")
+    found = sampling.sample_mus(tens, "v", 3, ["k"]).collect()
+    assert {r.method for r in found} == {"mus"} and [r.k for r in sorted(found)] == [0, 3, 6]
+    money = spark.createDataFrame([(1, "0.40"), (2, "1.90"), (3, "-5"), (4, None), (5, "0.70")], "k long, v string").withColumn("v", F.col("v").cast("decimal(12,2)"))
+    # Thresholds 0, 0.6, 1.2, 1.8, 2.4 of a total of 3.00.
+    assert [(r.k, r.hit) for r in sorted(sampling.sample_mus(money, "v", 5, ["k"]).collect())] == [(1, 0), (2, 0), (2, 1), (2, 2), (5, 0)]
+    seeded = [tuple(r) for r in sampling.sample_mus(money, "v", 5, ["k"], seed=11).collect()]
+    assert len(seeded) == 5 and seeded == [tuple(r) for r in sampling.sample_mus(money, "v", 5, ["k"], seed=11).collect()]
+
+
+def test_stratified_rows_with_null_and_repeated_keys(spark):
+    rows = [(None, 90), (None, 80), (1, 70), (1, 60), (1, 60), (2, None)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    for seed in range(4):
+        found = [(r.k, r.v, r.stratum) for r in sampling.sample_stratified(df, "v", 6, ["k"], seed).collect()]
+        assert sorted(((k, v) for k, v, _ in found), key=str) == sorted(rows, key=str)
+        assert sorted(v for _, v, s in found if s == "top") == [70, 80, 90]
+
+
+def test_random_samples_equal_brute_force(spark):
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 37 % 101).alias("v"))
+    hashed = sorted(df.select(F.xxhash64(F.lit(3), "k").alias("h"), "k", "v").collect())
+    assert {r.k for r in sampling.sample_random(df, 40, seed=3, key=["k"]).collect()} == {r.k for r in hashed[:40]}
+    top = {r.k for r in sorted(hashed, key=lambda r: (-r.v, r.k))[:20]}
+    rest = [r.k for r in hashed if r.k not in top][:20]
+    found = sampling.sample_stratified(df, "v", 40, ["k"], seed=3).collect()
+    assert {r.k for r in found if r.stratum == "top"} == top and {r.k for r in found if r.stratum == "random"} == set(rest)
+
+
+def test_row_numbers_of_text_files(spark, tmp_path):
+    lines = [f"{i},v{i}" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("id,v\n" + "\n".join(lines[:2000]) + "\n")
+    (tmp_path / "b.csv").write_text("id,v\n" + "\n".join(lines[2000:]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = files.read_delimited(spark, str(tmp_path), with_row_no=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.id, r.row_no) for r in sorted(found, key=lambda r: r.row_no)] == [(str(i), i) for i in range(3000)]
+
+
+def test_values_approximately_counted(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 10).alias("m"))
+    assert [(r.column_name, r.total_values, r.null_count) for r in profile.profile_columns(df, approx=True).orderBy("pos").collect()] == [("id", 1000, 0), ("m", 1000, 0)]
