@@ -141,9 +141,8 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).otherwise(1 - F.levenshtein(x, y) / most)
 
 
-def _segments(value: str, words: frozenset[str]) -> list[str] | None:
-    """Words that cover the whole value; for each end the earliest feasible start is taken."""
-    longest = max(map(len, words), default=0)
+def _segments(value: str, words: frozenset[str], longest: int) -> list[str] | None:
+    """Words, of ``longest`` characters at most, that cover the whole value; for each end the earliest feasible start is taken."""
     back: list[int | None] = [0] + [None] * len(value)
     for end in range(1, len(value) + 1):
         for start in range(max(0, end - longest), end):
@@ -162,11 +161,12 @@ def _segments(value: str, words: frozenset[str]) -> list[str] | None:
 def segment(c: Column, vocabulary: list[str]) -> Column:
     """Word break by a vocabulary (its size is the caller's to bound; it is broadcast): an array, or null where no cover exists."""
     words = SparkSession.active().sparkContext.broadcast(frozenset(vocabulary))
+    longest = max(map(len, vocabulary), default=0)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = {v: _segments(v, words.value) for v in batch.dropna().unique()}
+            found = {v: _segments(v, words.value, longest) for v in batch.dropna().unique()}
             yield batch.map(lambda v: found.get(v)).astype(object)
 
     return split(c)

@@ -98,7 +98,7 @@ def segments(values: DataFrame, words: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cover(value: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series([tx._segments(v, frozenset(h)) for v, h in zip(value, held)], dtype=object)
+        return pd.Series([tx._segments(v, frozenset(h), max(map(len, h))) for v, h in zip(value, held)], dtype=object)
 
     found = met.groupBy("value").agg(F.collect_set("atom").alias("held"))
     return found.select("value", cover("value", "held").alias("parts")).where("parts is not null")
