@@ -10,8 +10,9 @@ whole sequence is one). Equal sets are one node from the start, by a 64-bit dige
 2. A set of which too few shingles occur twice in its group can't have a partner and leaves. Two bits for
    each of ``SEEN`` hash values say which occur twice; a clash lets a set stay, it never drops one.
 3. Each set is compared exactly with the one set that it is tied to by most parts. Sets that link so are
-   one block. In a group of one block nothing is left to find; else every further link has an end
-   outside the group's largest block, so only those sets look for partners.
+   one block. In a group of one block nothing is left to find; else a set goes on that shares enough
+   shingles with other blocks than its own, and every further link has an end outside the group's
+   largest block, so only those sets look for partners.
 4. Inside a group the sets are joined exactly (``Relations``): index lists ordered by position, of which the
    tail that cannot reach the threshold is skipped; and the answers of a set close to one just computed
    are derived from that one's by the triangle inequality of the Jaccard distance, without the index. Past
@@ -378,6 +379,25 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     block = contract(pairs.select("a", "b", "set", "other").mapInArrow(verified, "a long, b long")).select("node", F.col("root").alias("block"))
 
     held = held.join(block, "node", "left").withColumn("block", F.coalesce("block", "node"))
+
+    def spread(batches):
+        """A row per shingle of a set; a shingle of different groups has different keys."""
+        for batch in batches:
+            for part in slices(batch, "set", SLICE):
+                found = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+                sizes = list(map(len, found))
+                salt = np.repeat(mixed(part.column("root").to_numpy().view(np.uint64)), sizes)
+                columns = [(np.concatenate(found) ^ salt).view(np.int64), *(np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "block"))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "block"])
+
+    # Only groups of several blocks go on, and of those the sets that share enough with other blocks than their own.
+    several = held.groupBy("root").agg((F.min("block") != F.max("block")).alias("several")).where("several").select("root")
+    held = cut(held.join(several, "root").select("root", "node", "block", "set"))
+    spreads = held.mapInArrow(spread, "shingle long, node long, block long")
+    outside = spreads.groupBy("shingle").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo != hi").select("shingle")
+    shared = spreads.join(outside, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    held = cut(held.join(shared, "node").where(F.col("shared") * 100 >= F.octet_length("set") / 8 * percent).drop("shared"))
+
     blocks = held.groupBy("root", "block").agg(F.sum(F.octet_length("set") / 8).alias("size"))
     groups = blocks.groupBy("root").agg(F.max_by("block", F.struct("size", "block")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"), F.count("*").alias("n"))
     pieces = F.ceil(F.col("size") / GROUP_SHINGLES).cast("int")
