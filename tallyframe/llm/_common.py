@@ -26,6 +26,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not found and context._jsc.sc().getCheckpointDir().isDefined():
         found = context._jsc.sc().getCheckpointDir().get()
+    if not found and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context._jsc.sc().getCheckpointDir().isDefined():

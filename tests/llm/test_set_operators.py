@@ -237,6 +237,30 @@ def test_pipeline(spark, sf_dir):
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == n
 
 
+def test_pipeline_stages_equal_brute_force(spark, sf_dir):
+    """Rules, near duplicates and redaction of a table with nulls, empty texts, repeats and secrets, by plain Python."""
+    clean = [" ".join(f"w{(i * 97 + j * j * 31 + j) % 9973}" for j in range(70 + i)) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(20, clean[3] + " end"), (21, clean[3]), (5, clean[5]), (None, clean[0] + " no id"), (30, None), (31, ""), (32, "short")]
+    rows += [(40, clean[7].replace("w", "v") + " token=abcdefgh1 " + clean[8].replace("w", "z")), (41, "one two three " * 60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    found = {name: stages[name](spark, docs, sf_dir) for name in ("quality rules", "n-gram Jaccard join", "secret scans")}
+    assert all(df.columns == docs.columns for df in found.values())
+    wanted = {(i, t) for i, t in rows if t and i not in (32, 41)}
+    assert {(r.doc_id, r.text) for r in found["quality rules"].collect()} == wanted and found["quality rules"].count() == len([x for x in rows if x in wanted])
+    named = [(i, t) for i, t in rows if i is not None]
+    kept = {(r.doc_id, r.text) for r in found["n-gram Jaccard join"].collect()}
+    assert kept == {(i, t) for i, t in rows if i not in (20, 21)} and found["n-gram Jaccard join"].count() == len(named) - 3 + 1
+    redacted = {(r.doc_id, r.text, r.n_chars) for r in found["secret scans"].collect()}
+    again = {(i, t and t.replace("token=abcdefgh1", "[assign]")) for i, t in rows}
+    assert redacted == {(i, t, None if t is None else len(t)) for i, t in again}
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
+    assert stages["quality classifier"](spark, docs, sf_dir).columns == docs.columns
+    assert {r.doc_id for r in stages["packing"](spark, docs, sf_dir).collect()} == {i for i, _ in rows}
+
+
 def test_queries_equal_sql(spark, sf_dir):
     con = connect(sf_dir)
     for name, sql in queries.ORACLE_SQL.items():
