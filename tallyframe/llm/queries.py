@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, jaccard, packing, quality, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, jaccard, oracles, packing, quality, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -119,6 +119,9 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select page_id, strlen(h) as payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
  ((('0x' || substr(x, (i // 4 * 5 + 1)::int, 5))::bigint >> ((3 - i % 4) * 5)::int) & 31)::int + 1, 1)), 'string_agg', '') as payload_digest,
 case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to from g""",
+    "op5_jaccard_join": oracles.jaccard_sql(k=3, percent=90),
+    "op7_secret_scan": oracles.secrets_sql(),
+    "op8_quality_rules": oracles.rules_sql(),
     "op9_url_filters": f"""with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 r as (select * from (values {_RULES_SQL}) t(rule, rhost, rpath, says)),
