@@ -1,15 +1,16 @@
 """Web archives: WARC writing, reading, and assembly of captures.
 
 Each page becomes three records: request, response (or revisit, if another page's response has the
-same payload) and metadata, tied together by ``WARC-Concurrent-To``. Spark's own text writer makes
-the archives, with the WARC record separator between rows, so they may lie in any store that Spark
-writes. ``read_archives`` gives a row per record; ``assemble`` joins records into one nested row per
-capture.
+same payload) and metadata, tied together by ``WARC-Concurrent-To``. Every record is a gzip member of its own, so that a reader may seek it. Tasks join
+members to files of ``file_bytes`` at most (or one page, if that is larger), and Spark's own text writer stores
+them, so they may lie in any store that Spark writes. ``read_archives`` gives a row per record; ``assemble``
+joins records into one nested row per capture.
 
 Of the pages with equal payloads (by SHA-256) the one with the largest ``page_id`` is the response
 and the others revisit it. A null html is an empty payload; a null ``page_id`` revisits the group's
 largest, or is a response if there is none; a null url has no target header. Rows that repeat both
-``page_id`` and payload share a capture id and are counted in ``copies``.
+``page_id`` and payload share a capture id and are counted in ``copies``. A very long html is held whole by
+its task, twice over, like any page; an empty table gives no record; other columns of the frame are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +53,22 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], blo
 
 def write_archives(
     df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    pages_per_file: int = 4000, date: str = "2000-01-01T00:00:00Z", compression: str = "gzip",
+    file_bytes: int = 32 << 20, date: str = "2000-01-01T00:00:00Z", compress: bool = True,
 ) -> None:
-    """Write each page's records. Only groups of two or more equal payloads are joined back to the pages."""
+    """Write each page's records, in files bounded by bytes.
+
+    Pages meet the group of their payload by id and digest, so that a payload of very many pages moves as ids
+    alone; no html goes by the digest only.
+    """
     pages = df.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.regexp_replace(F.col(url_col).cast("string"), r"[\x00-\x20]", "%20").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
-    ).withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
-    groups = pages.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    shared = cut(groups.where("n > 1 and last is not null").select("key", "last"))
-    rows = pages.join(shared, "key", "left")
+    ).withColumn("key", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    groups = pages.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
+    shared = cut(pages.select("page_id", "key").distinct().join(groups.select("key", "last"), "key")).alias("shared")
+    same = F.col("pages.page_id").eqNullSafe(F.col("shared.page_id")) & (F.col("pages.key") == F.col("shared.key"))
+    rows = pages.alias("pages").join(shared, same, "left").select("pages.*", "shared.last")
 
     digest = base32_sha1(F.col("html").cast("binary"))
     text_id = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -94,8 +101,36 @@ def write_archives(
         ),
         "application/warc-fields", date,
     )
-    out = rows.select(F.concat(request, F.lit(EOL + EOL), main, F.lit(EOL + EOL), metadata).alias("value"))
-    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", pages_per_file).option("compression", compression).text(path)
+    end = F.lit(EOL + EOL)
+    parts = rows.select(*(F.concat(x, end).alias(n) for n, x in (("request", request), ("main", main), ("metadata", metadata))))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns):
+                page = b"".join(_member(x.as_py().encode(), compress) for x in row)
+                if held and size + len(page) > file_bytes:
+                    yield _file(held)
+                    held, size = [], 0
+                held.append(page)
+                size += len(page)
+        if held:
+            yield _file(held)
+
+    files = parts.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("lineSep", "\0" if compress else "\n").option("maxRecordsPerFile", 1).text(path)
+
+
+def _member(record: bytes, compress: bool) -> bytes:
+    return zlib.compress(record, 6, wbits=31) if compress else record
+
+
+def _file(pages: list[bytes]) -> pa.RecordBatch:
+    """One file, but for its last byte, which the text writer's row separator adds.
+
+    A file ends with a metadata record, whose line feed, or the highest byte of whose length in its gzip member, 0, is that byte.
+    """
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(pages)[:-1]], type=pa.binary())], names=["file"])
 
 
 def records(content: bytes, with_payload: bool):

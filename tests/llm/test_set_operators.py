@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -83,11 +84,21 @@ def test_large_components_stay_exact():
     assert search.scores(np.array([[2**30, 3]]), np.array([[2**30, 5]])).tolist() == [[2**60 + 15]]
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("compress", [True, False])
+def test_archives(spark, compress):
     pages = [(1, "http://a.org/x?y", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, "http://b.org", "same"), (3, "bad url\r\nInjected: 1", "same"), (4, None, None), (5, "http://e", ""), (None, "http://n", "same"), (7, "http://l", "z" * 200_000), (7, "http://l", "z" * 200_000)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
     path = scratch(spark, "w")
-    warc.write_archives(df, path, pages_per_file=3)
+    warc.write_archives(df.coalesce(1), path, file_bytes=2000, compress=compress)
+    found = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert 1 < len(found) and max(map(len, found)) < (2000 if compress else 210_000)
+    if compress:  # every record is a member: none of them but the last leaves bytes when read alone
+        rest, members = found[0], []
+        while rest:
+            tool = zlib.decompressobj(wbits=31)
+            members.append(tool.decompress(rest))
+            rest = tool.unused_data
+        assert len(members) % 3 == 0 and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
     records = warc.read_archives(spark, path, with_payload=True).cache()
     assert records.count() == 3 * len(pages) and records.where("digest_ok = false").count() == 0
     nested = warc.assemble(records).collect()
@@ -101,6 +112,16 @@ def test_archives(spark):
     assert warc.assemble(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_archives_of_one_payload(spark):
+    """Very many pages, ids and nulls of one payload, and rows that repeat: every row is there, and only the largest id responds."""
+    rows = [(i % 400, "u", "same") for i in range(800)] + [(None, "u", "same")] * 50
+    path = scratch(spark, "w1")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    captures = warc.assemble(warc.read_archives(spark, path)).collect()
+    assert sum(r.copies for r in captures) == 850 and len(captures) == 401
+    assert [r.metadata.page_id for r in captures if r.response.type == "response"] == [399]
+
+
 def test_warc_query(spark, sf_dir):
     pages = [(r.page_id, (r.html or "").encode()) for r in table(spark, sf_dir, "pages").collect()]
     last = {}
