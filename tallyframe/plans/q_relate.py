@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import catalogue
 from tallyframe.operators import relate as r
 from tallyframe.plans import report
+from tallyframe.plans.q_grouping import KEPT, findings_sql
 from tallyframe.plans.q_profile import _pk_sql
 from tallyframe.plans.registry import query, table
 
@@ -37,13 +38,14 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return columns, tables.withColumn("source_type", F.lit("mssql"))
 
 
-def _catalogue_sql() -> str:
+def _catalogue_sql(names: list[str] = list(SHAPES), declared: bool = True) -> str:
     rows = []
-    for t, (source, cs) in SHAPES.items():
+    for t in names:
+        source, cs = SHAPES[t]
         for i, (a, b) in enumerate(cs.items()):
             rows.append(f"""select '{t}' as "table", {list(SHAPES).index(t)} as tpos, {i} as pos, '{b}' as "column", count(distinct {a}) as unique_count, count(*) as row_count,
  {_pk_sql(a, i)} as is_pk from {source}""")
-    return "with c as (" + " union all ".join(rows) + """), cat as (select *, regexp_matches(lower("column"), '(id|key)$') and not is_pk and length("column") > 3 as is_fk from c)
+    return "with c as (" + " union all ".join(rows) + f"""), cat as (select *, {str(declared).lower()} and regexp_matches(lower("column"), '(id|key)$') and not is_pk and length("column") > 3 as is_fk from c)
 """
 
 
@@ -91,9 +93,13 @@ def pattern_match(spark, sf_dir):
     return r.pattern_match(*_catalogue(spark, sf_dir))
 
 
-@query(C + STEM + FK + MATCHES + PATTERNS + """, known as (select * from fk union all select * from nm),
-every as (select * from known union all select * from pm where not exists (select 1 from known x where (x.from_table, x.from_column, x.to_table, x.to_column) = (pm.from_table, pm.from_column, pm.to_table, pm.to_column)))
-select * from every qualify row_number() over (partition by from_table, from_column, to_table, to_column order by confidence desc) = 1""")
+EVERY = """, known as (select * from fk union all select * from nm),
+united as (select * from known union all select * from pm where not exists (select 1 from known x where (x.from_table, x.from_column, x.to_table, x.to_column) = (pm.from_table, pm.from_column, pm.to_table, pm.to_column))),
+every as (select * from united qualify row_number() over (partition by from_table, from_column, to_table, to_column order by confidence desc) = 1)
+"""
+
+
+@query(C + STEM + FK + MATCHES + PATTERNS + EVERY + "select * from every")
 def detect_relationships(spark, sf_dir):
     return r.detect_relationships(*_catalogue(spark, sf_dir))
 
@@ -132,34 +138,53 @@ def wf_import(spark, sf_dir):
     return r.import_workflows(tables.withColumn("source_type", F.when(F.col("table") == "stg_customer", "csv").otherwise("mssql")), columns)
 
 
-@query(SETS + """, st as (select distinct "table", tpos from cat), m as (select "table" as source, regexp_replace("table", 'stg_|staging_|temp_|tmp_|_stg|_staging|_temp', '', 'g') as bare from st
+STAGED = """, sd as (select distinct "table", tpos from cat), m as (select "table" as source, regexp_replace("table", 'stg_|staging_|temp_|tmp_|_stg|_staging|_temp', '', 'g') as bare from sd
 where regexp_matches("table", '^(stg_|staging_|temp_|tmp_|_stg|_staging|_temp)|(stg_|staging_|temp_|tmp_|_stg|_staging|_temp)$')),
-j as (select source, st."table" as destination from m join st on contains(lower(st."table"), bare) and source <> st."table" where bare <> '' qualify row_number() over (partition by source order by lower(st."table") = bare desc, tpos) = 1),
-x as (select source, destination, len(list_intersect(a.names, b.names)) / len(list_distinct(a.names || b.names)) as alike from j join s a on a."table" = source join s b on b."table" = destination)
-select source, destination, cast(floor(100 * alike + 1e-9) as int) as confidence from x where alike > 0.5""")
+j as (select source, sd."table" as destination from m join sd on contains(lower(sd."table"), bare) and source <> sd."table" where bare <> '' qualify row_number() over (partition by source order by lower(sd."table") = bare desc, tpos) = 1),
+x as (select source, destination, len(list_intersect(a.names, b.names)) / len(list_distinct(a.names || b.names)) as alike from j join s a on a."table" = source join s b on b."table" = destination),
+staged as (select source, destination, cast(floor(100 * alike + 1e-9) as int) as confidence from x where alike > 0.5)
+"""
+
+
+@query(SETS + STAGED + "select * from staged")
 def wf_staging(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
     return r.staging_workflows(tables, columns)
 
 
-@query(NAMES + """select to_table as destination, string_agg(distinct from_table, ',' order by from_table) as sources, 75 as confidence from nm where regexp_matches(lower(to_table), '_summary|_agg|_total|_aggregate|fact_|sum_') group by 1""")
+def _workflows_sql(known: str) -> str:
+    """``summed`` and ``looked``: aggregations and lookups by the relationships of ``known``."""
+    return f""", summed as (select to_table as destination, string_agg(distinct from_table, ',' order by from_table) as sources, 75 as confidence from {known} where regexp_matches(lower(to_table), '_summary|_agg|_total|_aggregate|fact_|sum_') group by 1),
+i as (select to_table, count(*) as incoming from {known} group by 1), t as (select "table", max(row_count) as n from cat group by 1),
+y as (select "table", coalesce(incoming, 0) as incoming, n, regexp_matches("table", '^(lookup_|ref_|dim_|_ref|_lookup)|(lookup_|ref_|dim_|_ref|_lookup)$') as named from t left join i on to_table = "table"),
+looked as (select "table", incoming, case when named then 90 else 70 end as confidence from y where named or (n < 1000 and incoming > 2))
+"""
+
+
+@query(NAMES + _workflows_sql("nm") + "select * from summed")
 def wf_aggregation(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
     return r.aggregation_workflows(tables, r.name_match(columns, tables))
 
 
-@query(NAMES + """, i as (select to_table, count(*) as incoming from nm group by 1), t as (select "table", max(row_count) as n from cat group by 1),
-x as (select "table", coalesce(incoming, 0) as incoming, n, regexp_matches("table", '^(lookup_|ref_|dim_|_ref|_lookup)|(lookup_|ref_|dim_|_ref|_lookup)$') as named from t left join i on to_table = "table")
-select "table", incoming, case when named then 90 else 70 end as confidence from x where named or (n < 1000 and incoming > 2)""")
+@query(NAMES + _workflows_sql("nm") + "select * from looked")
 def wf_lookup(spark, sf_dir):
     columns, tables = _catalogue(spark, sf_dir)
     return r.lookup_tables(tables, r.name_match(columns, tables))
 
 
-@query("""select 'tables' as metric, 2 as count union all select 'columns', 6
-union all select 'groupings', (select 3 from nation limit 1) + (select (count(distinct c_custkey) <= 1000)::int + (count(distinct c_name) <= 1000)::int + 1 from customer)""")
+#: Sources of the report, all of them files.
+REPORTED = ["customer", "nation", "stg_customer", "sales_summary", "dim_part"]
+FILLED = " union all ".join(f"""select '{t}' as "table", '{b}' as "column", cast({a} as varchar) as v from {SHAPES[t][0]}""" for t in REPORTED for a, b in SHAPES[t][1].items())
+SETS_OF = SETS.removeprefix(C)
+
+
+@query(_catalogue_sql(REPORTED, False) + STEM + FK + MATCHES + PATTERNS + EVERY + SETS_OF + STAGED + _workflows_sql("every") + ", " + findings_sql(FILLED) + f"""select 'tables' as metric, count(distinct "table") as count from cat
+union all select 'columns', count(*) from cat union all select 'relationships', count(*) from every
+union all select 'workflows', (select count(*) from staged) + (select count(*) from summed) + (select count(*) from looked)
+union all select 'reconciliation', count(distinct (a.tpos, b.tpos)) from cat a join cat b on lower(a."column") = lower(b."column") and a.tpos < b.tpos
+union all select 'multi_value', (select count(*) from {KEPT}) union all select 'groupings', count(*) from cat where unique_count between 1 and 1000""")
 def report_summary(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation_key"))
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation_key"), "n_name", "n_regionkey")
-    result = report.run_analysis({"customer": customers, "nation": nations}, {"customer": ["c_custkey"], "nation": ["nation_key"]}, words=[])
-    return report.report_tables(result)["summary"].where("metric in ('tables', 'columns', 'groupings')").withColumn("count", F.col("count").cast("int"))
+    frames = _frames(spark, sf_dir)
+    result = report.run_analysis({n: frames[n] for n in REPORTED}, {n: list(SHAPES[n][1].values())[:1] for n in REPORTED}, head=None)
+    return report.report_tables(result)["summary"]

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tallyframe.operators import catalogue, grouping, multivalue, profile, reconcile, relate
 
 
-def run_analysis(sources: dict[str, DataFrame], order_by: dict[str, Sequence[str]], words: list[str] | None = None) -> dict[str, DataFrame]:
-    """Lazy results over all sources: profiles, groupings, columns, tables, relationships, workflows, reconciliation, multi-value."""
+def run_analysis(sources: dict[str, DataFrame], order_by: dict[str, Sequence[str]], words: list[str] | None = None, head: int | None = 100) -> dict[str, DataFrame]:
+    """Results over all sources, lazy but for the columns: profiles, groupings, columns, tables, relationships, workflows, reconciliation, multi-value."""
     named = lambda f: [f(df).withColumn("table", F.lit(name)) for name, df in sources.items()]
-    columns = catalogue.profile_catalogue(sources, order_by)
+    columns = catalogue.profile_catalogue(sources, order_by, head=head)
     tables = columns.groupBy("table", "source_type").agg(F.max("row_count").alias("row_count"))
     order = sources_order(columns.sparkSession, list(sources))
     tables = tables.join(order, "table")

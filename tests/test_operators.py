@@ -80,6 +80,12 @@ def test_a_large_vocabulary_still_segments(spark, monkeypatch):
     assert ("packed", "VocabularySegmented", 6, 4) in {(r.column, r.method, r.total_count, r.multi_value_count) for r in multivalue.detect_multi_value({"t": df}).collect()}
 
 
+def test_split_by_vocabulary(spark):
+    df = spark.createDataFrame([(1, "redblue", "k"), (2, "green", "k"), (3, " zzz ", "k"), (4, "redblue", "k")], "id int, c string, kept string")
+    found = multivalue.split_values(df, "c", words=["red", "blue", "green", "re"])
+    assert sorted((r.id, r.atom, r.kept) for r in found.collect()) == [(1, "blue", "k"), (1, "red", "k"), (2, "green", "k"), (3, "zzz", "k"), (4, "blue", "k"), (4, "red", "k")]
+
+
 def test_profile_boundaries(spark):
     rows = [(i, f"u{i}", "x" if i < 2 else "y", None if i else "a@b.c") for i in range(40)]
     df = spark.createDataFrame(rows, "n long, u string, c string, e string")
