@@ -1,8 +1,8 @@
-"""DuckDB SQL of the operators whose statements are long: the Jaccard join, the secret scan and the quality rules."""
+"""DuckDB SQL of the operators whose statements are long: the Jaccard join, the secret scan, the quality rules and the source audit."""
 
 from __future__ import annotations
 
-from tallyframe.llm import rules, secrets
+from tallyframe.llm import divergence, rules, secrets
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,3 +58,20 @@ from (select doc_id, regexp_extract_all(text, '{regex}') as m, string_split_rege
     return f"""with t as (select doc_id, coalesce(text, '') as text from documents), s as ({" union all ".join(parts)}), f as (select * from s where passes)
 select t.doc_id, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in base)}, sha256({joined(f"rank < {len(base)}")}) as base_sha256, {joined("true")} as spans
 from t left join f using (doc_id) group by t.doc_id"""
+
+
+def divergence_sql(least_docs: int = 10, ranks: int = 10) -> str:
+    share = f"1 + ({divergence.UNIT}::hugeint * ({{c}} + {divergence.SMOOTH})) // ({{n}} + {divergence.SMOOTH} * v)"
+    differ = "((({p} - {q}) * ({p} - {q})) // ({p} + {q}))"
+    return f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+t as (select lang, source, term, count(*) as n, count(distinct r) as docs from w group by all), k as (select lang, term from t group by all having sum(docs) >= {least_docs}),
+v as (select lang, count(*) as v from k group by 1), g as (select distinct lang, source from d),
+c as (select g.lang, g.source, k.term, v.v, coalesce(t.n, 0) as c from g join k using (lang) join v using (lang) left join t using (lang, source, term)),
+p as (select lang, source, term, c, {share.format(c="c", n="sum(c) over (partition by lang, source)")} as p from c),
+q as (select lang, term, {share.format(c="c", n="sum(c) over (partition by lang)")} as q from (select lang, term, v, sum(c) as c from c group by all)),
+x as (select a.lang, a.source, b.source as item, sum{differ.format(p="a.p", q="b.p")} as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+union all select lang, source, 'term', term, {differ.format(p="p", q="q")} from p join q using (lang, term) where c > 0 and p > q),
+r as (select lang, source, part, item, value::bigint as value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from o)
+select * from r where part = 'pair' or rank <= {ranks}"""

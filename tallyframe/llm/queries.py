@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, jaccard, oracles, packing, quality, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, divergence, jaccard, oracles, packing, quality, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -93,6 +93,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str = pub
     return dac.read_token_files(spark, path)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, ranks=10)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_warc_captures": op2_warc_captures,
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _RULES_SQL = ", ".join(f"('{k}', '{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}', '{v}')" for k, v in urls.RULES.items())
@@ -122,6 +127,7 @@ case when page_id = m then 'response' else 'revisit' end as record_type, case wh
     "op5_jaccard_join": oracles.jaccard_sql(k=3, percent=90),
     "op7_secret_scan": oracles.secrets_sql(),
     "op8_quality_rules": oracles.rules_sql(),
+    "op11_source_divergence": oracles.divergence_sql(),
     "op9_url_filters": f"""with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 r as (select * from (values {_RULES_SQL}) t(rule, rhost, rpath, says)),
