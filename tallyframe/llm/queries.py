@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, divergence, jaccard, oracles, packing, quality, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, divergence, jaccard, negatives, oracles, packing, quality, rules, search, secrets, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -97,6 +97,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, ranks=10)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_warc_captures": op2_warc_captures,
@@ -109,6 +114,7 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _RULES_SQL = ", ".join(f"('{k}', '{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}', '{v}')" for k, v in urls.RULES.items())
@@ -127,6 +133,12 @@ case when page_id = m then 'response' else 'revisit' end as record_type, case wh
     "op5_jaccard_join": oracles.jaccard_sql(k=3, percent=90),
     "op7_secret_scan": oracles.secrets_sql(),
     "op8_quality_rules": oracles.rules_sql(),
+    "op12_hard_negatives": """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as anchor_id, d.vec_id, q.label = d.label as same, list_inner_product(q.e, d.e)::bigint as score from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10""",
     "op11_source_divergence": oracles.divergence_sql(),
     "op9_url_filters": f"""with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
