@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyframe.llm import bpe, dac, divergence, jaccard, negatives, oracles, packing, quality, rules, search, secrets, urls, warc
+from tallyframe.llm import bpe, dac, divergence, jaccard, negatives, oracles, packing, quality, rules, search, secrets, toxicity, urls, warc
 from tallyframe.llm._common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -102,6 +102,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90, scale=256)
 
 
+#: The least score of a document that is taken to be toxic.
+TOXIC = 0.7
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), "threshold", "flagged")
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_warc_captures": op2_warc_captures,
@@ -115,6 +126,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
 }
 
 _RULES_SQL = ", ".join(f"('{k}', '{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}', '{v}')" for k, v in urls.RULES.items())
