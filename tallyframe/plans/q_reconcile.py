@@ -62,7 +62,7 @@ def recon_only_in(spark, sf_dir):
 where k1 is not null and k2 is not null and price1 <> price2) select * from m order by key_value, column_name limit 100""")
 def recon_mismatches(spark, sf_dir):
     s1 = _orders(spark, sf_dir)
-    return r.field_mismatches(r.matched_rows(s1, _copy(s1), KEYS, ORDER), KEYS, COMPARED)
+    return r.field_mismatches(r.differing_rows(s1, _copy(s1), KEYS, ORDER, compare=COMPARED), KEYS, COMPARED)
 
 
 @query("""with n as (select lower(trim(l_orderkey::varchar)) || '|' || lower(trim(nullif(l_linenumber, 3)::varchar)) as k, l_orderkey as a, nullif(l_linenumber, 3) as b from lineitem),
@@ -95,12 +95,12 @@ def recon_auto_mapping(spark, sf_dir):
 p as (select 'a' as source1, 'b' as source2, x.id as i, y.id as j, x.name as m, y.name as n from a x full join b y on x.id = y.id
 union all select 'a', 'c', x.id, y.id, x.name, y.name from a x full join c y on x.id = y.id union all select 'b', 'c', x.id, y.id, x.name, y.name from b x full join c y on x.id = y.id)
 select source1, source2, 'cust_id' as key_columns, count(i) as total_source1, count(j) as total_source2, count(*) filter (i = j) as matches, count(*) filter (j is null) as only_in_source1,
-count(*) filter (i is null) as only_in_source2, count(*) filter (i = j and m <> n) as mismatches from p group by 1, 2""")
+count(*) filter (i is null) as only_in_source2, 0::bigint as duplicates_source1, 0::bigint as duplicates_source2, count(*) filter (i = j and m <> n) as mismatches,
+100.0::double * count(*) filter (i = j) / greatest(count(i), count(j)) as match_percentage from p group by 1, 2""")
 def recon_all_pairs(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_id"), F.col("c_name").alias("name"))
     c = a.where("cust_id % 2 = 0").withColumn("name", F.when(F.col("cust_id") % 3 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")))
-    found = r.reconcile_all({"a": a, "b": a.where("cust_id % 5 <> 0"), "c": c})
-    return found.drop("duplicates_source1", "duplicates_source2", "match_percentage")
+    return r.reconcile_all({"a": a, "b": a.where("cust_id % 5 <> 0"), "c": c})
 
 
 @query()

@@ -275,3 +275,57 @@ def test_row_numbers_of_text_files(spark, tmp_path):
 def test_values_approximately_counted(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10).alias("m"))
     assert [(r.column_name, r.total_values, r.null_count) for r in profile.profile_columns(df, approx=True).orderBy("pos").collect()] == [("id", 1000, 0), ("m", 1000, 0)]
+
+
+def test_only_differing_rows_are_read_in_full(spark, tmp_path):
+    """The scan shows key, order and compared columns; ties go to the smallest cells whatever the partitions."""
+    a = spark.range(300).select("id", F.lit(0).alias("seq"), F.concat(F.lit("v"), F.col("id")).alias("v"), F.lit("x" * 50).alias("wide"))
+    b = a.withColumn("v", F.when(F.col("id") % 100 == 7, "other").otherwise(F.upper("v")))
+    for name, df in (("a", a), ("b", b)):
+        df.write.parquet(str(tmp_path / name))
+    a, b = (spark.read.parquet(str(tmp_path / x)) for x in "ab")
+    rows = reconcile.differing_rows(a, b, ["id"], ["seq"], compare=["v"])
+    assert sorted((r.key.k0, r.r1.v, r.r2.v) for r in rows.collect()) == [("107", "v107", "other"), ("207", "v207", "other"), ("7", "v7", "other")]
+    scans = rows._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1:]
+    assert scans and all("wide" not in x.split(">")[0] for x in scans)
+    assert reconcile.reconcile(a, b, ["id"], ["seq"], compare=["v"]).first().mismatches == 3
+    assert reconcile.reconcile(a, a, ["id"], compare=["id"]).first().mismatches == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_tied_rows_don_t_depend_on_partitions(spark, partitions):
+    a = spark.createDataFrame([(1, c, 0) for c in "dbac"] + [(2, None, 0), (2, "z", 0)], "id int, v string, seq int").repartition(partitions)
+    b = spark.createDataFrame([(1, "e", 0), (1, "a", 1), (2, "", 0)], "id int, v string, seq int").repartition(partitions)
+    met = reconcile.matched_rows(a, b, ["id"], ["seq"])
+    assert sorted((r.key.k0, r.r1.v, r.r2.v) for r in met.collect()) == [("1", "a", "e"), ("2", None, "")]
+    one_, two = (reconcile.reconcile(x, y, ["id"], ["seq"], compare=["v"]).first() for x, y in ((a, b), (a.repartition(3), b.repartition(2))))
+    assert one_ == two and one_.duplicates_source1 == 4 and one_.matches == 2
+
+
+def test_column_agreement_equals_brute_force(spark, monkeypatch):
+    """100 x 100 columns in one pass, blanks and repeated values in a row included."""
+    import random
+
+    r = random.Random(5)
+    value = lambda: r.choice([None, "", " ", "A", "a ", "b", "c", "d", "7", "é"])
+    left, right = [f"l{i}" for i in range(100)], [f"r{i}" for i in range(100)]
+    rows = [(i, *(value() for _ in range(100))) for i in range(30)]
+    other = [(i, *(value() for _ in range(100))) for i in range(5, 30)]
+    a = spark.createDataFrame(rows, ", ".join(["id int", *(f"{c} string" for c in left)]))
+    b = spark.createDataFrame(other, ", ".join(["id int", *(f"{c} string" for c in right)]))
+    matched = reconcile.matched_rows(a, b, ["id"], ["id"])
+    norm = lambda v: (v or "").strip().lower()
+    want = {}
+    for x, y in zip(rows[5:], other):
+        for i, p in enumerate(x[1:]):
+            for j, q in enumerate(y[1:]):
+                if norm(p) and norm(q):
+                    both, equal = want.get((i, j), (0, 0))
+                    want[i, j] = both + 1, equal + (norm(p) == norm(q))
+    for limit in (1 << 22, 1 << 14):
+        monkeypatch.setattr(reconcile, "MEETINGS", limit)
+        found = {(int(x.column1[1:]), int(x.column2[1:])): (x.both, x.equal) for x in reconcile.agreement(matched, left, right).collect()}
+        assert found == {(i, j): want.get((i, j), (0, 0)) for i in range(100) for j in range(100)}
+    none = reconcile.agreement(matched.where("false"), left[:2], right[:3]).collect()
+    assert len(none) == 6 and all((x.both, x.equal) == (0, 0) for x in none)
+    assert reconcile.auto_column_mapping(reconcile.matched_rows(a.select("id", F.col("l0").alias("p")), a.select("id", F.col("l0").alias("q")), ["id"], ["id"]), ["id"]) == [("p", "q")]
