@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import text as tx
 
@@ -19,11 +22,25 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header:
     names = df.columns if header else [f"column_{i + 1}" for i in range(len(df.columns))]
     if not with_row_no:
         return df.toDF(*names)
-    # Within a split of a file rows come in their order, which the id that Spark gives them shows.
-    place = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
-    placed = df.select("*", *(F.col(c).alias(f"__o{i}") if isinstance(c, str) else c.alias(f"__o{i}") for i, c in enumerate(place)))
-    keys = ["__o0", "__o1", "__o2"]
-    return numbered(placed, keys).drop(*keys).toDF(*names, "row_no")
+    return _numbered_in_files(df).toDF(*names, "row_no")
+
+
+def _numbered_in_files(df: DataFrame) -> DataFrame:
+    """The rows of files with their 0-based place, by path, without moving them.
+
+    A first scan counts the rows of each split and notes the id that Spark gives its first row; the second takes a row's place in
+    its split from its own id. Should the splits be dealt to partitions in another way then, the query fails.
+    """
+    found = ["file_path", "file_block_start", "file_block_length"]
+    split = [F.col(f"_metadata.{c}").alias(f"__{c}") for c in found]
+    placed = df.select("*", *split, F.monotonically_increasing_id().alias("__id"))
+    keys = [f"__{c}" for c in found]
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__file_path", "__file_block_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    at = F.col("__id") - F.col("__first")
+    place = F.when(at.between(0, F.col("__n") - 1), F.col("__base") + at).otherwise(F.raise_error(F.lit("the splits changed between two scans")).cast("long"))
+    return placed.join(F.broadcast(bases), keys, "left").select(*df.columns, place.alias("row_no"))
 
 
 def read_flat_delimited(spark: SparkSession, path: str, separator: str, names: Sequence[str]) -> DataFrame:
@@ -71,28 +88,80 @@ def logical_type(name: Column, length: Column) -> Column:
     return out.otherwise("Unknown")
 
 
+#: Bytes of a range of the order, about.
+RANGE_BYTES = 128 << 20
+
+
+def _ranges(df: DataFrame) -> int:
+    """How many ranges to deal rows into: as many as shuffles have partitions, or more by the bytes of the plan's input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else max(least, -(-size // RANGE_BYTES))  # a size that Spark doesn't know is the largest number
+
+
+def running_totals(values: pa.Array, total: int) -> tuple[pa.Array, int]:
+    """Running totals of decimals without digits after the point, from ``total`` on, and the last of them. Exact, by 32-bit limbs."""
+    if not len(values):
+        return values, total
+    whole = (1 << 32) - 1
+    limbs = np.frombuffer(values.buffers()[1], dtype="<u4")[4 * values.offset : 4 * (values.offset + len(values))].reshape(-1, 4).astype(np.int64)
+    limbs[:, 3] -= (limbs[:, 3] >> 31) << 32  # the highest is signed
+    sums = np.cumsum(limbs, axis=0) + np.array([total & whole, total >> 32 & whole, total >> 64 & whole, total >> 96], dtype=np.int64)
+    for k in range(3):
+        sums[:, k + 1] += sums[:, k] >> 32
+    out = (sums & whole).astype("<u4").tobytes()
+    return pa.Array.from_buffers(values.type, len(values), [None, pa.py_buffer(out)]), int.from_bytes(out[-16:], "little", signed=True)
+
+
 def numbered(df: DataFrame, order_by: Sequence[str], name: str = "row_no") -> DataFrame:
-    """Rows with their 0-based place in the order, in two passes: counts a range of the order, then offsets.
+    """Rows with their 0-based place in the order; rows that share a place are ordered by a hash of their cells."""
+    # In a sorted range the low bits of the id that Spark gives a row are its place there.
+    return _placed(df, order_by, F.lit(1), name, lambda rows: rows.withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(38,0)")), "long")
 
-    ``order_by`` should be a total order. The driver holds one count a range.
+
+def prefix_sums(df: DataFrame, value: str, order_by: Sequence[str], name: str, before: bool = False, kind: str = "long") -> DataFrame:
+    """Running totals of a whole-number column along an order, of type ``kind``; ``before`` leaves the row's own value out.
+
+    Rows that share a place are ordered by a hash of their cells.
     """
-    return prefix_sums(df.withColumn("__one", F.lit(1)), "__one", order_by, name, before=True).drop("__one")
+    amount = F.coalesce(F.col(value).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
+    def local(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("__local", amount)
 
-def prefix_sums(df: DataFrame, value: str, order_by: Sequence[str], name: str, before: bool = False, kind: str = "long") -> DataFrame:
-    """Running totals of a whole-number column along an order, of type ``kind``; ``before`` leaves the row's own value out."""
-    from pyspark.sql.functions import spark_partition_id
-
-    ranged = df.repartitionByRange(*order_by).withColumn("__part", spark_partition_id()).persist()
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("n")).orderBy("__part").collect()
-    bases, total = [], 0
-    for r in sums:
-        bases.append((r["__part"], total))
-        total += int(r["n"] or 0)
-    offsets = df.sparkSession.createDataFrame([(part, str(base)) for part, base in bases], "__part int, __base string").withColumn("__base", F.col("__base").cast("decimal(38,0)"))
-    window = Window.partitionBy("__part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    running = F.coalesce(F.sum(value).over(window), F.lit(0)) + F.col("__base")
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, running.cast(kind)).drop("__part", "__base")
+        def run(batches):
+            total = 0
+            for batch in batches:
+                at = batch.schema.names.index("__local")
+                sums, total = running_totals(batch.column(at), total)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], sums, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+        added = rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]))
+        return added.withColumn("__local", F.col("__local") - amount) if before else added
+
+    return _placed(df, order_by, amount, name, local, kind)
+
+
+def _placed(df: DataFrame, order_by: Sequence[str], amount: Column, name: str, local: Callable[[DataFrame], DataFrame], kind: str) -> DataFrame:
+    """The rows with ``name``, what ``local`` gives of a sorted range and the amounts of all earlier ranges.
+
+    Rows are moved once: those that are given and those whose amounts are added by range come from one exchange, which Spark uses
+    twice, as both need all columns. Should it be made twice with other ranges, the first row of a range isn't the one that was
+    counted, and the query fails.
+    """
+    ranged = df.repartitionByRange(_ranges(df), *order_by)
+    part = F.spark_partition_id().alias("__part")
+    cells = F.xxhash64(*(F.map_entries(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+    start = F.struct(*(F.col(c).alias(f"s{i}") for i, c in enumerate(order_by)), cells.alias("row"))
+    totals = ranged.select(part, start.alias("__start"), amount.alias("__amount")).groupBy("__part").agg(F.min("__start").alias("__start"), F.sum("__amount").cast("decimal(38,0)").alias("__amount"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = totals.select("__part", "__start", F.coalesce(F.sum("__amount").over(earlier), F.lit(0)).cast("decimal(38,0)").alias("__base"))
+    placed = ranged.withColumn("__row", cells).sortWithinPartitions(*order_by, "__row").withColumn("__part", part).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    found = local(placed).join(F.broadcast(bases), "__part", "left")
+    own = F.struct(*(F.col(c).alias(f"s{i}") for i, c in enumerate(order_by)), F.col("__row").alias("row"))
+    wrong = (F.col("__at") == 0) & ~own.eqNullSafe(F.col("__start"))
+    total = F.when(wrong, F.raise_error(F.lit("ranges were made twice")).cast(kind)).otherwise((F.col("__local") + F.col("__base")).cast(kind))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), total.alias(name))
 
 
 def import_mapped(df: DataFrame, mapping: dict[str, str], keep_unmapped: bool = True) -> DataFrame:

@@ -329,3 +329,78 @@ def test_column_agreement_equals_brute_force(spark, monkeypatch):
     none = reconcile.agreement(matched.where("false"), left[:2], right[:3]).collect()
     assert len(none) == 6 and all((x.both, x.equal) == (0, 0) for x in none)
     assert reconcile.auto_column_mapping(reconcile.matched_rows(a.select("id", F.col("l0").alias("p")), a.select("id", F.col("l0").alias("q")), ["id"], ["id"]), ["id"]) == [("p", "q")]
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_numbering_moves_rows_once_and_keeps_nothing(spark):
+    """One exchange of the data whatever columns are asked for, no cached blocks, and ties that don't depend on partitions."""
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50).alias("v"), F.lit("x").alias("w"))
+    wanted = sorted(range(2000))
+    for partitions in (1, 7):
+        found = files.numbered(df.repartition(partitions), ["k"])
+        assert sorted(r.row_no for r in found.collect()) == wanted
+        rows = sorted((r.row_no, r.k, r.v) for r in found.collect())
+        assert [k for _, k, _ in rows] == sorted(k for _, k, _ in rows)
+        assert partitions == 1 or rows == first  # noqa: F821
+        first = rows  # noqa: F841
+    for chosen in (found, found.select("row_no"), files.prefix_sums(df, "v", ["k"], "total").select("k", "total")):
+        plan = _final_plan(chosen)
+        assert plan.count("ReusedExchange") == 1 and plan.count("Exchange rangepartitioning") == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    assert files.numbered(df.where("false"), ["k"]).count() == 0
+
+
+def test_prefix_sums_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 0, 5, -7, 10**17])) for i in range(400)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "k long, v long")
+    for before in (False, True):
+        found = files.prefix_sums(df.repartition(6), "v", ["k"], "t", before, "decimal(38,0)").collect()
+        total, want = 0, {}
+        for k, v in rows:
+            want[k] = total + (0 if before else v or 0)
+            total += v or 0
+        assert {x.k: int(x.t) for x in found} == want
+
+
+def test_running_totals_are_exact():
+    import decimal
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    with decimal.localcontext() as context:
+        context.prec = 60
+        for _ in range(50):
+            values = [r.choice([0, 1, -1, 10**9, 2**32, -(2**64), 10**33, -(10**33)]) * r.randrange(50) for _ in range(r.randrange(1, 30))]
+            start = r.choice([0, -5, 10**20, -(10**30)])
+            got, last = files.running_totals(pa.array([decimal.Decimal(0), *map(decimal.Decimal, values)], type=pa.decimal128(38, 0)).slice(1), start)
+            want = [start + sum(values[: i + 1]) for i in range(len(values))]
+            assert [int(x) for x in got.to_pylist()] == want and last == want[-1]
+
+
+def test_samples_of_repeated_rows(spark):
+    """Rows that repeat are chosen as often as their places are, and other columns come back whole."""
+    rows = [(1, 5, "a")] * 40 + [(1, 5, "b")] * 40 + [(None, 9, "c")] * 20
+    df = spark.createDataFrame(rows, "k long, v long, w string").repartition(5)
+    found = [(r.k, r.v, r.w) for r in sampling.sample_systematic(df, 10, ["k"], start=3).collect()]
+    assert len(found) == 10 and sorted(found, key=str) == sorted([(None, 9, "c")] * 2 + [(1, 5, "a")] * 4 + [(1, 5, "b")] * 4, key=str)
+    hits = sampling.sample_mus(df, "v", 29, ["k"]).collect()
+    assert len(hits) == 29 and sum(r.w == "c" for r in hits) == 9
+    top = sampling.sample_stratified(df, "v", 60, ["k"], seed=2).collect()
+    assert len(top) == 60 and sum(r.w == "c" for r in top if r.stratum == "top") == 20 and sum(r.stratum == "random" for r in top) == 30
+    sample = sampling.sample_stratified(df, "v", 60, ["k"], seed=2)
+    assert "Exchange rangepartitioning" not in _final_plan(sample)
+
+
+def test_row_numbers_of_files_move_no_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join(f"{i},v" for i in range(500)))
+    plan = _final_plan(files.read_delimited(spark, str(tmp_path), header=False, with_row_no=True))
+    assert "rangepartitioning" not in plan and plan.count("FileScan") <= 2
