@@ -64,13 +64,18 @@ def column_distribution(df: DataFrame, column: str, k: int = 50) -> DataFrame:
 def profile_catalogue(frames: dict[str, DataFrame], order_by: dict[str, Sequence[str]], source_type: str = "csv", head: int | None = 100) -> DataFrame:
     """The columns catalogue of many tables: ``table, pos, column, unique_count, null_count, is_pk, is_fk, row_count, source_type``.
 
-    It is made at once, by two scans of each table, and kept on the driver: a row a column. What is built on it reads no table.
+    It is made at once and kept on the driver: a row a column. What is built on it reads no table. Whole columns (``head`` None) of all
+    tables are counted in one job, and only columns whose counts leave open whether they are keys are sorted.
     """
-    out = None
-    for name, df in frames.items():
-        part = profile.column_keys(df, order_by[name], head).select(
-            F.lit(name).alias("table"), "pos", F.col("column_name").alias("column"), F.col("unique_values").alias("unique_count"), "null_count",
-            F.col("is_key").alias("is_pk"), F.lit(False).alias("is_fk"), F.col("total_values").alias("row_count"), F.lit(source_type).alias("source_type"),
-        )
-        out = part if out is None else out.unionByName(part)
+    if head is None:
+        found = profile.keys_of_all(frames, order_by)
+    else:
+        found = None
+        for name, df in frames.items():
+            part = profile.column_keys(df, order_by[name], head).withColumn("table", F.lit(name))
+            found = part if found is None else found.unionByName(part)
+    out = found.select(
+        "table", "pos", F.col("column_name").alias("column"), F.col("unique_values").alias("unique_count"), "null_count",
+        F.col("is_key").alias("is_pk"), F.lit(False).alias("is_fk"), F.col("total_values").alias("row_count"), F.lit(source_type).alias("source_type"),
+    )
     return out.sparkSession.createDataFrame(out.collect(), out.schema)

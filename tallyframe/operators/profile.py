@@ -5,10 +5,11 @@ Blank cells count as null. Columns are turned into (column, value) rows once and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import text as tx
 
@@ -77,19 +78,67 @@ def head_cells(df: DataFrame, order_by: Sequence[str], n: int | None, condition=
     return found.withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy(*keys))).where(F.col("place") <= n).select("pos", "column", "place", "value")
 
 
+def _kinds(close: Column) -> list[Column]:
+    """What filled cells are: all numbers, all booleans, an email or an address among the close ones."""
+    v = F.col("value")
+    return [
+        F.every(tx.is_numeric_text(v)).alias("numeric"), F.every(tx.is_boolean_text(v)).alias("boolean"),
+        F.some(close & tx.looks_like_email(v)).alias("email"), F.some(close & tx.looks_like_url(v)).alias("url"),
+    ]
+
+
+def counted(frames: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
+    """A row a column of each ``table``: its counts, what its cells are, and of whole-number cells how many, how many distinct, least and largest.
+
+    The cells of all tables are counted together, in two shuffles.
+    """
+    held = None
+    for name, df in frames.items():
+        part = cells(df, columns).select(F.lit(name).alias("table"), "pos", "column", "value")
+        held = part if held is None else held.unionByName(part)
+    whole = tx.is_integer_text(F.col("value"))
+    counts = held.groupBy("table", "pos", "column", "value").agg(F.count("*").alias("n")).withColumn("v", F.when(whole, F.col("value").try_cast("long")))
+    some = F.col("v").isNotNull()
+    numbers = [F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("ints"), F.count_if(some).alias("distinct_ints"), F.min("v").alias("least"), F.max("v").alias("largest")]
+    # What holds for all cells holds for all distinct values, so whole columns need no scan of their own.
+    return counts.groupBy("table", "pos", "column").agg(*_totals(), *_kinds(F.lit(True)), *numbers).withColumn("filled", F.col("total_values") - F.col("null_count"))
+
+
+def _may_step(r: Row) -> bool:
+    """Whether the counts allow that whole-number cells go up one by one: as many values as cells, without a gap."""
+    return r.ints > 0 and r.ints == r.distinct_ints and r.largest - r.least + 1 == r.ints
+
+
+def _stepwise(df: DataFrame, order_by: Sequence[str], asked: Sequence[str]) -> set[str]:
+    """Those of some columns that may step that do. A column that is the order itself does; the others are sorted by it."""
+    whole_types = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    known = {c for c in asked if c == order_by[0] and c in whole_types}
+    rest = [c for c in asked if c not in known]
+    return known | {r.column for r in _sorted_steps(df, order_by, rest).where("stepwise").collect()} if rest else known
+
+
 def sequences(df: DataFrame, order_by: Sequence[str], head: int | None = 100, columns: Sequence[str] | None = None) -> DataFrame:
     """``pos, column, n, stepwise``: of the first whole-number cells, how many, and whether each is one more than the last.
 
-    ``head`` None looks at all cells: each range of the order by itself, then where the ranges meet.
+    ``head`` None looks at all cells: they are counted at once, and only columns whose counts leave it open are sorted.
     """
-    whole = tx.is_integer_text(F.col("value"))
     if head is not None:
+        whole = tx.is_integer_text(F.col("value"))
         found = head_cells(df, order_by, head, whole, columns).withColumn("v", F.col("value").cast("long"))
         found = found.withColumn("last", F.lag("v").over(Window.partitionBy("pos").orderBy("place")))
         return found.groupBy("pos", "column").agg(F.count("*").alias("n"), F.every(F.col("last").isNull() | (F.col("v") == F.col("last") + 1)).alias("stepwise"))
-    placed, keys = _with_keys(df, order_by)
+    facts = [r for r in sorted(counted({"": df}, columns).collect(), key=lambda r: r.pos) if r.ints]
+    steps = _stepwise(df, order_by, [r.column for r in facts if _may_step(r)])
+    return df.sparkSession.createDataFrame([(r.pos, r.column, r.ints, r.column in steps) for r in facts], "pos int, column string, n long, stepwise boolean")
+
+
+def _sorted_steps(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``pos, column, n, stepwise`` by the order of all cells: each range of it by itself, then where the ranges meet."""
+    whole = tx.is_integer_text(F.col("value"))
+    chosen = df.select(*dict.fromkeys([*(f"`{c}`" for c in columns), *(f"`{c}`" for c in order_by)]))
+    placed, keys = _with_keys(chosen, order_by)
     ranged = placed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
-    found = cells(ranged, columns or df.columns, ["__part", *keys]).where("value is not null").where(whole).withColumn("v", F.col("value").cast("long"))
+    found = cells(ranged, columns, ["__part", *keys]).where("value is not null").where(whole).withColumn("v", F.col("value").cast("long"))
     found = found.withColumn("last", F.lag("v").over(Window.partitionBy("__part", "pos").orderBy(*keys)))
     place = F.struct(*keys)
     parts = found.groupBy("__part", "pos", "column").agg(
@@ -105,18 +154,29 @@ def auto_increment(df: DataFrame, order_by: Sequence[str], columns: Sequence[str
     return sequences(df, order_by, head, columns).where("stepwise and n > 3").select("column")
 
 
-def column_facts(df: DataFrame, order_by: Sequence[str], head: int | None = 100, near: int | None = 20) -> DataFrame:
+def _with_steps(rows: Sequence[Row], df: DataFrame, order_by: Sequence[str], matters: Callable[[Row], bool]) -> list[tuple]:
+    """Counted columns with ``stepwise``, which is looked for only where it ``matters`` and the counts allow it."""
+    steps = _stepwise(df, order_by, [r.column for r in rows if _may_step(r) and matters(r)])
+    return [(*r, r.column in steps) for r in rows]
+
+
+def _settled_facts(frames: dict[str, DataFrame], order_by: dict[str, Sequence[str]], matters: Callable[[Row], bool]) -> DataFrame:
+    """``table`` and the facts of all whole columns of some frames, counted in one job. The driver gets a row a column."""
+    out = counted(frames)
+    by_table: dict[str, list[Row]] = {}
+    for r in sorted(out.collect(), key=lambda r: r.pos):
+        by_table.setdefault(r.table, []).append(r)
+    rows = [x for name, found in by_table.items() for x in _with_steps(found, frames[name], order_by[name], matters)]
+    return out.sparkSession.createDataFrame(rows, T.StructType([*out.schema.fields, T.StructField("stepwise", T.BooleanType())]))
+
+
+def column_facts(df: DataFrame, order_by: Sequence[str], head: int | None = 100, near: int | None = 20, matters: Callable[[Row], bool] = lambda r: True) -> DataFrame:
     """A row a column with filled or blank cells: its counts, what its first cells are, and whether they are a sequence."""
-    v = F.col("value")
-    kinds = lambda close: [
-        F.every(tx.is_numeric_text(v)).alias("numeric"), F.every(tx.is_boolean_text(v)).alias("boolean"),
-        F.some(close & tx.looks_like_email(v)).alias("email"), F.some(close & tx.looks_like_url(v)).alias("url"),
-    ]
-    # What holds for all cells holds for all distinct values, so whole columns need no scan of their own.
-    counts = value_counts(df).groupBy("pos", "column").agg(*_totals(), *(kinds(F.lit(True)) if head is None else []))
-    if head is not None:
-        close = F.lit(True) if near is None else F.col("place") <= near
-        counts = counts.join(head_cells(df, order_by, head).groupBy("pos").agg(*kinds(close)), "pos", "left")
+    if head is None:
+        return _settled_facts({"": df}, {"": order_by}, matters).drop("table")
+    counts = value_counts(df).groupBy("pos", "column").agg(*_totals())
+    close = F.lit(True) if near is None else F.col("place") <= near
+    counts = counts.join(head_cells(df, order_by, head).groupBy("pos").agg(*_kinds(close)), "pos", "left")
     steps = sequences(df, order_by, head).select("pos", F.col("n").alias("ints"), "stepwise")
     return counts.join(steps, "pos", "left").withColumn("filled", F.col("total_values") - F.col("null_count"))
 
@@ -126,7 +186,17 @@ def _sequential() -> Column:
 
 
 def _unique() -> Column:
-    return _sequential() | F.coalesce((F.col("unique_values") / F.col("filled") > 0.95) & (F.col("filled") > 10), F.lit(False))
+    return _sequential() | F.coalesce((F.try_divide("unique_values", "filled") > 0.95) & (F.col("filled") > 10), F.lit(False))
+
+
+def _shown_by_steps(r: Row) -> bool:
+    """Whether a column is Sequential if its cells step."""
+    return bool(r.numeric) and r.filled > 3
+
+
+def _key_by_steps(r: Row) -> bool:
+    """Whether a column is a key only if its cells step: few cells, or between 0.9 and 0.95 of them distinct."""
+    return _shown_by_steps(r) and r.unique_values > 0.9 * r.total_values and not (r.filled > 10 and r.unique_values / r.filled > 0.95)
 
 
 def column_patterns(df: DataFrame, order_by: Sequence[str], head: int | None = 100, near: int | None = 20) -> DataFrame:
@@ -134,8 +204,8 @@ def column_patterns(df: DataFrame, order_by: Sequence[str], head: int | None = 1
 
     By the first ``head`` filled cells of a column (Email and Url: ``near``) in the order of ``order_by``; ``head`` None: by all.
     """
-    found = column_facts(df, order_by, head, near).where("filled > 0")
-    share = F.col("unique_values") / F.col("filled")
+    found = column_facts(df, order_by, head, near, _shown_by_steps).where("filled > 0")
+    share = F.try_divide("unique_values", "filled")
     flags = {
         "Numeric": F.col("numeric"), "Boolean": F.col("boolean"), "Email": F.col("email"), "Url": F.col("url"), "Sequential": _sequential(),
         "UniqueIdentifier": _unique(), "Category": (share < 0.1) & (F.col("unique_values") > 1) & (F.col("unique_values") < 50),
@@ -146,10 +216,20 @@ def column_patterns(df: DataFrame, order_by: Sequence[str], head: int | None = 1
 
 def column_keys(df: DataFrame, order_by: Sequence[str], head: int | None = 100) -> DataFrame:
     """``profile_columns`` with ``is_key``: the UniqueIdentifier pattern and a distinct ratio over 0.9."""
-    facts = column_facts(df, order_by, head).withColumn("is_key", _unique()).select("pos", "column", "total_values", "unique_values", "null_count", "is_key")
+    facts = column_facts(df, order_by, head, matters=_key_by_steps).withColumn("is_key", _unique()).select("pos", "column", "total_values", "unique_values", "null_count", "is_key")
     return _of_all_columns(df, facts).withColumn("is_key", F.coalesce("is_key", F.lit(False)) & (F.col("distinct_ratio") > 0.9))
 
 
+def keys_of_all(frames: dict[str, DataFrame], order_by: dict[str, Sequence[str]]) -> DataFrame:
+    """``table`` and ``column_keys`` of the whole columns of many frames, counted in one job."""
+    spark = next(iter(frames.values())).sparkSession
+    facts = _settled_facts(frames, order_by, _key_by_steps).withColumn("is_key", _unique()).drop("column")
+    names = spark.createDataFrame([(t, i, c) for t, df in frames.items() for i, c in enumerate(df.columns)], "table string, pos int, column_name string")
+    found = names.join(facts, ["table", "pos"], "left").na.fill(0, ["total_values", "unique_values", "null_count"])
+    ratio = F.when(F.col("total_values") > 0, F.col("unique_values") / F.col("total_values")).otherwise(0.0)
+    return found.select("table", "pos", "column_name", "total_values", "unique_values", "null_count", (F.coalesce("is_key", F.lit(False)) & (ratio > 0.9)).alias("is_key"), ratio.alias("distinct_ratio"))
+
+
 def status_flows(df: DataFrame, order_by: Sequence[str], head: int | None = None) -> DataFrame:
     """``column, state`` of columns named like a status with 2 to 19 states, in the first ``head`` rows or all; a blank cell is a state."""
     columns = [c for c in df.columns if any(x in c.lower() for x in STATUS_NAMES)]

@@ -19,6 +19,8 @@ from tallyframe.operators import profile
 STAGING = ("stg_", "staging_", "temp_", "tmp_", "_stg", "_staging", "_temp")
 AGGREGATES = ("_summary", "_agg", "_total", "_aggregate", "fact_", "sum_")
 LOOKUPS = ("lookup_", "ref_", "dim_", "_ref", "_lookup")
+#: Columns that a word of a set of columns has bits for.
+BITS = 62
 #: Column suffixes and the column of the other table that they point at.
 SUFFIXES = (("id", "id"), ("_id", "id"), ("key", "key"), ("_key", "key"), ("_pk", "id"))
 
@@ -98,25 +100,35 @@ def score_relationships(relationships: DataFrame, frames: dict[str, DataFrame],
     """``confidence, overlap_count`` of candidate joins by their names and the values they share.
 
     ``pairs`` are the (from_table, from_column, to_table, to_column) to score; by default all candidates (a catalogue). Each table
-    is read once for all its columns, and their distinct values are compared in full, in one join.
+    is read once for all its columns. Their distinct values make an inverted index, of a value to the set of columns that hold it, in
+    one shuffle however many candidates there are; how many values each set has gives the overlaps of all pairs.
     """
     sides = ["from_table", "from_column", "to_table", "to_column"]
-    asked = [tuple(r) for r in relationships.select(*sides).distinct().collect()] if pairs is None else list(pairs)
     spark = relationships.sparkSession
-    values = spark.createDataFrame([], "table string, column string, v string")
+    # A row a candidate; found once, however often it is used.
+    relationships = spark.createDataFrame(relationships.collect(), relationships.schema)
+    asked = list(dict.fromkeys(tuple(r) for r in relationships.select(*sides).collect())) if pairs is None else list(dict.fromkeys(map(tuple, pairs)))
+    numbers: dict[tuple[str, str], int] = {}
+    for side in [x[:2] for x in asked] + [x[2:] for x in asked]:
+        numbers.setdefault((side[0], side[1].lower()), len(numbers))
+    # A column's bit: BITS columns a word. The cells of a value in a task are one set before the shuffle.
+    words = range(max(1, -(-len(numbers) // BITS)))
+    values = spark.createDataFrame([], ", ".join(["v string", *(f"w{w} long" for w in words)]))
     for name, df in frames.items():
-        known = {c.lower(): c for c in df.columns}
-        wanted = sorted({known[c.lower()] for t, c in [x[:2] for x in asked] + [x[2:] for x in asked] if t == name and c.lower() in known})
+        wanted = [c for c in df.columns if (name, c.lower()) in numbers]
         if wanted:
-            found = profile.cells(df, wanted).where("value is not null").select(F.lit(name).alias("table"), "column", F.col("value").alias("v")).distinct()
-            values = values.unionByName(found)
-    values = values.withColumn("column", F.lower("column"))
-    listed = F.broadcast(spark.createDataFrame(asked, ", ".join(f"{c} string" for c in sides)))  # a row a candidate
-    left = values.join(listed, (F.col("table") == F.col("from_table")) & (F.col("column") == F.lower("from_column"))).select(*sides, "v", F.lit(1).alias("l"), F.lit(0).alias("r"))
-    right = values.join(listed, (F.col("table") == F.col("to_table")) & (F.col("column") == F.lower("to_column"))).select(*sides, "v", F.lit(0).alias("l"), F.lit(1).alias("r"))
-    met = left.unionByName(right).groupBy(*sides, "v").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    out = met.groupBy(*sides).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.sum(F.col("l") * F.col("r")).alias("overlap_count"))
-    scored = relationships.join(listed, sides, "left_semi").join(out, sides, "left").na.fill(0, ["nl", "nr", "overlap_count"])
+            at = [numbers[name, c.lower()] for c in wanted]
+            bits = [F.element_at(F.array(*(F.lit(1 << n % BITS if n // BITS == w else 0).cast("long") for n in at)), F.col("pos") + 1).alias(f"w{w}") for w in words]
+            values = values.unionByName(profile.cells(df, wanted).where("value is not null").select(F.col("value").alias("v"), *bits))
+    index = values.groupBy("v").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in words))
+    sets = index.groupBy(*(f"w{w}" for w in words)).agg(F.count("*").alias("n")).withColumn("w", F.array(*(f"w{w}" for w in words)))
+    holds = lambda x: f"(w[cast({x} div {BITS} as int)] & shiftleft(1L, cast({x} % {BITS} as int))) != 0"
+    members = sets.select("w", "n", F.explode(F.expr(f"filter(sequence(0, {max(0, len(numbers) - 1)}), x -> {holds('x')})")).alias("a"))
+    sizes = members.groupBy("a").agg(F.sum("n").alias("size"))
+    listed = spark.createDataFrame([(*x, numbers[x[0], x[1].lower()], numbers[x[2], x[3].lower()]) for x in asked], ", ".join(f"{c} string" for c in sides) + ", a int, b int")
+    shared = members.join(listed.select("a", "b").distinct(), "a").where(F.expr(holds("b"))).groupBy("a", "b").agg(F.sum("n").alias("overlap_count"))
+    out = listed.join(sizes.withColumnRenamed("size", "nl"), "a", "left").join(sizes.select(F.col("a").alias("b"), F.col("size").alias("nr")), "b", "left").join(shared, ["a", "b"], "left").drop("a", "b")
+    scored = relationships.join(out, sides).na.fill(0, ["nl", "nr", "overlap_count"])
     ratio = F.col("overlap_count") / F.greatest(F.lit(1), F.least("nl", "nr"))
     total = F.least(F.floor(0.6 * F.col("confidence") + 40 * ratio + 1e-9), F.lit(100)).cast("int")
     return scored.select("from_table", "from_column", "to_table", "to_column", total.alias("confidence"), "overlap_count").orderBy(F.desc("confidence"), "from_table", "from_column", "to_table")

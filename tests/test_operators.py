@@ -404,3 +404,49 @@ def test_row_numbers_of_files_move_no_row(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\n".join(f"{i},v" for i in range(500)))
     plan = _final_plan(files.read_delimited(spark, str(tmp_path), header=False, with_row_no=True))
     assert "rangepartitioning" not in plan and plan.count("FileScan") <= 2
+
+
+def test_counts_settle_what_needs_no_sort(spark):
+    """Keys over 0.95 distinct, gaps and repeats are settled by counts; what is left is sorted and right."""
+    rows = [(i, str(i), str(i * 2), str((i * 7) % 40), str(min(i, 37)), f"x{i}", "") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, up string, gap string, mixed string, near string, name string, none string")
+    asked = []
+    real = profile._sorted_steps
+
+    def spied(df, order_by, columns):
+        asked.append(list(columns))
+        return real(df, order_by, columns)
+
+    profile._sorted_steps = spied
+    try:
+        found = {r.column_name: r.is_key for r in profile.column_keys(df, ["k"], head=None).collect()}
+        assert asked == [] and found == {"k": True, "up": True, "gap": True, "mixed": True, "near": False, "name": True, "none": False}
+        patterns = {(r.column, r.pattern) for r in profile.column_patterns(df, ["k"], head=None).collect()}
+        assert asked == [["up", "mixed"]] and ("up", "Sequential") in patterns and ("mixed", "Sequential") not in patterns and ("k", "Sequential") in patterns
+        few = spark.createDataFrame([(i, str(i + 3), str(9 - i)) for i in range(5)], "k long, up string, down string")
+        assert [r.column_name for r in profile.primary_key_candidates(few, ["k"], head=None).collect()] == ["k", "up"]
+        assert asked[1:] == [["up", "down"]]
+    finally:
+        profile._sorted_steps = real
+    empty = profile.column_keys(df.where("false"), ["k"], head=None).collect()
+    assert len(empty) == 7 and not any(r.is_key for r in empty)
+
+
+def test_inclusion_index_equals_brute_force(spark):
+    """Overlaps of all asked pairs of 70 columns, past one word of bits, in one shuffle of values."""
+    import random
+
+    r = random.Random(9)
+    data = {f"t{t}": [[r.choice([None, "", *"abcdefg", "x1", "x2"]) for _ in range(35)] for _ in range(6 * (t + 1))] for t in range(2)}
+    frames = {t: spark.createDataFrame([tuple(x) for x in rows], ", ".join(f"C{i} string" for i in range(35))) for t, rows in data.items()}
+    pairs = [("t0", f"c{i}", "t1", f"C{(i * 5) % 35}", "NameMatch", 50) for i in range(35)] + [("t1", "C0", "t1", "C1", "NameMatch", 50), ("t0", "C0", "gone", "x", "NameMatch", 50)]
+    schema = "from_table string, from_column string, to_table string, to_column string, kind string, confidence int"
+    from tallyframe.operators import relate
+
+    found = {tuple(x)[:4]: (x.confidence, x.overlap_count) for x in relate.score_relationships(spark.createDataFrame(pairs, schema), frames).collect()}
+    assert len(found) == 37
+    for ft, fc, tt, tc, _, confidence in pairs:
+        held = lambda t, c: {x[int(c[1:])] for x in data[t] if x[int(c[1:])]} if t in data else set()
+        a, b = held(ft, fc), held(tt, tc)
+        assert found[ft, fc, tt, tc] == (min(100, int(0.6 * confidence + 40 * len(a & b) / max(1, min(len(a), len(b))) + 1e-9)), len(a & b))
+    assert relate.score_relationships(spark.createDataFrame([], schema), frames).count() == 0
