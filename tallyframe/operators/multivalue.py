@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe.functions import text as tx
-from tallyframe.operators import profile
+from tallyframe.operators import profile, segmentation
+from tallyframe.sources import files
 
 #: Delimiters in the order that decides ties.
 DELIMITERS = (",", ";", "|", "\t", "\n")
-#: Words of a vocabulary that a segmentation may carry to the tasks; a larger vocabulary is joined with the cells' substrings.
+#: Words of a shard of a vocabulary, about: what a task of a segmentation holds.
 MOST_WORDS = 100_000
 
 
@@ -91,40 +90,32 @@ def _finding(method: str, confidence: Column) -> list[Column]:
 
 def segments(values: DataFrame, words: DataFrame) -> DataFrame:
     """``value, parts``: the word break of every distinct ``value`` by a vocabulary of any size (``atom``); no row where no cover exists."""
-    lengths = [r.n for r in words.select(F.length("atom").alias("n")).distinct().where("n > 0").collect()]  # a row a length
-    places = values.where("value is not null").select("value").distinct().withColumn("at", F.explode(F.sequence(F.lit(1), F.length("value"))))
-    places = places.withColumn("n", F.explode(F.lit(lengths) if lengths else F.array().cast("array<int>"))).where("at + n - 1 <= length(value)")
-    met = places.withColumn("atom", F.col("value").substr(F.col("at"), F.col("n"))).join(words.select("atom").distinct(), "atom")
+    return segmentation.segments(values, words, MOST_WORDS)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cover(value: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series([tx._segments(v, frozenset(h), max(map(len, h))) for v, h in zip(value, held)], dtype=object)
 
-    found = met.groupBy("value").agg(F.collect_set("atom").alias("held"))
-    return found.select("value", cover("value", "held").alias("parts")).where("parts is not null")
+def segmented_reports(frames: dict[str, DataFrame], words: list[str] | DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``table`` and the columns of which 10 % of cells (500 bytes at most) are two vocabulary words or more written together.
 
-
-def vocabulary_segmented_report(df: DataFrame, words: list[str] | DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns of which 10 % of cells (500 bytes at most) are two vocabulary words or more written together.
-
-    ``words``: a list, or a frame with the column ``atom``, which never reaches the driver.
+    ``words``: a list, or a frame with the column ``atom``, which never reaches the driver. The cells of all tables are segmented together.
     """
-    few = len(set(words)) < 5 if isinstance(words, list) else words.select("atom").distinct().limit(5).count() < 5
-    if few:
-        return delimited_report(df, columns).where("false")
-    if isinstance(words, list) and len(words) > MOST_WORDS:
-        words = df.sparkSession.createDataFrame([(w,) for w in words], "atom string")
-    cells = _cells(df, columns)
+    spark, cells = next(iter(frames.values())).sparkSession, None
+    for name, df in frames.items():
+        part = _cells(df, columns).groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
+        cells = part if cells is None else cells.unionByName(part)
     if isinstance(words, list):
-        short = F.when(F.octet_length("value") <= 500, F.col("value"))
-        cells = cells.withColumn("packed", F.coalesce(F.size(tx.segment(short, words)) >= 2, F.lit(False))).withColumn("n", F.lit(1))
-    else:
-        cells = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
-        parts = segments(cells.where(F.octet_length("value") <= 500), words).where(F.size("parts") >= 2)
-        cells = cells.join(parts.select("value", F.lit(True).alias("packed")), "value", "left")
-    found = cells.groupBy("column").agg(F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("packed"), F.col("n"))), F.lit(0)).cast("long").alias("multi_value_count"))
+        words = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "atom string")
+    if words.distinct().limit(5).count() < 5:
+        cells = cells.where("false")
+    parts = segments(cells.where(F.octet_length("value") <= 500), words).where(F.size("parts") >= 2)
+    cells = cells.join(parts.select("value", F.lit(True).alias("packed")), "value", "left")
+    found = cells.groupBy("table", "column").agg(F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("packed"), F.col("n"))), F.lit(0)).cast("long").alias("multi_value_count"))
     found = found.withColumn("ratio", F.col("multi_value_count") / F.col("total_count")).where("ratio >= 0.1")
-    return found.select(*_finding("VocabularySegmented", F.least(1.5 * F.col("ratio"), F.lit(0.95))))
+    return found.select("table", *_finding("VocabularySegmented", F.least(1.5 * F.col("ratio"), F.lit(0.95))))
+
+
+def vocabulary_segmented_report(df: DataFrame, words: list[str] | DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``segmented_reports`` of one table."""
+    return segmented_reports({"": df}, words, columns).drop("table")
 
 
 def pattern_repetition_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -157,19 +148,18 @@ def length_outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -
 def detect_multi_value(frames: dict[str, DataFrame], words: list[str] | DataFrame | None = None) -> DataFrame:
     """``table`` and one finding a column: delimiter, else vocabulary, else pattern, else outlier.
 
-    A column whose delimiter finding is under 0.2 has none of the later ones either. ``words`` defaults to the
-    shared vocabulary of all sources; one of more than ``MOST_WORDS`` words stays a frame.
+    A column whose delimiter finding is under 0.2 has none of the later ones either. ``words`` defaults to the shared vocabulary of
+    all sources, which is written once and read by whatever needs it.
     """
     if words is None:
         shared = global_vocabulary(frames)
-        first = shared.limit(MOST_WORDS + 1).collect()
-        words = shared if len(first) > MOST_WORDS else sorted(r.atom for r in first)
-    out = None
+        path = files.shared_path(shared.sparkSession, "vocabulary")
+        shared.write.parquet(path)
+        words = shared.sparkSession.read.parquet(path)
+    out = segmented_reports(frames, words).withColumn("priority", F.lit(1))
     for name, df in frames.items():
-        reports = [delimited_report(df), vocabulary_segmented_report(df, words), pattern_repetition_report(df), length_outlier_report(df)]
-        for i, r in enumerate(reports):
-            part = r.withColumn("priority", F.lit(i)).withColumn("table", F.lit(name))
-            out = part if out is None else out.unionByName(part)
+        for i, r in ((0, delimited_report(df)), (2, pattern_repetition_report(df)), (3, length_outlier_report(df))):
+            out = out.unionByName(r.withColumn("priority", F.lit(i)).withColumn("table", F.lit(name)))
     first = Window.partitionBy("table", "column").orderBy("priority")
     found = out.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place", "priority")
     return found.where((F.col("method") != "Delimited") | (F.col("confidence") >= 0.2))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import grouping as g
 from tallyframe.operators import multivalue as m
-from tallyframe.plans.q_profile import _folder
-from tallyframe.plans.registry import query, table
 from tallyframe.sources import files
+from tallyframe.plans.registry import query, table
 
 COLUMNS = ["p_brand_class", "p_type", "size_category", "order_date", "city_code", "amount"]
 
@@ -85,7 +84,7 @@ def group_keys(spark, sf_dir):
 
 @query("select p_partkey, p_type, lower(p_brand) as group_key from part")
 def grouped_sink(spark, sf_dir):
-    path = _folder(spark, "grouped")
+    path = files.shared_path(spark, "grouped")
     files.write_grouped(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), g.group_keys(F.col("p_brand")), path)
     return spark.read.parquet(path).select("p_partkey", "p_type", F.col("group_key").cast("string").alias("group_key"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,17 +192,9 @@ def schema_catalogue(spark, sf_dir):
     return files.schema_catalogue(_frames(spark, sf_dir), {"customer": {"custkey": "c_custkey"}})
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("select cast(c_custkey as varchar) as column_1, c_name || ', \"' || c_mktsegment || '\"' as column_2 from customer")
 def csv_read(spark, sf_dir):
-    path = _folder(spark, "csv")
+    path = files.shared_path(spark, "csv")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("x"))
     rows.write.csv(path, quote='"', escape='"')
     return files.read_delimited(spark, path, header=False)
@@ -213,14 +202,14 @@ def csv_read(spark, sf_dir):
 
 @query("select cast(c_custkey as varchar) as id, c_name as name, c_mktsegment as segment from customer")
 def flat_delimited(spark, sf_dir):
-    path = _folder(spark, "flat")
+    path = files.shared_path(spark, "flat")
     table(spark, sf_dir, "customer").select(F.concat_ws("|", F.col("c_custkey").cast("string"), F.concat(F.lit(" "), "c_name", F.lit("\t")), "c_mktsegment").alias("value")).write.text(path)
     return files.read_flat_delimited(spark, path, "|", ["id", "name", "segment"])
 
 
 @query("select cast(c_custkey as varchar) as id, c_name as name, c_mktsegment as segment from customer")
 def fixed_width(spark, sf_dir):
-    path = _folder(spark, "fixed")
+    path = files.shared_path(spark, "fixed")
     table(spark, sf_dir, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 12, " "), F.rpad("c_name", 30, " "), "c_mktsegment").alias("value")).write.text(path)
     return files.read_fixed_width(spark, path, [12, 30, 20], ["id", "name", "segment"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,6 +15,15 @@ from pyspark.sql import types as T
 from tallyframe.functions import text as tx
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share; where it is unset (tests), in a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, with_row_no: bool = False) -> DataFrame:
     """Quoted text, every column a string; ragged rows are an error; without a header ``column_i``.
 

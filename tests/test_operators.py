@@ -450,3 +450,31 @@ def test_inclusion_index_equals_brute_force(spark):
         a, b = held(ft, fc), held(tt, tc)
         assert found[ft, fc, tt, tc] == (min(100, int(0.6 * confidence + 40 * len(a & b) / max(1, min(len(a), len(b))) + 1e-9)), len(a & b))
     assert relate.score_relationships(spark.createDataFrame([], schema), frames).count() == 0
+
+
+@pytest.mark.parametrize("a_shard", [3, 1000])
+def test_segments_equal_brute_force(spark, monkeypatch, a_shard):
+    """Words of one byte to many, of any script, in one shard or many; the earliest start wins as in the plain word break."""
+    import random
+
+    r = random.Random(4)
+    words = ["a", "ab", "aba", "b", "é", "éa", "日本", "本", "x1", "long word", "ab" * 20, "zz", "\x00"]
+    values = {"".join(r.choice(words) for _ in range(r.randrange(1, 7))) for _ in range(150)} | {"q", "aq", "日", "", "zzz", "ab" * 21}
+    monkeypatch.setattr(multivalue, "MOST_WORDS", a_shard)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), ("ab",)], "value string")
+    found = {x.value: x.parts for x in multivalue.segments(df, spark.createDataFrame([(w,) for w in words + [None, "ab"]], "atom string")).collect()}
+    want = {v: tx._segments(v, frozenset(words), 40) for v in values}
+    assert found == {v: p for v, p in want.items() if p}
+    assert multivalue.segments(df, df.where("false").withColumnRenamed("value", "atom")).count() == 0 == multivalue.segments(df.where("false"), df.withColumnRenamed("value", "atom")).count()
+
+
+def test_two_hundred_thousand_words(spark, monkeypatch):
+    """A vocabulary in many shards, without a join of substrings: each value goes to the shards of its places."""
+    monkeypatch.setattr(multivalue, "MOST_WORDS", 20_000)
+    # Every word ends with a dot, which no other place of it holds, so a cover is unique.
+    words = spark.range(200_000).select(F.concat(F.lower(F.hex(F.col("id") * 7919)), F.lit(".")).alias("atom"))
+    rows = spark.range(400).select(F.concat(*(F.concat(F.lower(F.hex((F.col("id") * 499 + i) * 7919)), F.lit(".")) for i in range(3)), F.when(F.col("id") % 10 == 0, "?").otherwise("")).alias("value"))
+    found = {x.value: x.parts for x in multivalue.segments(rows, words).collect()}
+    assert len(found) == 360 and all(len(p) == 3 and "".join(p) == v for v, p in found.items())
+    report = multivalue.vocabulary_segmented_report(rows, words).first()
+    assert (report.column, report.total_count, report.multi_value_count) == ("value", 400, 360)
