@@ -31,7 +31,7 @@ def trim_(c: Column) -> Column:
 
 def filled(c: Column) -> Column:
     """The cell, with blank cells as null."""
-    return F.when(trim_ws(c.cast("string")) != "", c)
+    return F.when(c.cast("string").rlike(r"(?U)\S"), c)
 
 
 def upper_(c: Column) -> Column:

@@ -241,12 +241,20 @@ def status_flows(df: DataFrame, order_by: Sequence[str], head: int | None = None
     return states.join(F.broadcast(known.select("column")), "column")  # a row a column
 
 
-def _settled(a: Row, b: Row) -> tuple[str | None, float | None] | None:
-    """What two columns without blanks are to each other, where their counts alone say it; else None."""
-    if a.null_count or b.null_count:
-        return None
-    alone = [x.unique_values == x.total_values or x.unique_values == 1 for x in (a, b)]
-    if not any(alone):
+def _relation(n_a: int, n_b: int, many_a: int, many_b: int) -> tuple[str, float] | None:
+    """What two columns are to each other: of the values of each that meet the other, how many there are and how many meet several."""
+    if not many_a and not many_b and n_a > 5:
+        return "OneToOne", 1.0
+    if many_a > 0.5 * n_a and n_b > n_a:
+        return "OneToMany", many_a / n_a
+    if many_b > 0.5 * n_b and n_a > n_b:
+        return "ManyToOne", many_b / n_b
+    return None
+
+
+def _settled(a: Row, b: Row) -> tuple[int, int, int, int] | None:
+    """The counts of ``_relation`` where those of the single columns, without blanks, give them; else None."""
+    if a.null_count or b.null_count or not any(x.unique_values == x.total_values or x.unique_values == 1 for x in (a, b)):
         return None
     # A unique column pairs with each row once; a constant one with every value of the other.
     if a.unique_values == a.total_values:
@@ -257,58 +265,44 @@ def _settled(a: Row, b: Row) -> tuple[str | None, float | None] | None:
         many_a, many_b = int(b.unique_values > 1), 0
     else:
         many_a, many_b = 0, int(a.unique_values > 1)
-    n_a, n_b = a.unique_values, b.unique_values
-    if not many_a and not many_b and n_a > 5:
-        return "OneToOne", 1.0
-    if many_a > 0.5 * n_a and n_b > n_a:
-        return "OneToMany", many_a / n_a
-    if many_b > 0.5 * n_b and n_a > n_b:
-        return "ManyToOne", many_b / n_b
-    return None, None
+    return a.unique_values, b.unique_values, many_a, many_b
 
 
-def column_relations(df: DataFrame, columns: Sequence[str] | None = None, most_pairs: int = 200) -> DataFrame:
+def _classes(df: DataFrame, names: Sequence[str], partners: Sequence[str]) -> dict[tuple[str, str], tuple[int, int]]:
+    """Of each column's values, how many meet filled cells of each partner, and how many meet several different ones.
+
+    Rows are grouped once by each column's values, all columns in one shuffle. A class of rows holds the least and the largest hash of
+    each partner's cells; where they differ, the value meets several. Cells of a class are told apart by 64-bit hashes.
+    """
+    held = df.select(*(tx.filled(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(names)))
+    hashes = [F.when(F.col(f"v{names.index(c)}").isNotNull(), F.xxhash64(f"v{names.index(c)}")).alias(f"h{j}") for j, c in enumerate(partners)]
+    own = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(len(names))))).alias("x")
+    rows = held.select(*hashes, own).select("x.*", *(f"h{j}" for j in range(len(partners)))).where("v is not null")
+    ends = rows.groupBy("i", "v").agg(*(f(f"h{j}").alias(f"{name}{j}") for j in range(len(partners)) for name, f in (("low", F.min), ("high", F.max))))
+    sums = [x for j in range(len(partners)) for x in (F.count(f"low{j}").alias(f"n{j}"), F.count_if(F.col(f"low{j}") < F.col(f"high{j}")).alias(f"m{j}"))]
+    return {(names[r.i], c): (r[f"n{j}"], r[f"m{j}"]) for r in ends.groupBy("i").agg(*sums).collect() for j, c in enumerate(partners)}
+
+
+def column_relations(df: DataFrame, columns: Sequence[str] | None = None, most_partners: int = 50) -> DataFrame:
     """``column_a, column_b, type, strength`` of column pairs: OneToOne, OneToMany, ManyToOne.
 
-    The columns are counted first (the driver gets a row a column), which settles pairs with a unique or constant
-    column. Distinct (pair, a, b) of the others come from one scan for each ``most_pairs`` pairs and are counted from
-    either side.
+    The columns are counted first, which settles pairs with a unique or constant column. For the others each row is grouped by each
+    column once, however many pairs there are (once more for each ``most_partners`` columns). The driver gets two numbers a pair.
     """
-    spark, chosen = df.sparkSession, list(columns or df.columns)
-    counted = value_counts(df, chosen).groupBy("pos").agg(*_totals(), F.count_if(F.col("value").isNotNull() & (F.col("n") > 1)).alias("repeated"))
-    facts = {r.pos: r for r in counted.collect()} if len(chosen) > 1 else {}
-    known, pairs = [], []
-    for i, a in enumerate(chosen):
-        for j in range(i + 1, len(chosen)):
-            if i in facts and j in facts:
-                found = _settled(facts[i], facts[j])
-                if found is None:
-                    pairs.append((a, chosen[j]))
-                elif found[0]:
-                    known.append((a, chosen[j], *found))
-    settled = spark.createDataFrame(known, "column_a string, column_b string, type string, strength double")
-    out = None
-    for start in range(0, len(pairs), most_pairs):
-        part = pairs[start : start + most_pairs]
-        value = lambda c: tx.filled(F.col(f"`{c}`").cast("string"))
-        rows = [F.struct(F.lit(start + i).alias("pair"), value(a).alias("a"), value(b).alias("b")) for i, (a, b) in enumerate(part)]
-        found = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("a is not null and b is not null").distinct()
-        sides = []
-        for side in ("a", "b"):
-            many = found.groupBy("pair", side).agg((F.count("*") > 1).cast("long").alias("many"))
-            sides.append(many.groupBy("pair").agg(F.count("*").alias(f"n_{side}"), F.sum("many").alias(f"many_{side}")))
-        both = sides[0].join(sides[1], "pair")
-        out = both if out is None else out.unionByName(both)
-    if out is None:
-        return settled
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string")
-    share_a, share_b = F.col("many_a") / F.col("n_a"), F.col("many_b") / F.col("n_b")
-    one = (F.col("many_a") == 0) & (F.col("many_b") == 0) & (F.col("n_a") > 5)
-    to_many, to_one = (share_a > 0.5) & (F.col("n_b") > F.col("n_a")), (share_b > 0.5) & (F.col("n_a") > F.col("n_b"))
-    kind = F.when(one, "OneToOne").when(to_many, "OneToMany").when(to_one, "ManyToOne")
-    strength = F.when(one, 1.0).when(to_many, share_a).when(to_one, share_b)
-    found = out.join(names, "pair").select("column_a", "column_b", kind.alias("type"), strength.alias("strength")).where("type is not null")
-    return settled.unionByName(found)
+    chosen = list(columns or df.columns)
+    repeated = F.count_if(F.col("value").isNotNull() & (F.col("n") > 1)).alias("repeated")
+    facts = {r.pos: r for r in value_counts(df, chosen).groupBy("pos").agg(*_totals(), repeated).collect()} if len(chosen) > 1 else {}
+    counts = {(i, j): _settled(facts[i], facts[j]) for i in sorted(facts) for j in sorted(facts) if i < j}
+    left = [pair for pair, found in counts.items() if found is None]
+    names = [chosen[i] for i in sorted({i for pair in left for i in pair})]
+    met: dict[tuple[str, str], tuple[int, int]] = {}
+    for start in range(0, len(names), most_partners):
+        met |= _classes(df, names, names[start : start + most_partners])
+    for i, j in left:
+        (n_a, many_a), (n_b, many_b) = (met.get((chosen[x], chosen[y]), (0, 0)) for x, y in ((i, j), (j, i)))
+        counts[i, j] = n_a, n_b, many_a, many_b
+    found = [(chosen[i], chosen[j], *r) for (i, j), n in counts.items() if (r := _relation(*n))]
+    return df.sparkSession.createDataFrame(found, "column_a string, column_b string, type string, strength double")
 
 
 def primary_key_candidates(df: DataFrame, order_by: Sequence[str], head: int | None = 100) -> DataFrame:

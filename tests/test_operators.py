@@ -478,3 +478,22 @@ def test_two_hundred_thousand_words(spark, monkeypatch):
     assert len(found) == 360 and all(len(p) == 3 and "".join(p) == v for v, p in found.items())
     report = multivalue.vocabulary_segmented_report(rows, words).first()
     assert (report.column, report.total_count, report.multi_value_count) == ("value", 400, 360)
+
+
+@pytest.mark.parametrize("partners", [4, 50])
+def test_relations_of_thirty_columns(spark, partners):
+    """No row is copied for each of 435 pairs: one copy a column, and the same relations as by brute force, blanks included."""
+    import random
+
+    r = random.Random(8)
+    columns = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(90):
+        base = r.randrange(20)
+        row = [str(base), str(base // 2), f"x{base}", str(i // 2)]
+        rows.append(tuple(row + [r.choice([None, "", " ", *map(str, range(r.choice([2, 5, 30])))]) for _ in range(26)]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    found = {(x.column_a, x.column_b): x.type for x in profile.column_relations(df, most_partners=partners).collect()}
+    blank = [tuple(None if v is None or not v.strip() else v for v in row) for row in rows]
+    want = {(a, b): brute_relation([(x[i], x[j]) for x in blank]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
+    assert found == {k: v for k, v in want.items() if v} and found["c0", "c2"] == "OneToOne"
