@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as tx
+from tallyframe.sources.files import named_groups
 
 #: Name parts of each type of dimension, in the order in which they are tried.
 DIMENSION_NAMES = {
@@ -160,4 +161,4 @@ def group_keys(column: Column, delimiter: str | None = None, vocabulary: list[st
 def group_summary(df: DataFrame, keys: Column) -> DataFrame:
     """``group_key, file_name, rows`` of a grouped sink."""
     found = df.select(F.explode(keys).alias("group_key")).groupBy("group_key").agg(F.count("*").alias("rows"))
-    return found.select("group_key", tx.safe_name(F.col("group_key")).alias("file_name"), "rows")
+    return named_groups(found).select("group_key", "file_name", "rows")

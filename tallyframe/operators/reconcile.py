@@ -113,7 +113,7 @@ def differing_rows(
     Digests find the keys; rows are read again for those alone, which a join on the keys fetches.
     """
     pairs = compared_columns(s1.columns, s2.columns, keys, compare, mappings)
-    orders, rows, columns = (order_by, order_by2 or order_by), None, [list(dict.fromkeys(p[i] for p in pairs)) for i in (1, 2)]
+    orders, rows, columns = (order_by, order_by if order_by2 is None else order_by2), None, [list(dict.fromkeys(p[i] for p in pairs)) for i in (1, 2)]
     half = f"d{HALVES[0]}"
     marks = [F.struct(F.xxhash64(*(F.col(f"f{i}")[f"o{k}"] for k in range(len(orders[i - 1]))), F.lit(0)), F.col(f"f{i}")[half]) for i in (1, 2)]
     asked = met_digests(s1, s2, keys, *orders, pairs).where(_differ()).select("key", F.array(*marks).alias("marks"))
@@ -277,3 +277,17 @@ def reconcile_all(frames: dict[str, DataFrame]) -> DataFrame:
         raise ValueError("no two sources share a column")
     return out
 
+
+def mismatches_all(frames: dict[str, DataFrame], order_by: Sequence[str] = ()) -> DataFrame:
+    """``source1, source2, key_value, column_name, source1_value, source2_value`` of all pairs of sources that share a column."""
+    out = None
+    for (n1, s1), (n2, s2) in combinations(frames.items(), 2):
+        if not any(column_named(s2.columns, c) for c in s1.columns):
+            continue
+        keys = auto_key(s1.columns, s2.columns)
+        orders = [[column_named(df.columns, c) for c in order_by if column_named(df.columns, c)] for df in (s1, s2)]
+        found = field_mismatches(differing_rows(s1, s2, keys, *orders), keys, limit=None).select(F.lit(n1).alias("source1"), F.lit(n2).alias("source2"), "*")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no two sources share a column")
+    return out

@@ -54,6 +54,38 @@ def column_patterns(spark, sf_dir):
     return profile.column_patterns(_texts(table(spark, sf_dir, "orders"), ORDERS).withColumn("k", F.col("o_orderkey").cast("long")), ["k"], head=None).where("column != 'k'")
 
 
+def _pages_sql(close: str, head: str) -> str:
+    """Patterns of the pages' columns by their first filled cells: ``head`` of them, Email and Url by the ``close`` ones."""
+    return f"""with u as (select *, row_number() over (partition by pos order by k) as place from (select page_id as k, 0 as pos, 'number' as "column", cast(page_id as varchar) as value from pages
+ union all select page_id, 1, 'url', url from pages union all select page_id, 2, 'mail', 'p' || page_id || case when page_id % 50 = 49 then '@x.org' else '' end from pages
+ union all select page_id, 3, 'flag', case when page_id % 2 = 0 then 'Yes' else 'no' end from pages) where value is not null and trim(value) <> ''),
+h as (select * from u where {head}), i as (select *, cast(value as bigint) - lag(cast(value as bigint)) over (partition by pos order by place) as step from h where regexp_full_match(value, '[0-9]+')),
+s as (select pos, bool_and(step is null or step = 1) as steps from i group by 1), c as (select pos, count(distinct value) as d, count(*) as n from u group by 1),
+f as (select "column", pos, bool_and(regexp_full_match(value, '[0-9]+')) as num, bool_and(lower(value) in ('true','false','yes','no','1','0','t','f','y','n')) as bool,
+ bool_or(contains(value, '@') and contains(value, '.')) filter ({close}) as mail, bool_or(starts_with(value, 'http://') or starts_with(value, 'https://')) filter ({close}) as url from h group by all),
+g as (select f.*, d, n, num and n > 3 and coalesce(steps, false) as seq from f join c using (pos) left join s using (pos))
+select "column", unnest(list_filter([case when num then 'Numeric' end, case when bool then 'Boolean' end, case when mail then 'Email' end, case when url then 'Url' end, case when seq then 'Sequential' end,
+ case when seq or d > 0.95 * n and n > 10 then 'UniqueIdentifier' end, case when d < 0.1 * n and d > 1 and d < 50 then 'Category' end], lambda x: x is not null)) as pattern from g"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    mail = F.concat(F.lit("p"), k, F.when(k % 50 == 49, "@x.org").otherwise("")).alias("mail")
+    return table(spark, sf_dir, "pages").select(k.cast("string").alias("number"), "url", mail, F.when(k % 2 == 0, "Yes").otherwise("no").alias("flag"), k.alias("k"))
+
+
+@query(_pages_sql("true", "true"))
+def column_patterns_pages(spark, sf_dir):
+    """Every pattern, addresses and mail among them, by whole columns."""
+    return profile.column_patterns(_pages(spark, sf_dir), ["k"], head=None).where("column != 'k'")
+
+
+@query(_pages_sql("place <= 20", "place <= 100"))
+def column_patterns_head(spark, sf_dir):
+    """The same by the first 100 filled cells of a column, and Email and Url by the first 20, as a profile of a head does."""
+    return profile.column_patterns(_pages(spark, sf_dir), ["k"], head=100, near=20).where("column != 'k'")
+
+
 @query("with " + HEADS + """ select "column", n, stepwise from s""")
 def column_sequences(spark, sf_dir):
     orders = _texts(table(spark, sf_dir, "orders"), ORDERS).withColumn("k", F.col("o_orderkey").cast("long"))

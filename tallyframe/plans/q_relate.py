@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import catalogue
+from tallyframe.operators import catalogue, multivalue, reconcile
 from tallyframe.operators import relate as r
 from tallyframe.plans import report
 from tallyframe.plans.q_grouping import KEPT, findings_sql
@@ -188,3 +188,32 @@ def report_summary(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     result = report.run_analysis({n: frames[n] for n in REPORTED}, {n: list(SHAPES[n][1].values())[:1] for n in REPORTED}, head=None)
     return report.report_tables(result)["summary"]
+
+
+@query("""with a as (select c_custkey as id, c_name as name, c_mktsegment as segment from customer), b as (select id, name, case when id % 4 = 0 then 'none' else segment end as segment from a where id % 5 <> 0),
+c as (select id, case when id % 3 = 0 then name || 'x' else name end as name, lower(segment) as segment from a where id % 2 = 0),
+p as (select 'a' as source1, 'b' as source2, a.id, a.name as n1, b.name as n2, a.segment as s1, b.segment as s2 from a join b using (id)
+union all select 'a', 'c', a.id, a.name, c.name, a.segment, c.segment from a join c using (id) union all select 'b', 'c', b.id, b.name, c.name, b.segment, c.segment from b join c using (id)),
+m as (select source1, source2, id::varchar as key_value, 'name' as column_name, n1 as source1_value, n2 as source2_value from p union all select source1, source2, id::varchar, 'segment', s1, s2 from p)
+select * from m where lower(trim(source1_value)) <> lower(trim(source2_value)) qualify row_number() over (partition by source1, source2 order by key_value, column_name) <= 50""")
+def report_mismatches(spark, sf_dir):
+    """The mismatch detail of a report on three sources."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    k = F.col("cust_id")
+    b = a.where(k % 5 != 0).withColumn("segment", F.when(k % 4 == 0, "none").otherwise(F.col("segment")))
+    c = a.where(k % 2 == 0).select("cust_id", F.when(k % 3 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")).alias("name"), F.lower("segment").alias("segment"))
+    sources = {"a": a, "b": b, "c": c}
+    columns = catalogue.profile_catalogue(sources, {n: ["cust_id"] for n in sources}, head=None)
+    return report.report_tables({"columns": columns, "mismatches": reconcile.mismatches_all(sources)})["mismatches"]
+
+
+PERCENT = "round_even(100 * {c}, 0)::int || '%' as {c}"
+
+
+@query("with " + findings_sql(FILLED) + f"""select "table", "column", method, total_count, multi_value_count, {PERCENT.format(c="confidence")} from {KEPT}""")
+def report_multi_value(spark, sf_dir):
+    """The packed columns of a report, shares as whole percent."""
+    frames = {n: df for n, df in _frames(spark, sf_dir).items() if n in REPORTED}
+    columns = catalogue.profile_catalogue(frames, {n: list(SHAPES[n][1].values())[:1] for n in frames}, head=None)
+    found = report.report_tables({"columns": columns, "multi_value": multivalue.detect_multi_value(frames)})["multi_value"]
+    return found.select("table", "column", "method", "total_count", "multi_value_count", "confidence")

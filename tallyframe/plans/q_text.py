@@ -84,9 +84,12 @@ def text_tests(spark, sf_dir):
     )
 
 
-@query("""select a.n_name as a, b.n_name as b, round(case when lower(a.n_name) = lower(b.n_name) then 1.0 else 1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)) end, 6) as alike
+@query("""select p_partkey, round(case when lower(p_name) = lower(p_type) then 1.0 else 1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type)) end, 6) as alike from part
+union all select a.n_nationkey * 100 + b.n_nationkey, round(case when a.n_name = b.n_name then 1.0 else 1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)) end, 6)
 from nation a join nation b on a.n_regionkey = b.n_regionkey""")
 def name_similarity(spark, sf_dir):
+    alike = lambda x, y: F.round(tx.name_similarity(F.col(x), F.col(y)), 6).alias("alike")
     n = table(spark, sf_dir, "nation")
-    a, b = n.select("n_regionkey", F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_name").alias("b"))
-    return a.join(b, "n_regionkey").select("a", "b", F.round(tx.name_similarity(F.col("a"), F.col("b")), 6).alias("alike"))
+    a, b = (n.select("n_regionkey", F.col("n_nationkey").cast("long").alias(f"{x}k"), F.col("n_name").alias(x)) for x in "ab")
+    nations = a.join(b, "n_regionkey").select((F.col("ak") * 100 + F.col("bk")).alias("p_partkey"), alike("a", "b"))
+    return table(spark, sf_dir, "part").select("p_partkey", alike("p_name", "p_type")).unionByName(nations)

@@ -26,6 +26,7 @@ def run_analysis(sources: dict[str, DataFrame], order_by: dict[str, Sequence[str
         "relationships": relationships,
         "workflows": relate.detect_workflows(tables, columns, relationships),
         "reconciliation": reconcile.reconcile_all(sources) if len(sources) > 1 else None,
+        "mismatches": reconcile.mismatches_all(sources) if len(sources) > 1 else None,
         "multi_value": multivalue.detect_multi_value(sources, words),
     }
 
@@ -42,7 +43,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def report_tables(result: dict[str, DataFrame | None], mismatches: DataFrame | None = None, per_pair: int = 50) -> dict[str, DataFrame]:
-    """The tables of a report; mismatch detail is the first rows of each pair, by key and column."""
+    """The tables of a report; mismatch detail is the first rows of each pair, by key and column. ``mismatches``: others than the result's."""
+    mismatches = result.get("mismatches") if mismatches is None else mismatches
     spark = result["columns"].sparkSession
     names = ("tables", "columns", "relationships", "workflows", "reconciliation", "multi_value", "groupings")
     out = {n: result[n] for n in names if result.get(n) is not None}

@@ -223,6 +223,35 @@ def schema_catalogue(frames: dict[str, DataFrame], mappings: dict[str, dict[str,
     return out
 
 
-def write_grouped(df: DataFrame, keys: Column, path: str, format: str = "parquet", name: str = "group_key") -> None:
-    """One folder of files for each group; ``keys`` is an array of a row's group keys. A group may have many files."""
-    df.withColumn(name, F.explode(keys)).write.partitionBy(name).format(format).save(path)
+def named_groups(groups: DataFrame, key: str = "group_key") -> DataFrame:
+    """The groups with ``file_name``, their safe name; of several with one name, all but the first by key get a hash of the key after it."""
+    name = tx.safe_name(F.col(key))
+    place = F.row_number().over(Window.partitionBy(name).orderBy(key))
+    longer = F.concat(F.substring(name, 1, 45), F.lit("~"), F.lower(F.hex(F.xxhash64(key))))  # 45 characters of four bytes at most
+    return groups.withColumn("file_name", F.when(place == 1, name).otherwise(longer))
+
+
+def write_grouped(df: DataFrame, keys: Column, path: str, format: str = "parquet", name: str = "group_key", most_bytes: int = 128 << 20) -> DataFrame:
+    """One folder of files for each group, ``file_name=<safe name>``; ``keys`` is an array of a row's group keys, kept in the column ``name``.
+
+    Groups are counted first; the counts, with the names of the folders, are written to ``_groups`` beside them and returned:
+    ``name, rows, bytes, file_name, files``. A group of up to ``most_bytes``, by its cells as texts, is one file; a larger one is dealt by
+    row to as many files as its bytes need, each written by one task and committed by Spark as a whole.
+    """
+    spark = df.sparkSession
+    marked = df.withColumn("__id", F.monotonically_increasing_id()).withColumn(name, F.explode(keys))
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 1 for c in df.columns), F.lit(0))
+    counts = marked.groupBy(name).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+    counts = named_groups(counts, name).withColumn("files", F.ceil(F.col("bytes") / most_bytes).cast("int"))
+    counts.write.parquet(f"{path}/_groups")
+    groups = spark.read.parquet(f"{path}/_groups")
+    total, rows, bytes_, alike = groups.agg(F.sum("files"), F.sum("rows"), F.sum("bytes"), F.count("*") - F.countDistinct("file_name")).first()
+    if alike:
+        raise ValueError(f"{alike} groups share the name of another")
+    tasks = min(total or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(bytes_ or 0) // most_bytes)))
+    # Files that one task gets of a group are one file, which a count of rows splits again.
+    most_rows = max(1, most_bytes * (rows or 1) // max(1, bytes_ or 1))
+    placed = marked.join(groups.select(name, "file_name", "files"), name).withColumn("__file", F.pmod(F.xxhash64("__id"), F.col("files")))
+    placed = placed.repartition(tasks, "file_name", "__file").select(*(F.col(f"`{c}`") for c in df.columns), name, "file_name")
+    placed.write.option("maxRecordsPerFile", most_rows).partitionBy("file_name").format(format).mode("append").save(path)
+    return groups

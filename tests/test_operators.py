@@ -497,3 +497,41 @@ def test_relations_of_thirty_columns(spark, partners):
     blank = [tuple(None if v is None or not v.strip() else v for v in row) for row in rows]
     want = {(a, b): brute_relation([(x[i], x[j]) for x in blank]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
     assert found == {k: v for k, v in want.items() if v} and found["c0", "c2"] == "OneToOne"
+
+
+def test_grouped_sink_names_and_bounds_files(spark, tmp_path):
+    """Keys that share a safe name get folders of their own; large groups are several files, small ones one; nothing is lost."""
+    rows = [(i, "a/b", "x" * 40) for i in range(600)] + [(i, "a:b", "y") for i in range(600, 605)] + [(i, r"a\b", "z") for i in range(605, 608)] + [(700, "c", None), (701, " ", "none")]
+    df = spark.createDataFrame(rows, "id long, g string, v string").repartition(7)
+    path = str(tmp_path / "out")
+    groups = {r.group_key: r for r in files.write_grouped(df, grouping.group_keys(F.col("g")), path, most_bytes=4000).collect()}
+    assert {k: (g.rows, g.files) for k, g in groups.items()} == {"a/b": (600, 8), "a:b": (5, 1), r"a\b": (3, 1), "c": (1, 1)}
+    assert groups["a/b"].file_name == "a-b" and len({g.file_name for g in groups.values()}) == 4 and groups["a:b"].file_name.startswith("a-b~")
+    back = spark.read.parquet(path)
+    assert sorted((r.id, r.group_key, r.v) for r in back.collect()) == sorted((i, g, v) for i, g, v in rows if g != " ")
+    assert {(r.group_key, r.file_name) for r in back.collect()} == {(k, g.file_name) for k, g in groups.items()}
+    sizes = {k: len(list((tmp_path / "out" / f"file_name={g.file_name}").glob("part-*"))) for k, g in groups.items() if k != r"a\b"}
+    assert sizes["c"] == 1 == sizes["a:b"] and 4 <= sizes["a/b"] <= 14
+
+
+def test_group_names_stay_apart(spark):
+    long = "é" * 150
+    keys = ["a/b", "a:b", "a|b", long, long + "x", "??", "**"]
+    found = {r.group_key: r.file_name for r in files.named_groups(spark.createDataFrame([(k,) for k in keys], "group_key string")).collect()}
+    assert len(set(found.values())) == 7 and found["a/b"] == "a-b" and found["**"] == "unnamed" and all(len(n.encode()) <= 200 for n in found.values())
+
+
+def test_tables_of_a_database(spark):
+    """A database's table through JDBC, when a driver is there: an embedded one comes with Spark."""
+    url = "jdbc:derby:memory:shop;create=true"
+    properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").write.jdbc(url, "items", mode="overwrite", properties=properties)
+    assert sorted(tuple(r) for r in files.jdbc_table(spark, url, "items", properties).collect()) == [(1, "a"), (2, None)]
+
+
+def test_mismatches_of_all_pairs(spark):
+    a = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "id int, v string, w string")
+    b = a.withColumn("v", F.upper("v")).withColumn("w", F.lit("q"))
+    c = spark.createDataFrame([(2, None)], "id int, v string")
+    found = sorted(tuple(r) for r in reconcile.mismatches_all({"a": a, "b": b, "c": c}).collect())
+    assert found == [("a", "b", "1", "w", "p", "q"), ("a", "c", "2", "v", "y", None), ("b", "c", "2", "v", "Y", None)]
