@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import catalogue, profile, relate
+from tallyframe.operators import catalogue, profile, relate, sketches
 from tallyframe.plans.registry import query, table, unpivoted
 from tallyframe.sources import files
 
@@ -30,6 +30,16 @@ def profile_columns(spark, sf_dir):
     return one("events", EVENTS).unionByName(one("part", PART)).withColumn("distinct_ratio", F.round("distinct_ratio", 6))
 
 
+@query(f"""with u as ({unpivoted('orders', ORDERS)}), c as (select pos, "column", count(distinct value) as d, count(value) as n, count(*) as total_values, count(*) - count(value) as null_count from u group by all)
+select "column" as column_name, total_values, null_count, d < 0.1 * n and d between 2 and 49 as category, d > 0.95 * n and n > 10 as unique_identifier from c""")
+def profile_merged(spark, sf_dir):
+    """The profile of orders from the sketches of three loads; what the bounds leave open is counted."""
+    orders = _texts(table(spark, sf_dir, "orders"), ORDERS)
+    loads = [sketches.sketch_columns(orders.where(F.col("o_orderkey").cast("long") % 3 == i)) for i in range(3)]
+    merged = sketches.merge_sketches(loads[0].unionByName(loads[1]).unionByName(loads[2]))
+    return sketches.settled_profile(orders, merged).select("column_name", "total_values", "null_count", "category", "unique_identifier")
+
+
 @query(f"""with u as ({unpivoted('part', PART)}), c as (select pos, "column", value, count(*) as n from u where value is not null group by all),
 p as (select *, row_number() over (partition by pos order by n desc, value) as place from c) select "column", value, n, place from p where place <= 10""")
 def top_values(spark, sf_dir):

@@ -535,3 +535,33 @@ def test_mismatches_of_all_pairs(spark):
     c = spark.createDataFrame([(2, None)], "id int, v string")
     found = sorted(tuple(r) for r in reconcile.mismatches_all({"a": a, "b": b, "c": c}).collect())
     assert found == [("a", "b", "1", "w", "p", "q"), ("a", "c", "2", "v", "y", None), ("b", "c", "2", "v", "Y", None)]
+
+
+def test_merged_sketches_equal_one_pass(spark):
+    """The profile of three loads from their sketches: exact counts lie within the bounds, decisions are those of exact counts, empty loads too."""
+    from tallyframe.operators import sketches
+
+    rows = [(i, i % 7, None if i % 3 else f"m{i % 400}", f"u{i}", "" if i % 2 else "c", min(i, 2850), i % 49, i % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, few int, half string, uniq string, one string, near long, cat int, many int")
+    parts = [sketches.sketch_columns(df.where(c)) for c in ("k < 1000", "k >= 1000 and k < 2990", "k >= 2990", "false")]
+    merged = sketches.merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    exact = {r.column_name: r for r in profile.profile_columns(df).collect()}
+    found = {r.column_name: r for r in sketches.sketched_profile(merged).collect()}
+    for c, r in found.items():
+        assert (r.total_values, r.null_count) == (exact[c].total_values, exact[c].null_count) and r.unique_low <= exact[c].unique_values <= r.unique_high
+    settled = {r.column_name: r for r in sketches.settled_profile(df, merged).collect()}
+    for c, r in settled.items():
+        n, u = exact[c].total_values - exact[c].null_count, exact[c].unique_values
+        assert r.category == (u < 0.1 * n and 1 < u < 50) and r.unique_identifier == (u > 0.95 * n and n > 10), c
+    assert settled["near"].exact and settled["near"].unique_values == 2851 and settled["cat"].category and not settled["many"].category
+    counts = {(r.column, r.value): r.n for r in profile.top_values(df, 3000).collect()}
+    top = sketches.sketched_top_values(merged, 7).collect()
+    assert {(r.column, r.value) for r in top if r.column == "few"} == {("few", str(i)) for i in range(7)}
+    assert all(r.n_low <= counts[r.column, r.value] <= r.n for r in top)
+
+
+def test_dimensions_of_many_groups_are_left_out_early(spark):
+    df = spark.range(5000).select(F.col("id").alias("wide"), (F.col("id") % 5).alias("narrow"), (F.col("id") % 1000).alias("edge"), (F.col("id") % 1001).alias("past"), F.lit("").alias("none"))
+    found = {r.column: (r.pos, r.group_count, r.total) for r in grouping.grouping_dimensions(df).collect()}
+    assert found == {"narrow": (1, 5, 5000), "edge": (2, 1000, 5000)}
+    assert grouping.grouping_dimensions(df.select("wide", "none")).count() == 0
