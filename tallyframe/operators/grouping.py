@@ -37,8 +37,11 @@ def explode_groups(df: DataFrame, column: str, keep: Sequence[str] = ()) -> Data
 def all_groups(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``pos, column, group`` rows of all columns, from one scan."""
     chosen = list(columns or df.columns)
-    cells = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), group_values(F.col(f"`{c}`")).alias("groups")) for i, c in enumerate(chosen)]
-    rows = df.select(*keep, F.explode(F.array(*cells)).alias("x"))
+    # Each cell is split once, before it is asked how many parts it has.
+    split = df.select(*keep, *(x for i, c in enumerate(chosen) for x in (tx.text(F.col(f"`{c}`")).alias(f"__t{i}"), tx.composite_parts(F.col(f"`{c}`")).alias(f"__p{i}"))))
+    groups = lambda i: F.when(F.col(f"__t{i}") == "", F.array().cast("array<string>")).when(F.size(f"__p{i}") > 1, F.col(f"__p{i}")).otherwise(F.array(f"__t{i}"))
+    cells = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), groups(i).alias("groups")) for i, c in enumerate(chosen)]
+    rows = split.select(*keep, F.explode(F.array(*cells)).alias("x"))
     return rows.select(*keep, "x.pos", "x.column", F.explode("x.groups").alias("group"))
 
 

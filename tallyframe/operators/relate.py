@@ -147,7 +147,7 @@ def master_record(frames: dict[str, DataFrame], primary: str, joins: Sequence[tu
     """The primary table with the columns of its lookups, by left joins on trimmed, lower-case keys.
 
     ``joins``: (column of the record so far, lookup table, its key), in order. Of the rows of a key the first by
-    ``order_by`` counts, blank keys none; a clashing column is named ``<table>_<column>``. Last come the renames.
+    ``order_by``, then by its cells, counts, blank keys none; a clashing column is named ``<table>_<column>``. Last come the renames.
     """
     out = frames[primary]
     for column, table, key in joins:
@@ -155,7 +155,7 @@ def master_record(frames: dict[str, DataFrame], primary: str, joins: Sequence[tu
         names = {c: f"{table}_{c}" if c in out.columns else c for c in lookup.columns if c != key}
         place = F.struct(*order_by[table]) if order_by.get(table) else F.lit(1)
         first = lookup.select(tx.normalize_value(F.col(key)).alias("__key"), F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("__row"), place.alias("__place"))
-        first = first.where("__key != ''").groupBy("__key").agg(F.min_by("__row", "__place").alias("__row"))
+        first = first.where("__key != ''").groupBy("__key").agg(F.min_by("__row", F.struct("__place", "__row")).alias("__row"))
         out = out.withColumn("__key", tx.normalize_value(F.col(column))).join(first, "__key", "left")
         out = out.select(*[c for c in out.columns if c not in ("__key", "__row")], *(F.col("__row")[n].alias(n) for n in names.values()))
     return out.withColumnsRenamed(mapping or {})

@@ -565,3 +565,14 @@ def test_dimensions_of_many_groups_are_left_out_early(spark):
     found = {r.column: (r.pos, r.group_count, r.total) for r in grouping.grouping_dimensions(df).collect()}
     assert found == {"narrow": (1, 5, 5000), "edge": (2, 1000, 5000)}
     assert grouping.grouping_dimensions(df.select("wide", "none")).count() == 0
+
+
+def test_lookup_rows_that_tie_don_t_depend_on_partitions(spark):
+    from tallyframe.operators import relate
+
+    sales = spark.createDataFrame([(1, "k")], "id int, code string")
+    for partitions in (1, 4):
+        codes = spark.createDataFrame([("K ", x, 0) for x in "dbca"] + [("k", "e", 1)], "code string, label string, seq int").repartition(partitions)
+        for order in (["seq"], []):
+            found = relate.master_record({"sales": sales, "codes": codes}, "sales", [("code", "codes", "code")], {"codes": order}).collect()
+            assert [(r.id, r.label) for r in found] == [(1, "a")]
