@@ -521,8 +521,9 @@ def test_group_names_stay_apart(spark):
     assert len(set(found.values())) == 7 and found["a/b"] == "a-b" and found["**"] == "unnamed" and all(len(n.encode()) <= 200 for n in found.values())
 
 
-def test_tables_of_a_database(spark):
-    """A database's table through JDBC, when a driver is there: an embedded one comes with Spark."""
+def test_tables_of_a_database(spark, tmp_path):
+    """A database's table through JDBC: an embedded database comes with Spark."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
     url = "jdbc:derby:memory:shop;create=true"
     properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").write.jdbc(url, "items", mode="overwrite", properties=properties)
