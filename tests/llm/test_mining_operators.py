@@ -229,3 +229,42 @@ def test_words_share_prefixes_and_copies_train_once():
     texts = ["the quick brown fox jumps over the lazy dog again"] * 2 + ["the quick brown fox jumps over the lazy dog again and more", "something else is written here today", ""]
     w, codes, offsets = toxicity.words_of(pa.array(texts))
     assert toxicity.distinct_texts(codes, offsets, toxicity.hashed(w)).tolist() == [0, 3, 4]
+
+
+def test_every_labelled_text_trains(spark, monkeypatch):
+    """Past 2,000 rows of a class and long texts too; the counts of all shards together are those of plain loops over all texts."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, " ".join(f"{x}{name(i)}" for x in ("plain" if i % 4 else "awful", "b", "c", "d", "e", "f", "g", "h")), int(i % 4 == 0)) for i in range(9000)]
+    rows += [(9001, "filler " * 300_000 + "longone", 1), (9002, "filler plain", 0)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 1 << 16)
+    known = labels.where(toxicity.fold(F.col("doc_id")) != 1)
+    found = toxicity.training_rows(docs, known, "doc_id", "text", "lang")
+    want = {(i, t) for i, _, t in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {(r.doc_id, r.toxic) for r in found.select("doc_id", "toxic").collect()} == want and len(want) > 5000
+    assert found.select("shard").distinct().count() > 4
+    by_hand = np.zeros((2, toxicity.BUCKETS + 1), dtype=np.int64)
+    texts = {i: text for i, text, _ in rows}
+    for i, t in want:
+        words = toxicity.words_of(pa.array([texts[i]]))[0]
+        by_hand[t, np.unique(toxicity.hashed(words))] += 1
+    assert (toxicity.bucket_counts(found) == by_hand[:, : toxicity.BUCKETS]).all()
+
+
+def test_near_copies_are_found_as_in_order(spark):
+    """The tables of hashes choose the texts that a plain pass in order of ids chooses; of a repeated id one text trains."""
+    r = np.random.default_rng(2)
+    base = [" ".join("".join(r.choice(list("abcdef"), size=4)) for _ in range(30)) for _ in range(12)]
+    texts = []
+    for i in range(150):
+        words = base[r.integers(12)].split()
+        for _ in range(int(r.integers(0, 6))):
+            words[r.integers(len(words))] = "new" + "x" * int(r.integers(1, 9))
+        texts.append(" ".join(words))
+    texts += ["", "", "one", "one", "two words"]
+    docs, known = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    w, codes, offsets = toxicity.words_of(pa.array(texts))
+    found = toxicity.training_rows(docs.repartition(5), known, "doc_id", "text", "lang")
+    assert sorted(x.doc_id for x in found.collect()) == toxicity.distinct_texts(codes, offsets, toxicity.hashed(w)).tolist()
+    again = toxicity.training_rows(docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("other"))), known, "doc_id", "text", "lang").collect()
+    assert len({x.doc_id for x in again}) == len(again)
