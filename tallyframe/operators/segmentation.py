@@ -1,10 +1,11 @@
 """Word breaks by vocabularies of any size: tries of word shards, and a cover of each value from their hits.
 
-Words are dealt to shards of about ``words_a_shard`` by a hash of their first three bytes, shorter words to all shards. A value
-goes to the shards of the three-byte strings that it holds, with a part of the other values. There a trie, one sorted array of
+A word's code is its first ``PREFIX`` bytes; where too many words share a code, those go by their longest common prefix and the byte after it, again
+and again until no code has more than ``1 / PARTS`` of a shard's words. So at any place of a value one code fits. Words are dealt to shards of about ``words_a_shard``
+by a hash of their codes, words that are shorter than theirs to all shards. A value goes to the shards of the codes at its places that words have; a shard meets
+its own values only, ``VALUES`` at a time, so work grows with words and values, not with their product. There a trie, one sorted array of
 (node, byte) keys, is walked from all places of all values at once, level by level, which finds every word at every place. Hits of all shards meet
-by value, and the cover is found from left to right. One plan serves all sizes; words and values never reach the driver. Words of very
-many that share their first three bytes are in one shard.
+by value, and the cover is found from left to right. One plan serves all sizes; words and values never reach the driver.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that choose a word's shard; distinct values that meet a shard at once, about; bytes of values that are walked at once.
-PREFIX, VALUES, WALKED = 3, 50_000, 1 << 20
+from tallyframe.sources import files
+
+#: Bytes of a code at least; codes that fill a shard; distinct values that meet a shard at once, about; bytes of values that are walked at once.
+PREFIX, PARTS, VALUES, WALKED = 3, 8, 50_000, 1 << 20
+#: Bits of the table of the codes that words have.
+BITS = 63 << 16
 
 
 class Trie:
@@ -54,6 +59,20 @@ class Trie:
         both = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
         return both[0], both[1]
 
+    def longest(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """How long the longest word is that starts at each place and ends by its stop; 0 where none does."""
+        out, live, depth = np.zeros(len(start), dtype=np.int64), np.flatnonzero(start < stop), 0
+        node = np.zeros(len(live), dtype=np.int64)
+        while len(live) and len(self.edges):
+            key = node * 256 + flat[start[live] + depth]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            on = self.edges[edge] == key
+            live, node, depth = live[on], edge[on] + 1, depth + 1
+            out[live[self.word[node]]] = depth
+            more = start[live] + depth < stop[live]
+            live, node = live[more], node[more]
+        return out
+
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     held = texts.cast(pa.large_binary())
@@ -101,21 +120,103 @@ def cover(value: bytes, hits: np.ndarray) -> list[str] | None:
     return out[::-1]
 
 
+def _codes(trie: Trie, flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places at which a whole code lies, its length and its hash; ``trie`` holds the prefixes that too many words share."""
+    shared = trie.longest(flat, start, stop)
+    size = np.where(shared > 0, shared + 1, PREFIX)
+    whole = np.flatnonzero(start + size <= stop)
+    at, size = start[whole], size[whole]
+    base = 0x9E3779B97F4A7C15
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(flat), np.uint64(x), dtype=np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+    sums = np.r_[np.uint64(0), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[:-1])]
+    h = (sums[at + size] - sums[at]) * back[at]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return whole, size, h ^ (h >> np.uint64(32))
+
+
+def _pieces(texts: pa.Array):
+    """Parts of some texts of ``WALKED`` bytes at most, or one text: the bytes and the offsets."""
+    first, ends = 0, _bytes_of(texts)[1]
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + WALKED, side="right")) - 1)
+        yield texts.slice(first, last - first), *_bytes_of(texts.slice(first, last - first))
+        first = last
+
+
+def shared_prefixes(atoms: DataFrame, most: int) -> list[bytes]:
+    """The common prefixes of words that go on by one more byte, as their codes would have more than ``most`` words."""
+    atom, out = F.col("atom").cast("binary"), []
+    counted = lambda df: df.groupBy("code").agg(F.count("*").alias("n"), F.min("b").alias("low"), F.max("b").alias("high")).where(F.col("n") > most).collect()
+    found = counted(atoms.where(F.octet_length("atom") >= PREFIX).select(F.substring(atom, 1, PREFIX).alias("code"), atom.alias("b")))
+    while found:
+        for r in found:
+            pairs = zip(r.low, r.high)
+            out.append(bytes(r.low[: next((i for i, (x, y) in enumerate(pairs) if x != y), min(len(r.low), len(r.high)))]))
+        trie = _trie(out)
+
+        def coded(batches, trie=trie):
+            for batch in batches:
+                for part, flat, offsets in _pieces(batch.column("b")):
+                    whole, size, _ = _codes(trie, flat, offsets[:-1], offsets[1:])
+                    yield pa.RecordBatch.from_arrays([part.take(pa.array(whole)), pa.array(size)], names=["b", "size"])
+
+        words = atoms.select(atom.alias("b")).mapInArrow(coded, "b binary, size long").where(F.col("size") > PREFIX)
+        found = counted(words.select(F.substring("b", F.lit(1), F.col("size").cast("int")).alias("code"), "b"))
+    return out
+
+
+def _trie(words: list[bytes]) -> Trie:
+    return Trie(*_bytes_of(pa.array(words, type=pa.binary())))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from the shared folder, as several jobs read them."""
+    path = files.shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def segments(values: DataFrame, words: DataFrame, words_a_shard: int) -> DataFrame:
     """``value, parts``: the word break of every distinct ``value`` by the words of ``atom``; no row where no cover exists."""
-    atoms = words.select(F.col("atom").cast("string").alias("atom")).where("atom != ''").distinct()
-    texts = values.select("value").where("value is not null and value != ''").distinct()
+    spark = values.sparkSession
+    atoms = _written(words.select(F.col("atom").cast("string").alias("atom")).where("atom != ''").distinct(), "atoms")
+    texts = _written(values.select("value").where("value is not null and value != ''").distinct(), "values")
     shards = max(1, -(-atoms.count() // words_a_shard))
-    buckets = max(1, -(-texts.count() // VALUES))
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    place = lambda text, at: F.pmod(F.xxhash64(F.substring(text, at, PREFIX)), F.lit(shards)).cast("int")
-    binary = F.col("atom").cast("binary")
-    dealt = atoms.withColumn("shard", F.explode(F.when(F.octet_length("atom") < PREFIX, every).otherwise(F.array(place(binary, F.lit(1))))))
-    dealt = dealt.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    held = F.col("value").cast("binary")
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("value") - PREFIX + 1)), lambda i: place(held, i))
-    sent = F.array(F.lit(0)) if shards == 1 else F.array_distinct(places)
-    asked = texts.select("value", F.explode(sent).alias("shard"), F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int").alias("bucket"))
+    trie = spark.sparkContext.broadcast(_trie(shared_prefixes(atoms, max(1, words_a_shard // PARTS)) if shards > 1 else []))
+
+    def placed(batches):
+        for batch in batches:
+            for part, flat, offsets in _pieces(batch.column("atom")):
+                whole, _, h = _codes(trie.value, flat, offsets[:-1], offsets[1:])
+                shard, bit = np.full(len(part), -1), np.full(len(part), -1)
+                shard[whole], bit[whole] = h % np.uint64(shards), h % np.uint64(BITS)
+                yield pa.RecordBatch.from_arrays([part, pa.array(shard), pa.array(bit)], names=["atom", "shard", "bit"])
+
+    coded = atoms.mapInArrow(placed, "atom string, shard long, bit long")
+    found = coded.where("bit >= 0").groupBy(F.floor(F.col("bit") / 63).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 as int))")).alias("v")).toArrow()  # some 65,000 rows at most
+    bits = np.zeros(BITS // 63, dtype=np.int64)
+    bits[found["w"].to_numpy()] = found["v"].to_numpy()
+    held, short = spark.sparkContext.broadcast(bits), coded.where("shard < 0").limit(1).count() > 0
+
+    def sent(batches):
+        for batch in batches:
+            for part, flat, offsets in _pieces(batch.column("value")):
+                whole, _, h = _codes(trie.value, flat, np.arange(len(flat)), np.repeat(offsets[1:], np.diff(offsets)))
+                w, bit = np.divmod((h % np.uint64(BITS)).astype(np.int64), 63)
+                on = (held.value[w] >> bit & 1) == 1
+                row = np.searchsorted(offsets, whole[on], side="right") - 1
+                pairs = np.unique(row * shards + (h[on] % np.uint64(shards)).astype(np.int64))
+                # Words that are shorter than their codes lie in every shard; a value without codes asks the first one for them.
+                pairs = np.r_[pairs, np.setdiff1d(np.arange(len(part)), row) * shards] if short else pairs
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(pairs // shards)), pa.array(pairs % shards)], names=["value", "shard"])
+
+    asked = texts.mapInArrow(sent, "value string, shard long")
+    sizes = asked.groupBy("shard").agg(F.count("*").alias("n")).collect()  # a row a shard
+    buckets = spark.createDataFrame([(r.shard, -(-r.n // VALUES)) for r in sizes], "shard long, buckets long")
+    every = F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")
+    dealt = coded.select("atom", F.explode(F.when(F.col("shard") < 0, every).otherwise(F.array("shard"))).alias("shard")).join(F.broadcast(buckets), "shard")  # a row a shard
+    dealt = dealt.select("atom", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"))
+    asked = asked.join(F.broadcast(buckets), "shard").select("value", "shard", F.pmod(F.xxhash64("value"), F.col("buckets")).alias("bucket"))
     met = dealt.groupBy("shard", "bucket").cogroup(asked.groupBy("shard", "bucket")).applyInArrow(_met, "value string, hits array<int>")
 
     def covered(batches):

@@ -1,11 +1,12 @@
 """Rule boundaries of the operators on small frames."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import predicates as p
 from tallyframe.functions import text as tx
-from tallyframe.operators import catalogue, checks, grouping, multivalue, profile, reconcile, relate, sampling
+from tallyframe.operators import catalogue, checks, grouping, multivalue, profile, reconcile, relate, sampling, segmentation
 from tallyframe.sources import files
 
 
@@ -480,6 +481,24 @@ def test_two_hundred_thousand_words(spark, monkeypatch):
     assert (report.column, report.total_count, report.multi_value_count) == ("value", 400, 360)
 
 
+def test_words_with_one_beginning_fill_many_shards(spark, monkeypatch):
+    """No shard holds the words that share their first bytes, and a word that is another's beginning is still found."""
+    import numpy as np
+
+    monkeypatch.setattr(multivalue, "MOST_WORDS", 400)
+    texts = [f"solo{i}" for i in range(5000)] + ["solo", "so", "s", "sol", "spare", "solo1" + "x" * 30]
+    words, most = spark.createDataFrame([(w,) for w in texts], "atom string"), 50
+    shared = segmentation.shared_prefixes(words, most)
+    flat, offsets = segmentation._bytes_of(pa.array(texts))
+    whole, size, _ = segmentation._codes(segmentation._trie(shared), flat, offsets[:-1], offsets[1:])
+    counts = np.unique([texts[i][:n] for i, n in zip(whole, size)], return_counts=True)[1]
+    assert b"solo" in shared and counts.max() <= most and len(texts) - len(whole) < 200
+    values = [f"solo{i}spare" for i in range(0, 5000, 50)] + ["sols", "soso", "solosolosolo77", "solo1" + "x" * 30 + "solo4999", "spares", "none", "sparex", "olo1"]
+    found = {x.value: x.parts for x in multivalue.segments(spark.createDataFrame([(v,) for v in values], "value string"), words).collect()}
+    want = {v: tx._segments(v, frozenset(texts), 40) for v in values}
+    assert found == {v: p for v, p in want.items() if p} and len(found) == 105
+
+
 @pytest.mark.parametrize("partners", [4, 50])
 def test_relations_of_thirty_columns(spark, partners):
     """No row is copied for each of 435 pairs: one copy a column, and the same relations as by brute force, blanks included."""
