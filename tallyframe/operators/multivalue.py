@@ -105,8 +105,9 @@ def segmented_reports(frames: dict[str, DataFrame], words: list[str] | DataFrame
     if isinstance(words, list):
         words = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "atom string")
     if words.distinct().limit(5).count() < 5:
-        cells = cells.where("false")
-    parts = segments(cells.where(F.octet_length("value") <= 500), words).where(F.size("parts") >= 2)
+        cells, parts = cells.where("false"), spark.createDataFrame([], "value string, parts array<string>")
+    else:
+        parts = segments(cells.where(F.octet_length("value") <= 500), words).where(F.size("parts") >= 2)
     cells = cells.join(parts.select("value", F.lit(True).alias("packed")), "value", "left")
     found = cells.groupBy("table", "column").agg(F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("packed"), F.col("n"))), F.lit(0)).cast("long").alias("multi_value_count"))
     found = found.withColumn("ratio", F.col("multi_value_count") / F.col("total_count")).where("ratio >= 0.1")
@@ -120,27 +121,27 @@ def vocabulary_segmented_report(df: DataFrame, words: list[str] | DataFrame, col
 
 def pattern_repetition_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns of which over 10 % of cells repeat the most frequent shape twice or more."""
-    cells = _cells(df, columns).withColumn("shape", tx.shape(F.col("value")))
-    counts = cells.groupBy("column", "shape").agg(F.count("*").alias("n"))
+    counts = _cells(df, columns).groupBy("column", tx.shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "shape")
     modal = counts.withColumn("place", F.row_number().over(order)).where("place = 1").select("column", F.col("shape").alias("modal")).where(F.octet_length("modal") >= 3)
-    found = cells.join(F.broadcast(modal), "column")  # a row a column
+    # What holds for a cell holds for its shape, so shapes are compared once each.
+    found = counts.join(F.broadcast(modal), "column")  # a row a column
     packed = (F.octet_length("shape") >= 2 * F.octet_length("modal")) & (tx.count_non_overlapping(F.col("shape"), F.col("modal")) >= 2)
-    found = found.groupBy("column").agg(F.count("*").alias("total_count"), F.count_if(packed).alias("multi_value_count"))
+    found = found.groupBy("column").agg(F.sum("n").alias("total_count"), F.sum(F.when(packed, F.col("n")).otherwise(0)).cast("long").alias("multi_value_count"))
     found = found.withColumn("ratio", F.col("multi_value_count") / F.col("total_count")).where("ratio > 0.1")
     return found.select(*_finding("PatternRepetition", 0.6 * F.col("ratio")))
 
 
 def length_outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns with two cells or more far longer than the median, by the modified z-score over 3.5."""
-    cells = _cells(df, columns).withColumn("bytes", F.octet_length("value"))
-    middle = cells.groupBy("column").agg(F.percentile("bytes", F.lit(0.5)).alias("median"))
-    far = cells.join(F.broadcast(middle), "column")  # a row a column
-    spread = far.groupBy("column").agg(F.percentile(F.abs(F.col("bytes") - F.col("median")), F.lit(0.5)).alias("mad"))
+    # Cells of a length are counted once; all else weighs lengths by their counts.
+    counts = _cells(df, columns).groupBy("column", F.octet_length("value").alias("bytes")).agg(F.count("*").alias("n"))
+    middle = counts.groupBy("column").agg(F.percentile("bytes", F.lit(0.5), F.col("n")).alias("median"))
+    far = counts.join(F.broadcast(middle), "column")  # a row a column
+    spread = far.groupBy("column").agg(F.percentile(F.abs(F.col("bytes") - F.col("median")), F.lit(0.5), F.col("n")).alias("mad"))
     z = 0.6745 * F.abs(F.col("bytes") - F.col("median")) / F.col("mad")
-    found = far.join(F.broadcast(spread.where("mad > 0")), "column").groupBy("column").agg(
-        F.count("*").alias("total_count"), F.count_if((z > 3.5) & (F.col("bytes") > F.col("median"))).alias("multi_value_count")
-    )
+    outlying = F.when((z > 3.5) & (F.col("bytes") > F.col("median")), F.col("n")).otherwise(0)
+    found = far.join(F.broadcast(spread.where("mad > 0")), "column").groupBy("column").agg(F.sum("n").alias("total_count"), F.sum(outlying).cast("long").alias("multi_value_count"))
     found = found.withColumn("ratio", F.col("multi_value_count") / F.col("total_count")).where("multi_value_count >= 2")
     return found.select(*_finding("LengthOutlier", 0.4 * F.col("ratio")))
 

@@ -481,6 +481,19 @@ def test_two_hundred_thousand_words(spark, monkeypatch):
     assert (report.column, report.total_count, report.multi_value_count) == ("value", 400, 360)
 
 
+def test_patterns_and_lengths_read_cells_once(spark):
+    """Cells are counted by shape and by length; no later step has a row a cell."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "Ab1Ab1Ab1").otherwise("Ab1").alias("code"), F.repeat(F.lit("x"), (F.col("id") % 7 + F.when(F.col("id") % 500 == 0, 90).otherwise(1)).cast("int")).alias("note"))
+    found = {r.column: (r.total_count, r.multi_value_count) for f in (multivalue.pattern_repetition_report(df, ["code"]), multivalue.length_outlier_report(df, ["note"])) for r in f.collect()}
+    assert found == {"code": (3000, 1000), "note": (3000, 6)}
+    for report in (multivalue.pattern_repetition_report(df), multivalue.length_outlier_report(df)):
+        lines = report._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        for i, line in enumerate(lines):
+            if "Generate explode" in line:  # the nearest step above that joins or groups is a grouping
+                assert next(x for x in reversed(lines[:i]) if "Aggregate [" in x or "Join " in x).count("Aggregate [") == 1
+
+
+
 def test_words_with_one_beginning_fill_many_shards(spark, monkeypatch):
     """No shard holds the words that share their first bytes, and a word that is another's beginning is still found."""
     import numpy as np
