@@ -343,7 +343,7 @@ def training_rows(docs: DataFrame, known: DataFrame, id_col: str, text_col: str,
     # Dealt by the id alone, which the join, the grouping and the files share; hashes are compared after it.
     chosen = kept.select("doc_id", "toxic", F.col("hash").alias("own")).repartition(shards, "doc_id")
     rows = texts.repartition(shards, "doc_id").join(chosen, "doc_id").where(F.col("hash").bitwiseXOR(F.col("own")) == 0).groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
-    aside, shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 4, F.pmod(F.hash("doc_id"), F.lit(shards))
+    aside, shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 4, F.spark_partition_id()  # Spark may join in more parts than asked for; each is a shard
     path = scratch(spark, "training")
     rows.select("doc_id", "toxic", "t.*", aside.alias("aside"), shard.alias("shard")).sortWithinPartitions("shard", "doc_id", "toxic").write.parquet(path)
     return spark.read.parquet(path)
