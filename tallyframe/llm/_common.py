@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task works on at once; larger texts are worked on alone.
 SLICE_BYTES = 4 << 20
+#: Bits, at most, of the test that leaves out rows before a join; past a tenth as many keys it leaves out fewer.
+BITS = 1 << 28
+#: Spark's setting by which a frame's shuffle files go when it has run.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +45,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside give their shuffle files back as soon as each has run, not when the driver happens to collect garbage. Run each once."""
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the shared folder."""
+    """The same rows from a checkpoint in the shared folder; what was shuffled on the way is freed."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -84,6 +101,24 @@ def keep_rows(df: DataFrame, column: str, decide: Callable[[pa.RecordBatch], np.
     return df.mapInArrow(run, df.schema)
 
 
+def maybe_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that holds for all values of ``key``, and for few others: a bit a hash, ``BITS`` at most, so that a join shuffles few rows in vain."""
+    size = min(BITS, 63 + 10 * keys.count())
+    place = F.pmod(F.xxhash64(key), F.lit(size))
+    with freed(keys.sparkSession):
+        found = keys.select(place.alias("b")).groupBy(F.floor(F.col("b") / 63).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 63 as int))")).alias("v")).toArrow()
+    bits = np.zeros(size // 63 + 1, dtype=np.int64)
+    bits[found["w"].to_numpy()] = found["v"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def holds(b: pa.Array) -> pa.Array:
+        w, at = np.divmod(b.to_numpy(zero_copy_only=False), 63)
+        return pa.array((shared.value[w] >> at & 1) == 1)
+
+    return lambda c: c.isNotNull() & holds(F.pmod(F.xxhash64(c), F.lit(size)))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns as ``doc_id`` long and ``text`` string, whatever else the frame holds."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -6,7 +6,9 @@ whole sequence is one). Equal sets are one node from the start, by a 64-bit dige
 1. Groups that hold every link: the range of shingle hashes is cut into so many parts that two sets at
    the threshold agree on nine parts at least, whatever their differences. Sets that agree on a
    part are tied to one of them, so a part shared by m sets gives m edges; parts that very many sets
-   share are split by salts. Texts that only share passages agree on no part, and aren't tied.
+   share are split by salts. Texts that only share passages agree on no part, and aren't tied. Nearly all
+   parts are one set's alone, so first only 40-bit prints of their keys are shuffled, three bytes each, and a
+   bit for each of up to 2**``TWICE`` values says which occur twice; only those keys are sent with their sets.
 2. A set of which too few shingles occur twice in its group can't have a partner and leaves. Two bits for
    each of ``SEEN`` hash values say which occur twice; a clash lets a set stay, it never drops one.
 3. Each set is compared exactly with the one set that it is tied to by most parts. Sets that link so are
@@ -30,19 +32,25 @@ empty (they aren't sent), has a chance below one in 10**9 for the largest corpor
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._common import cut, flat_utf8, id_and_text, mixed, slices
+from tallyframe.llm._common import cut, flat_utf8, freed, id_and_text, maybe_in, mixed, slices
 from tallyframe.llm.rules import SLICE, Rolling, words_of
 
 #: Ratio of set sizes within a class; parts beyond those that differences can spoil, for small sets and others.
 RATIO, SPARE_SMALL, SPARE = 1.6, 64, 8
 #: A part key with this share of all keys, by a sample of one node in SAMPLE, is salted.
 SAMPLE, FREQUENT, SALTS = 64, 1e-5, 64
+#: Bits of a key's print; of the numbers of the values, at most, of the table of keys seen twice; keys that a task packs together; shingles, as a power of two, whose keys make a range.
+PRINT, TWICE, PACKED, RANGE = 40, 28, 1 << 20, 21
+#: The code, of three bytes, that steps on without a print.
+ON = (1 << 24) - 1
 #: Hash values of the table of shingles seen twice (a bit each reaches the tasks), and those that are sent together.
 SEEN, SENT, SENT_SHINGLES = 1 << 27, 1 << 15, 1 << 20
 #: Shingles that one task joins at once; a group with more is cut into pieces.
@@ -110,13 +118,72 @@ def part_keys(hashes: np.ndarray, starts: np.ndarray, parts: np.ndarray, percent
     return np.concatenate(out)
 
 
+def packed(prints: np.ndarray) -> bytes:
+    """Ascending prints, repeats too, as steps of three bytes from 0 on."""
+    on, rest = np.divmod(np.diff(prints.astype(np.int64), prepend=0), ON)
+    codes = np.full(len(prints) + int(on.sum()), ON, dtype="<u4")
+    codes[np.cumsum(on + 1) - 1] = rest
+    return codes.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    codes = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    codes[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+    codes = codes.view("<u4")[:, 0]
+    return np.cumsum(codes, dtype=np.int64)[codes != ON]
+
+
+def keys_twice(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shingles_: int) -> tuple[np.ndarray, int]:
+    """A bit for each value of the first bits of a key, set where a print occurs twice, and how many bits those are; 2**TWICE / 8 bytes at most reach the driver.
+
+    ``keys`` gives the keys of a task's texts. A range of prints is a group, of about 2**RANGE of ``shingles_``.
+    """
+    power = max(1, shingles_).bit_length()
+    first = min(max(power, 13), TWICE)
+    cuts = min(max(power - RANGE, 0), first - 3)
+    within = PRINT - cuts
+
+    def prints(batches):
+        def sent(held):
+            found = np.concatenate(held).view(np.int64)
+            found.sort()
+            at = np.searchsorted(found, np.arange((1 << cuts) + 1) << within)
+            of = np.flatnonzero(at[1:] > at[:-1])
+            data = [packed(found[at[r] : at[r + 1]] - (r << within)) for r in of.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(data, type=pa.binary())], names=["range", "prints"])
+
+        held, size = [], 0
+        for found in keys(batches):
+            held.append(found >> np.uint64(64 - PRINT))
+            size += len(found)
+            if size > PACKED:
+                yield sent(held)
+                held, size = [], 0
+        if size:
+            yield sent(held)
+
+    def both(key, found):
+        prints = np.sort(np.concatenate([unpacked(x) for x in found.column("prints").to_pylist()]))
+        bits = np.zeros(1 << (first - cuts), dtype=bool)
+        bits[prints[1:][prints[1:] == prints[:-1]] >> (PRINT - first)] = True
+        return pa.table({"range": pa.array([key[0].as_py()], type=pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())})
+
+    out = np.zeros((1 << first) // 8, dtype=np.uint8)
+    with freed(rows.sparkSession):
+        found = rows.mapInArrow(prints, "range int, prints binary").groupBy("range").applyInArrow(both, "range int, bits binary").collect()
+    size = len(out) >> cuts
+    for r in found:
+        out[r.range * size : (r.range + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out, first
+
+
 def seen_at(hashes: np.ndarray, root: int) -> np.ndarray:
     """The places of a group's shingles in the table of SEEN values."""
     return (mixed(hashes ^ mixed(np.array([root], dtype=np.int64).view(np.uint64))) >> np.uint64(64 - 27)).astype(np.int64)
 
 
-def seen_twice(held: DataFrame) -> np.ndarray:
-    """A bit for each place that two sets of a group hold; ``SEEN / 8`` bytes reach the driver."""
+def seen_twice(texts: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
+    """A bit for each place that two sets of a group hold; ``SEEN / 8`` bytes reach the driver. ``sets`` gives ``root`` and ``set`` of a task's texts."""
 
     def places(batches):
         parts, size = [], 0
@@ -128,7 +195,7 @@ def seen_twice(held: DataFrame) -> np.ndarray:
             data = [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array((at // SENT)[cuts[:-1]].astype(np.int32)), pa.array(data, type=pa.binary())], names=["chunk", "codes"])
 
-        for batch in batches:
+        for batch in sets(batches):
             for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
                 parts.append(seen_at(np.frombuffer(data, np.uint64), root))
                 size += len(parts[-1])
@@ -145,7 +212,9 @@ def seen_twice(held: DataFrame) -> np.ndarray:
         return pa.table({"chunk": pa.array([key[0].as_py()], type=pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())})
 
     out = np.zeros(SEEN // 8, dtype=np.uint8)
-    for r in held.select("root", "set").mapInArrow(places, "chunk int, codes binary").groupBy("chunk").applyInArrow(both, "chunk int, bits binary").collect():
+    with freed(texts.sparkSession):
+        found = texts.select("*").mapInArrow(places, "chunk int, codes binary").groupBy("chunk").applyInArrow(both, "chunk int, bits binary").collect()
+    for r in found:
         out[r.chunk * (SENT // 8) : (r.chunk + 1) * (SENT // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -286,22 +355,35 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
                 columns = [pa.array(x, type=pa.int64()) for x in ([digest(s) for s in found], [len(s) for s in found])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *columns], names=["doc_id", "text_key", "sig", "n"])
 
-    def keys_of(batches):
+    def new_keys(batches):
         seen: set[int] = set()  # a set's keys are sent once a task; more copies of them do no harm
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 new = {digest(s): s for s in shingles(*flat_utf8(part, "text"), k)}
                 new = {sig: part_keys(s, starts, parts, percent) for sig, s in new.items() if len(s) and sig not in seen}
                 seen.update(new)
-                sigs = np.repeat(np.array(list(new), dtype=np.int64), [len(x) for x in new.values()])
-                keys = np.concatenate([*new.values(), np.empty(0, dtype=np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(keys)], names=["sig", "key"])
+                yield list(new), [len(x) for x in new.values()], np.concatenate([*new.values(), np.empty(0, dtype=np.uint64)])
 
-    # Two passes over the texts: keys are far larger than digests, and only their shuffle holds them.
+    def keys_of(batches, kept=lambda keys: np.ones(len(keys), dtype=bool)):
+        for sigs, sizes, keys in new_keys(batches):
+            ok = kept(keys)
+            columns = [np.repeat(np.array(sigs, dtype=np.int64), sizes)[ok], keys[ok].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "key"])
+
+    def shared_keys_of(batches):
+        def kept(keys):
+            at = keys >> np.uint64(64 - first)
+            return (twice_.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        return keys_of(batches, kept)
+
+    # More than one pass over the texts: keys are far larger than digests, and only a shuffle of their prints holds them all.
     marked = rows.withColumn("text_key", F.xxhash64("text"))
     described = cut(marked.mapInArrow(describe, "doc_id long, text_key long, sig long, n long"))
     filled = described.where("n > 0")
-    entries = rows.mapInArrow(keys_of, "sig long, key long")
+    table, first = keys_twice(rows.select("text"), lambda batches: (keys for _, _, keys in new_keys(batches)), int(filled.agg(F.sum("n")).first()[0] or 0))
+    twice_ = df.sparkSession.sparkContext.broadcast(table)
+    entries = rows.mapInArrow(shared_keys_of, "sig long, key long")
     # Keys of very many sets, by a sample; their share bounds how many there can be (1 / FREQUENT).
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(keys_of, "sig long, key long")
     sampled = cut(some.groupBy("key").agg(F.count("*").alias("n")))
@@ -331,6 +413,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
     tied = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(tie, "a long, b long, key long")
     tied = cut(tied.groupBy("a", "b", "key").agg(F.count("*").alias("agree")))
+    twice_.unpersist()
     tops = tied.where("key is not null").groupBy("key").agg(F.min("a").alias("top"), F.collect_set("a").alias("hubs"))  # SALTS hubs a key at most
     edges = tied.select("a", "b").unionByName(tops.select(F.explode("hubs").alias("a"), F.col("top").alias("b")))
 
@@ -349,12 +432,14 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
                 data = pa.array([s.tobytes() for s, ok in zip(found, same) if ok], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), data], names=["node", "root", "set"])
 
-    texts = marked.withColumn("rank", rank).join(members, ["rank", "text_key"]).select("node", "root", "text")
-    held = cut(texts.mapInArrow(sets, "node long, root long, set binary"))
-    twice = df.sparkSession.sparkContext.broadcast(seen_twice(held))
+    # Of texts, little but the members is shuffled; sets, which are larger, are only kept once most have left.
+    at = F.xxhash64("rank", "text_key")
+    member = maybe_in(members.select(at.alias("at")), "at")
+    texts = marked.withColumn("rank", rank).where(member(at)).join(members, ["rank", "text_key"]).select("node", "root", "text")
+    twice = df.sparkSession.sparkContext.broadcast(seen_twice(texts, sets))
 
     def may_link(batches):
-        for batch in batches:
+        for batch in sets(batches):
             ok = []
             for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
                 at = seen_at(np.frombuffer(data, np.uint64), root)
@@ -362,7 +447,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
                 ok.append(100 * shared >= percent * len(at))
             yield batch.filter(pa.array(ok, type=pa.bool_()))
 
-    held = held.mapInArrow(may_link, "node long, root long, set binary")
+    held = cut(texts.mapInArrow(may_link, "node long, root long, set binary"))
 
     def verified(batches):
         for batch in batches:
@@ -455,10 +540,15 @@ def representatives(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Of rows that repeat such an id and text one stays; rows that share an id but not a group each stay. Rows
     without an id can't be told apart and stay.
     """
-    found = components(df, k, percent, id_col, text_col)
+    found = cut(components(df, k, percent, id_col, text_col).select("doc_id", "component_id", "text_key", "group"))
     names = found.where("doc_id = component_id").groupBy("doc_id", "group").agg(F.min("text_key").alias("__key"))
-    names = names.select(F.col("doc_id").alias("__id"), "__key").distinct()
+    names = cut(names.select(F.col("doc_id").alias("__id"), "__key").distinct())
     id_, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    kept = df.where(id_.isNotNull()).join(names, (id_ == F.col("__id")) & (key == F.col("__key")), "left_semi")
+    # Rows that may go, or repeat, are shuffled with their texts and looked up; of the others each is the one of its id and text, and stays.
+    once = found.where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    once = once.join(names, (F.col("doc_id") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
+    in_doubt = maybe_in(cut(once.where("n > 1 or __id is null").select(F.xxhash64("doc_id", "text_key").alias("at"))), "at")(F.xxhash64(id_, key))
+    named = df.where(id_.isNotNull())
+    kept = named.where(in_doubt).join(names, (id_ == F.col("__id")) & (key == F.col("__key")), "left_semi")
     kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(1)))).where("__n = 1").drop("__n")
-    return kept.unionByName(df.where(id_.isNull()))
+    return kept.unionByName(named.where(~in_doubt)).unionByName(df.where(id_.isNull()))

@@ -27,13 +27,12 @@ import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._common import mixed, scratch, slices
+from tallyframe.llm._common import maybe_in, mixed, scratch, slices
 
 #: What lies between words: all of ASCII but its letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,8 +40,6 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIXES = 1 << 17, 8, (1, 2, 3), 8, (4, 5, 6)
 #: Bytes of text of a training shard, about. Rounds, texts a step and rate of training. Steps of one in sums and in logits.
 SHARD, EPOCHS, STEP, RATE, UNIT, BIN = 16 << 20, 6, 32, 0.05, 1 << 20, 64
-#: Bits, at most, of the test that leaves out unlabelled rows before a join; past a tenth as many labels it leaves out fewer.
-BITS = 1 << 28
 #: Slope of the rectifier below zero.
 LEAK = 0.1
 #: Texts that smooth a bucket's log odds.
@@ -289,23 +286,6 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def maybe_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test that holds for all values of ``key``, and for few others: a bit a hash, ``BITS`` at most, so that a join shuffles few rows in vain."""
-    size = min(BITS, 63 + 10 * keys.count())
-    place = F.pmod(F.xxhash64(key), F.lit(size))
-    found = keys.select(place.alias("b")).groupBy(F.floor(F.col("b") / 63).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 63 as int))")).alias("v")).toArrow()
-    bits = np.zeros(size // 63 + 1, dtype=np.int64)
-    bits[found["w"].to_numpy()] = found["v"].to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def holds(b: pd.Series) -> pd.Series:
-        w, at = np.divmod(b.to_numpy(), 63)
-        return pd.Series((shared.value[w] >> at & 1) == 1)
-
-    return lambda c: c.isNotNull() & holds(F.pmod(F.xxhash64(c), F.lit(size)))
-
-
 def training_rows(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``doc_id, toxic, text, lang, aside, shard`` of the labelled texts that train or calibrate, written once: a file a shard.
 

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -221,6 +223,66 @@ def test_linked_pairs_agree_on_a_part(percent):
     assert pairs > 4000 and missed == 0
 
 
+def test_prints_of_keys_tell_which_occur_twice(spark, monkeypatch):
+    """Packed prints come back as they were, and the table has the bit of every key of two sets, and no other."""
+    r = np.random.default_rng(5)
+    for most in (50, 1 << 24, 1 << 30, 1 << 40):
+        x = np.sort(np.r_[r.integers(0, most, 300), most - 1, most - 1, 0])
+        assert (jaccard.unpacked(jaccard.packed(x)) == x).all()
+    assert not len(jaccard.unpacked(jaccard.packed(np.empty(0, dtype=np.int64))))
+    monkeypatch.setattr(jaccard, "RANGE", 8)
+    monkeypatch.setattr(jaccard, "PACKED", 300)
+    alone, shared = (r.integers(0, 1 << 64, n, dtype=np.uint64) for n in (3000, 500))
+    rows = spark.createDataFrame([(int(x),) for x in np.r_[alone, shared, shared].view(np.int64)], "key long").repartition(7)
+    table_, first = jaccard.keys_twice(rows, lambda batches: (b.column("key").to_numpy().view(np.uint64) for b in batches), 4000)
+    bits = np.flatnonzero(np.unpackbits(table_, bitorder="little"))
+    assert first == 13 and len(table_) == 1024
+    assert bits.tolist() == np.unique(shared >> np.uint64(64 - first)).tolist()
+
+
+def test_jaccard_join_with_a_full_table_of_keys(spark, monkeypatch):
+    """Clashes in the table of keys seen twice, and many ranges of prints, change nothing."""
+    monkeypatch.setattr(jaccard, "TWICE", 6)
+    monkeypatch.setattr(jaccard, "RANGE", 3)
+    monkeypatch.setattr(jaccard, "PACKED", 500)
+    texts = near_copies(8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = jaccard.components(df, 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert {tuple(r) for r in found} == brute_components(texts, 5, 80)
+
+
+def test_near_duplicates_take_little_disk(spark, tmp_path):
+    """Texts without partners are never shuffled, their part keys as prints only, and no shuffle file outlives its step."""
+    r = np.random.default_rng(9)
+    words = np.array([f"word{i}" for i in range(30_000)])
+    rows = [(i, " ".join(r.choice(words, 700))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        gateway = spark.sparkContext._gateway
+        found = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s := found.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(found.size())}
+
+    def files():
+        return {f for top in context.env().blockManager().diskBlockManager().localDirs() for f in Path(top.getPath()).rglob("shuffle_*.data")}
+
+    size = sum(len(t) for _, t in rows)
+    known, there = stages(), files()
+    found = jaccard.representatives(spark.read.parquet(str(tmp_path / "in")), 5, 80)
+    for _ in range(50):
+        if (left := sum(f.stat().st_size for f in files() - there if f.exists())) < 0.02 * size:
+            break
+        time.sleep(0.2)
+    assert left < 0.02 * size
+    assert {r.doc_id for r in found.collect()} == set(range(600))
+    context.listenerBus().waitUntilEmpty()
+    moved = sum(v for k, v in stages().items() if k not in known)
+    assert moved < 0.75 * size
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_jaccard_join_with_one_id_for_all(spark, doc_id):
     r = np.random.default_rng(2)
