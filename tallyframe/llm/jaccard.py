@@ -9,8 +9,8 @@ whole sequence is one). Equal sets are one node from the start, by a 64-bit dige
    share are split by salts. Texts that only share passages agree on no part, and aren't tied. Nearly all
    parts are one set's alone, so first only 40-bit prints of their keys are shuffled, three bytes each, and a
    bit for each of up to 2**``TWICE`` values says which occur twice; only those keys are sent with their sets.
-2. A set of which too few shingles occur twice in its group can't have a partner and leaves. Two bits for
-   each of ``SEEN`` hash values say which occur twice; a clash lets a set stay, it never drops one.
+2. A set of which too few shingles occur twice in its group can't have a partner and leaves. Prints of the
+   shingles say which occur twice, as those of part keys do; a clash lets a set stay, it never drops one.
 3. Each set is compared exactly with the one set that it is tied to by most parts. Sets that link so are
    one block. In a group of one block nothing is left to find; else a set goes on that shares enough
    shingles with other blocks than its own, and every further link has an end outside the group's
@@ -47,12 +47,10 @@ from tallyframe.llm.rules import SLICE, Rolling, words_of
 RATIO, SPARE_SMALL, SPARE = 1.6, 64, 8
 #: A part key with this share of all keys, by a sample of one node in SAMPLE, is salted.
 SAMPLE, FREQUENT, SALTS = 64, 1e-5, 64
-#: Bits of a key's print; of the numbers of the values, at most, of the table of keys seen twice; keys that a task packs together; shingles, as a power of two, whose keys make a range.
+#: Bits of the print of a key (of a part, or of a group's shingle); of its place in a table of keys seen twice, at most; keys that a task packs together; shingles, as a power of two, whose keys make a range.
 PRINT, TWICE, PACKED, RANGE = 40, 28, 1 << 20, 21
 #: The code, of three bytes, that steps on without a print.
 ON = (1 << 24) - 1
-#: Hash values of the table of shingles seen twice (a bit each reaches the tasks), and those that are sent together.
-SEEN, SENT, SENT_SHINGLES = 1 << 27, 1 << 15, 1 << 20
 #: Shingles that one task joins at once; a group with more is cut into pieces.
 GROUP_SHINGLES = 1 << 20
 #: A set within this distance of a computed one derives its answers from it.
@@ -136,7 +134,7 @@ def unpacked(data: bytes) -> np.ndarray:
 def keys_twice(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shingles_: int) -> tuple[np.ndarray, int]:
     """A bit for each value of the first bits of a key, set where a print occurs twice, and how many bits those are; 2**TWICE / 8 bytes at most reach the driver.
 
-    ``keys`` gives the keys of a task's texts. A range of prints is a group, of about 2**RANGE of ``shingles_``.
+    ``keys`` gives the keys of a task's rows. A range of prints is a group, of about 2**RANGE of ``shingles_``.
     """
     power = max(1, shingles_).bit_length()
     first = min(max(power, 13), TWICE)
@@ -170,53 +168,22 @@ def keys_twice(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Itera
 
     out = np.zeros((1 << first) // 8, dtype=np.uint8)
     with freed(rows.sparkSession):
-        found = rows.mapInArrow(prints, "range int, prints binary").groupBy("range").applyInArrow(both, "range int, bits binary").collect()
+        found = rows.select("*").mapInArrow(prints, "range int, prints binary").groupBy("range").applyInArrow(both, "range int, bits binary").collect()
     size = len(out) >> cuts
     for r in found:
         out[r.range * size : (r.range + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out, first
 
 
-def seen_at(hashes: np.ndarray, root: int) -> np.ndarray:
-    """The places of a group's shingles in the table of SEEN values."""
-    return (mixed(hashes ^ mixed(np.array([root], dtype=np.int64).view(np.uint64))) >> np.uint64(64 - 27)).astype(np.int64)
+def of_group(hashes: np.ndarray, root: int) -> np.ndarray:
+    """Keys of a group's shingles, others in each group."""
+    return mixed(hashes ^ mixed(np.array([root], dtype=np.int64).view(np.uint64)))
 
 
-def seen_twice(texts: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
-    """A bit for each place that two sets of a group hold; ``SEEN / 8`` bytes reach the driver. ``sets`` gives ``root`` and ``set`` of a task's texts."""
-
-    def places(batches):
-        parts, size = [], 0
-
-        def sent():
-            at, n = np.unique(np.concatenate(parts), return_counts=True)
-            code = ((at % SENT) | np.where(n > 1, SENT, 0)).astype("<u2")
-            cuts = np.flatnonzero(np.r_[True, np.diff(at // SENT) != 0, True])
-            data = [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array((at // SENT)[cuts[:-1]].astype(np.int32)), pa.array(data, type=pa.binary())], names=["chunk", "codes"])
-
-        for batch in sets(batches):
-            for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
-                parts.append(seen_at(np.frombuffer(data, np.uint64), root))
-                size += len(parts[-1])
-                if size > SENT_SHINGLES:
-                    yield sent()
-                    parts, size = [], 0
-        if parts:
-            yield sent()
-
-    def both(key, found):
-        codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), "<u2")
-        bits = np.bincount(codes & (SENT - 1), minlength=SENT) > 1
-        bits[codes[codes >= SENT] & (SENT - 1)] = True
-        return pa.table({"chunk": pa.array([key[0].as_py()], type=pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())})
-
-    out = np.zeros(SEEN // 8, dtype=np.uint8)
-    with freed(texts.sparkSession):
-        found = texts.select("*").mapInArrow(places, "chunk int, codes binary").groupBy("chunk").applyInArrow(both, "chunk int, bits binary").collect()
-    for r in found:
-        out[r.chunk * (SENT // 8) : (r.chunk + 1) * (SENT // 8)] = np.frombuffer(r.bits, np.uint8)
-    return out
+def twice_in(table: np.ndarray, first: int, keys: np.ndarray) -> np.ndarray:
+    """Which keys the table says occur twice; of those that do, all."""
+    at = keys >> np.uint64(64 - first)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 class Relations:
@@ -371,11 +338,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "key"])
 
     def shared_keys_of(batches):
-        def kept(keys):
-            at = keys >> np.uint64(64 - first)
-            return (twice_.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-        return keys_of(batches, kept)
+        return keys_of(batches, lambda keys: twice_in(twice_.value, first, keys))
 
     # More than one pass over the texts: keys are far larger than digests, and only a shuffle of their prints holds them all.
     marked = rows.withColumn("text_key", F.xxhash64("text"))
@@ -419,8 +382,8 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
     coarse = contract(edges)
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    nodes = filled.groupBy("sig").agg(F.min("doc_id").alias("id"), F.min(F.struct(rank.alias("rank"), "text_key")).alias("of"))
-    members = cut(coarse.join(nodes, coarse.node == nodes.sig).select("node", "root", "of.rank", "of.text_key"))
+    nodes = filled.groupBy("sig").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.min(F.struct(rank.alias("rank"), "text_key")).alias("of"))
+    members = cut(coarse.join(nodes, coarse.node == nodes.sig).select("node", "root", "of.rank", "of.text_key", "n"))
 
     def sets(batches):
         sent: set[int] = set()  # rows that repeat send their set once a task
@@ -436,18 +399,25 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     at = F.xxhash64("rank", "text_key")
     member = maybe_in(members.select(at.alias("at")), "at")
     texts = marked.withColumn("rank", rank).where(member(at)).join(members, ["rank", "text_key"]).select("node", "root", "text")
-    twice = df.sparkSession.sparkContext.broadcast(seen_twice(texts, sets))
+
+    def grouped_keys(batches):
+        for batch in sets(batches):
+            for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
+                yield of_group(np.frombuffer(data, np.uint64), root)
+
+    table, bits = keys_twice(texts, grouped_keys, int(members.agg(F.sum("n")).first()[0] or 0))
+    twice = df.sparkSession.sparkContext.broadcast(table)
 
     def may_link(batches):
         for batch in sets(batches):
             ok = []
             for root, data in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist()):
-                at = seen_at(np.frombuffer(data, np.uint64), root)
-                shared = int(((twice.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).sum())
-                ok.append(100 * shared >= percent * len(at))
+                keys = of_group(np.frombuffer(data, np.uint64), root)
+                ok.append(100 * int(twice_in(twice.value, bits, keys).sum()) >= percent * len(keys))
             yield batch.filter(pa.array(ok, type=pa.bool_()))
 
     held = cut(texts.mapInArrow(may_link, "node long, root long, set binary"))
+    twice.unpersist()
 
     def verified(batches):
         for batch in batches:
